@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evidentia.llm import bpe
+from evidentia.llm import bpe, language, nearest, quality, shards, toxicity
 from evidentia.llm.staging import table
 
 #: Folder of the public vocabularies; the file is read by every worker.
@@ -18,12 +19,52 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return os.path.join(TOKENIZERS, name)
 
 
+def remainder(of: int) -> Column:
+    """crc32 of the id as text, modulo ``of``."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(of))
+
+
+def documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text", *more)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), keep=remainder(5) != 0)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digest(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary()).drop("text")
+    return bpe.digest(documents(spark, sf_dir), vocabulary()).drop("text")
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.fit(documents(spark, sf_dir, "lang"), keep=remainder(3) != 1)
+    found = language.predict(documents(spark, sf_dir), model)
+    return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    found = shards.shard(docs, 16, carry=["text_crc32"])
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, model).drop("text")
+
+
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe": op3_bpe}
+    found = [op2_toxicity, op3_bpe, op5_language, op7_shards, op9_quality, op10_nearest]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -95,8 +95,8 @@ def _raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at[1:] - at[0]
 
 
-def blocks(column: pa.Array, most: int = 1 << 22) -> Iterator[Block]:
-    """Blocks of whole documents with about ``most`` bytes each (one document at least)."""
+def blocks(column: pa.Array, most: int = 1 << 22, lower: bool = True) -> Iterator[Block]:
+    """Blocks of whole documents with about ``most`` bytes each (one document at least); lower: A-Z to a-z."""
     raw, ends = _raw(column)
     row = 0
     while row < len(ends):
@@ -104,7 +104,8 @@ def blocks(column: pa.Array, most: int = 1 << 22) -> Iterator[Block]:
         last = max(row + 1, int(np.searchsorted(ends, begin + most, side="right")))
         own = ends[row:last] - begin
         # a space after each document keeps words apart
-        data = np.insert(_LOWER[raw[begin : int(ends[last - 1])]], own, 0x20)
+        data = raw[begin : int(ends[last - 1])]
+        data = np.insert(_LOWER[data] if lower else data, own, 0x20)
         own = own + np.arange(1, len(own) + 1)
         edge = np.diff(np.concatenate([[True], _SPACE[data]]).astype(np.int8))
         starts, stops = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Used only where the session names no shared folder (tests on one machine).
 _OWN: list[str] = []
@@ -31,3 +32,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def widened(df: DataFrame, ddl: str) -> T.StructType:
+    """The schema of ``df`` with further columns."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
