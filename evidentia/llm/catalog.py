@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import bpe, language, nearest, quality, shards, toxicity
+from evidentia.llm import bpe, jaccard, language, nearest, quality, shards, toxicity
 from evidentia.llm.staging import table
 
 #: Folder of the public vocabularies; the file is read by every worker.
@@ -39,6 +39,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(documents(spark, sf_dir), vocabulary()).drop("text")
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(documents(spark, sf_dir))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit(documents(spark, sf_dir, "lang"), keep=remainder(3) != 1)
     found = language.predict(documents(spark, sf_dir), model)
@@ -63,7 +67,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_toxicity, op3_bpe, op5_language, op7_shards, op9_quality, op10_nearest]
+    found = [op2_toxicity, op3_bpe, op4_jaccard, op5_language, op7_shards, op9_quality, op10_nearest]
     return {f.__name__: f for f in found}
 
 
