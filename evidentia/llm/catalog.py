@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import bpe, jaccard, language, nearest, quality, shards, toxicity
+from evidentia.llm import bpe, jaccard, language, nearest, quality, shards, suffixlm, toxicity
 from evidentia.llm.staging import table
 
 #: Folder of the public vocabularies; the file is read by every worker.
@@ -49,6 +49,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op6_suffixlm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixlm.score(documents(spark, sf_dir), remainder(7) != 2)
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
     found = shards.shard(docs, 16, carry=["text_crc32"])
@@ -67,7 +71,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_toxicity, op3_bpe, op4_jaccard, op5_language, op7_shards, op9_quality, op10_nearest]
+    found = [op2_toxicity, op3_bpe, op4_jaccard, op5_language, op6_suffixlm, op7_shards, op9_quality, op10_nearest]
     return {f.__name__: f for f in found}
 
 
