@@ -389,6 +389,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
     return _append(df, ids, [T.StructField(decoded, T.StringType())], make)
 
 
+IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
 DIGEST = [
     T.StructField("n_tokens", T.LongType()),
     T.StructField("ids_sha256", T.StringType()),
@@ -396,15 +397,24 @@ DIGEST = [
 ]
 
 
-def digest(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Encode, decode, and keep the number of ids and the hashes of ids and decoded text instead of both."""
+def digest(df: DataFrame, path: str, text: str = "text", ids: bool = False) -> DataFrame:
+    """Encode, decode, and keep the number of ids and the hashes of ids and decoded text; ids: and the ids."""
 
     def make(column: pa.Array) -> list[pa.Array]:
-        n, a, d = [], [], []
-        for ids, decoded, count in load(path).encode_texts(_texts(column)):
+        n, a, d, kept = [], [], [], []
+        for own, decoded, count in load(path).encode_texts(_texts(column)):
             n.append(count)
-            a.append(hashlib.sha256(ids).hexdigest())
+            a.append(hashlib.sha256(own).hexdigest())
             d.append(hashlib.sha256(decoded).hexdigest())
-        return [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
+            kept.append(own if ids else b"")
+        made = [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
+        if not ids:
+            return made
+        at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+        return [pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(kept), "<i4"))), *made]
 
-    return _append(df, text, DIGEST, make)
+    return _append(df, text, [IDS] * ids + DIGEST, make)
+
+
+def encode_and_digest(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+    return digest(df, path, text, ids=True)

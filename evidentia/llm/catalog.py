@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import bpe, jaccard, language, nearest, quality, shards, suffixlm, toxicity
+from evidentia.llm import bpe, jaccard, language, mixing, nearest, quality, shards, suffixlm, toxicity, urls
 from evidentia.llm.staging import table
 
 #: Folder of the public vocabularies; the file is read by every worker.
@@ -28,6 +28,13 @@ def documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", *more)
 
 
+RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), keep=remainder(5) != 0)
@@ -59,6 +66,10 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -71,7 +82,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_toxicity, op3_bpe, op4_jaccard, op5_language, op6_suffixlm, op7_shards, op9_quality, op10_nearest]
+    found = [op1_urls, op2_toxicity, op3_bpe, op4_jaccard, op5_language, op6_suffixlm, op7_shards, op8_mixing, op9_quality, op10_nearest]
     return {f.__name__: f for f in found}
 
 

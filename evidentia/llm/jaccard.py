@@ -413,3 +413,15 @@ def link(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     out = meta.join(by_class, "cls", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` with one document of each component: that of the smallest id. Rows with a null id, and texts without
+    words, stay; of repeated rows (equal id and text) one stays."""
+    found = stage(link(docs, text, key), "components")
+    again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if again.head(1):
+        docs = docs.withColumn("_text", F.xxhash64(text)).withColumn("_null", F.when(F.col(key).isNull(), F.monotonically_increasing_id()))
+        docs = docs.dropDuplicates([key, "_text", "_null"]).drop("_text", "_null")
+    gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(_fit(gone), F.col(key) == F.col("_gone"), "left_anti")

@@ -198,13 +198,18 @@ def fit(documents: DataFrame, labels: DataFrame, keep=None, sample: int = SAMPLE
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def judge(df: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``df`` with the counts, base_failed, quality (calibrated probability) and kept; columns of these names are replaced."""
+def judge(df: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD, prefix: str = "") -> DataFrame:
+    """``df`` with the counts, base_failed, quality (calibrated probability) and kept; columns of these names are replaced.
+
+    prefix: goes before the names of the new columns.
+    """
     fields = [T.StructField(c, T.LongType()) for c in COUNTS] + [
         T.StructField("base_failed", T.BooleanType()),
         T.StructField("quality", T.DoubleType()),
         T.StructField("kept", T.BooleanType()),
     ]
+    for f in fields:
+        f.name = prefix + f.name
     df = df.drop(*[f.name for f in fields])
     place = df.columns.index(text)
     shared = df.sparkSession.sparkContext.broadcast(model)
