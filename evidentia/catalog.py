@@ -5,22 +5,678 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evidentia import standins as S
+from evidentia.functions import text as X
+from evidentia.functions import vectors as V
+from evidentia.operators import answers, audit, chunking, evaluation, layers, retrieval, structure, validation
+from evidentia.sources import files, manifest
 
-def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    q = e.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    dot = F.aggregate(F.zip_with("embedding", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    found = e.crossJoin(F.broadcast(q)).filter("vec_id != query_id").select("query_id", "vec_id", F.round(dot, 6).alias("similarity"))
-    w = W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter("rank <= 20")
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
 
+    return add
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"knn_topk": knn_topk}
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# -- retrieval ---------------------------------------------------------------------------------------------------------
+
+_COSINE = "round(list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) / (sqrt(list_dot_product(CAST({a} AS DOUBLE[]), CAST({a} AS DOUBLE[]))) * sqrt(list_dot_product(CAST({b} AS DOUBLE[]), CAST({b} AS DOUBLE[])))), 6)"
+
+
+def _questions(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
+    return S.table(spark, sf_dir, "embeddings").filter(rule).select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("q"))
+
+
+def _knn_sql(rule: str, k: int) -> str:
+    return f"""WITH {S.GOLD}, pairs AS (SELECT q.vec_id AS question_id, g.chunk_id, {_COSINE.format(a="g.embedding", b="q.embedding")} AS similarity
+ FROM gold g JOIN silver s ON s.chunk_id = g.chunk_id CROSS JOIN embeddings q WHERE g.model_version = '2' AND {rule}),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, chunk_id) AS vector_rank FROM pairs)
+SELECT question_id, chunk_id, similarity, CAST(vector_rank AS INTEGER) AS vector_rank FROM ranked WHERE vector_rank <= {k}"""
+
+
+@query(_knn_sql("q.vec_id < 5", 20))
+def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact nearest chunks of a model for a few questions."""
+    chunks = retrieval.searchable(S.gold_chunks(spark, sf_dir), S.gold(spark, sf_dir), "m", "2").select("chunk_id", "embedding")
+    return retrieval.top_k(chunks, _questions(spark, sf_dir, "vec_id < 5"), 20)
+
+
+@query(_knn_sql("q.vec_id % 25 = 0", 4))
+def knn_topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C13 by blocks of matrix products, for a batch of questions."""
+    chunks = retrieval.searchable(S.gold_chunks(spark, sf_dir), S.gold(spark, sf_dir), "m", "2").select("chunk_id", "embedding")
+    return retrieval.top_k_blocks(chunks, _questions(spark, sf_dir, "vec_id % 25 = 0"), 4)
+
+
+@query("SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm, len(embedding) = 64 AS usable FROM embeddings")
+def vector_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Norms, and whether a vector has the dimension and finite elements."""
+    e = S.table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"), V.usable(F.col("embedding"), 64).alias("usable"))
+
+
+@query(f"WITH {S.GOLD} SELECT s.chunk_id, s.document_name, EXISTS (SELECT 1 FROM gold g WHERE g.chunk_id = s.chunk_id AND g.model_version = '2') AS searchable FROM silver s")
+def inventory_searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC11, J5: chunks with a flag for those that have an embedding."""
+    return retrieval.with_searchable_flag(S.gold_chunks(spark, sf_dir), S.gold(spark, sf_dir), "m", "2").select("chunk_id", "document_name", "searchable")
+
+
+_BENCH = "benchmark WHERE item_id < 20"
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question i meets the chunks whose id leaves the remainder i by 20, in order of id."""
+    b = S.table(spark, sf_dir, "benchmark").filter("item_id < 20").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    c = S.gold_chunks(spark, sf_dir).withColumn("question_id", F.col("chunk_id") % 20).join(F.broadcast(b), "question_id")
+    return retrieval.ranked(c, "question_id", [F.col("chunk_id")], "vector_rank", 20)
+
+
+_CANDIDATES = f"""{S.GOLD_CHUNKS}, candidates AS (SELECT * FROM (SELECT s.*, b.item_id AS question_id, b.text AS question,
+  CAST(row_number() OVER (PARTITION BY b.item_id ORDER BY chunk_id) AS INTEGER) AS vector_rank FROM silver s JOIN benchmark b ON b.item_id = s.chunk_id % 20 WHERE b.item_id < 20) WHERE vector_rank <= 20)"""
+_WORDS = "list_distinct(list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))"
+_RERANKED = f"""{_CANDIDATES}, scored AS (SELECT *, round(len(list_intersect({_WORDS.format("question")}, {_WORDS.format("chunk_text")})) / greatest(len({_WORDS.format("question")}), 1), 6) AS reranker_score FROM candidates),
+ reranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY reranker_score DESC, vector_rank) AS INTEGER) AS rerank_rank FROM scored QUALIFY rerank_rank <= 4)"""
+
+
+def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.rerank(_candidates(spark, sf_dir), 4, retrieval.overlap_score(F.col("question"), F.col("chunk_text")))
+
+
+@query(f"WITH {_RERANKED} SELECT question_id, chunk_id, vector_rank, reranker_score, rerank_rank FROM reranked")
+def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates by a score of (question, text); ties keep their order."""
+    return _reranked(spark, sf_dir).select("question_id", "chunk_id", "vector_rank", "reranker_score", "rerank_rank")
+
+
+# -- bronze ------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {S.DOCUMENTS} SELECT document_id, document_name, source_name, file_name, file_type, page_count, length(full_text) AS full_text_char_length FROM bronze")
+def bronze_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2."""
+    return S.documents(spark, sf_dir).select("document_id", "document_name", "source_name", "file_name", "file_type", "page_count", F.length("full_text").alias("full_text_char_length"))
+
+
+@query(f"WITH {S.DOCUMENTS} SELECT count(*) AS total_documents FROM bronze")
+def document_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1, A1."""
+    return S.documents(spark, sf_dir).agg(F.count("*").alias("total_documents"))
+
+
+_DAMAGED = "CASE WHEN document_id % 9 = 0 THEN NULL WHEN document_id % 9 = 1 THEN '  ' ELSE source_name END"
+
+
+@query(
+    f"""WITH {S.DOCUMENTS}, d AS (SELECT document_id, {_DAMAGED} AS file_type, CASE WHEN document_id % 13 = 5 THEN 0 ELSE page_count END AS page_count FROM bronze)
+SELECT document_id, file_type, page_count FROM d WHERE file_type IS NULL OR trim(file_type) = '' OR page_count IS NULL OR page_count <= 0"""
+)
+def required_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3, F4 over rows damaged by rule."""
+    d = S.documents(spark, sf_dir).select("document_id", F.expr(_DAMAGED).alias("file_type"), F.expr("CASE WHEN document_id % 13 = 5 THEN 0 ELSE page_count END").alias("page_count"))
+    return validation.missing_required(d, ["file_type"], ["page_count"])
+
+
+@query(f"WITH {S.DOCUMENTS} SELECT file_hash, count(*) AS n FROM bronze GROUP BY 1 HAVING count(*) > 1")
+def duplicate_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V4, A2, H1."""
+    return validation.duplicates(S.documents(spark, sf_dir), ["file_hash"])
+
+
+@query(f"WITH {S.DOCUMENTS} SELECT document_id, source_name, source_url FROM (SELECT document_id, {_DAMAGED} AS source_name, 'u' AS source_url FROM bronze) WHERE source_name IS NULL OR trim(source_name) = ''")
+def missing_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V5, F5."""
+    return validation.missing_source(S.documents(spark, sf_dir).select("document_id", F.expr(_DAMAGED).alias("source_name"), F.lit("u").alias("source_url")))
+
+
+@query(f"WITH {S.DOCUMENTS} SELECT document_id, length(full_text) AS n FROM bronze WHERE length(trim(full_text, ' ')) < 1000")
+def short_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V6, F6, X7, X8."""
+    return validation.short_texts(S.documents(spark, sf_dir), "full_text", 1000).select("document_id", F.length("full_text").alias("n"))
+
+
+_HASHES = "CASE document_id % 6 WHEN 0 THEN NULL WHEN 1 THEN upper(file_hash) WHEN 2 THEN concat(file_hash, '0') WHEN 3 THEN concat(file_hash, chr(10)) WHEN 4 THEN substr(file_hash, 2) ELSE file_hash END"
+
+
+@query(f"WITH {S.DOCUMENTS}, d AS (SELECT document_id, {_HASHES} AS file_hash FROM bronze) SELECT document_id, file_hash FROM d WHERE file_hash IS NULL OR NOT regexp_full_match(file_hash, '[0-9a-fA-F]{{64}}')")
+def hash_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V7, F7, R12."""
+    return validation.bad_hashes(S.documents(spark, sf_dir).select("document_id", F.expr(_HASHES).alias("file_hash")), "file_hash")
+
+
+@query(f"WITH {S.PAGES} SELECT document_id, page_number, page_text, CAST(length(page_text) AS INTEGER) AS page_char_length FROM pages")
+def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC3, SC7: pages of documents."""
+    return S.pages(spark, sf_dir)
+
+
+@query(f"WITH {S.PAGES} SELECT document_id, string_agg(page_text || chr(10) || chr(10), '' ORDER BY page_number) AS full_text FROM pages GROUP BY 1")
+def full_text_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A17."""
+    return files.full_text(S.pages(spark, sf_dir))
+
+
+@query(f"WITH {S.PAGES} SELECT document_id, count(*) AS page_count, CAST(sum(length(page_text)) AS BIGINT) AS char_count, count(*) FILTER (trim(page_text, ' ' || chr(10) || chr(9) || chr(13)) = '') AS empty_page_count FROM pages GROUP BY 1")
+def page_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC5, A9."""
+    return audit.page_facts(S.pages(spark, sf_dir))
+
+
+@query(f"WITH {S.DOCUMENTS}, {S.PAGES} SELECT b.document_id, page_count, coalesce(n, 0) AS page_rows FROM bronze b LEFT JOIN (SELECT document_id, count(*) AS n FROM pages WHERE document_id % 4 <> 0 OR page_number > 1 GROUP BY 1) p ON p.document_id = b.document_id WHERE page_count IS DISTINCT FROM coalesce(n, 0)")
+def page_count_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V13, with the first page of every fourth document missing."""
+    return validation.page_count_mismatch(S.documents(spark, sf_dir), S.pages(spark, sf_dir).filter("document_id % 4 != 0 or page_number > 1"))
+
+
+_OLD, _NEW = "document_id % 3 <> 0", "document_id % 2 = 0"
+
+
+@query(
+    f"""WITH {S.DOCUMENTS}, t AS (SELECT document_id, document_name, 'old' AS file_hash FROM bronze WHERE {_OLD}),
+s AS (SELECT document_name, file_hash FROM bronze WHERE {_NEW}), m AS (SELECT coalesce(max(document_id), 0) AS most FROM t),
+new AS (SELECT document_name, file_hash, row_number() OVER (ORDER BY document_name) AS n FROM s WHERE document_name NOT IN (SELECT document_name FROM t))
+SELECT t.document_id, t.document_name, coalesce(s.file_hash, t.file_hash) AS file_hash FROM t LEFT JOIN s ON s.document_name = t.document_name
+UNION ALL SELECT CAST(most + n AS INTEGER), document_name, file_hash FROM new, m"""
+)
+def upsert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK1: known identities keep their ids, new ones follow."""
+    d = S.documents(spark, sf_dir)
+    return layers.upsert_documents(d.filter(_OLD).select("document_id", "document_name", F.lit("old").alias("file_hash")), d.filter(_NEW).select("document_name", "file_hash"))
+
+
+@query(
+    f"""WITH {S.PAGES}, t AS (SELECT document_id, page_number, 'old' AS page_text FROM pages UNION ALL SELECT document_id, page_number + 1000, 'old' FROM pages),
+s AS (SELECT document_id, page_number, page_text FROM pages WHERE {_NEW})
+SELECT document_id, page_number, page_text FROM t WHERE NOT ({_NEW}) UNION ALL SELECT * FROM s"""
+)
+def upsert_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK2, SK3: pages are replaced, those beyond the last removed."""
+    p = S.pages(spark, sf_dir).select("document_id", "page_number", "page_text")
+    old = p.withColumn("page_text", F.lit("old"))
+    return layers.upsert_pages(old.unionByName(old.withColumn("page_number", F.col("page_number") + 1000)), p.filter(_NEW))
+
+
+@query(
+    f"""WITH {S.DOCUMENTS}, t AS (SELECT document_name, file_hash FROM bronze WHERE {_OLD}), s AS (SELECT document_name, file_hash FROM bronze WHERE {_NEW})
+SELECT DISTINCT s.document_name, 'hash of another document' AS problem FROM s JOIN t ON t.file_hash = s.file_hash AND t.document_name <> s.document_name"""
+)
+def hash_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V12."""
+    d = S.documents(spark, sf_dir).select("document_id", "document_name", "file_hash")
+    return layers.conflicts(d.filter(_OLD), d.filter(_NEW)).filter("problem != 'duplicate identity'")
+
+
+@query(
+    f"""WITH {S.DOCUMENTS} SELECT document_id, document_name, CASE source_name WHEN 'src1' THEN 'Journal' WHEN 'src2' THEN 'Board' ELSE source_name END AS source_name, file_name FROM bronze"""
+)
+def metadata_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK7: changes by source, without touching other rows."""
+    d = S.documents(spark, sf_dir).select("document_id", "document_name", "source_name", "file_name").withColumn("key", F.col("source_name"))
+    changes = spark.createDataFrame([("src1", "Journal", None), ("src2", "Board", None)], "key string, source_name string, file_name string")
+    return layers.update_metadata(d, changes, "key").drop("key")
+
+
+# -- silver ------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {S.RECORDS} SELECT document_id, line_no, page_number, text FROM records")
+def line_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1, X1, X2, F12."""
+    return structure.line_records(S.pages(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {S.ANNOTATED} SELECT * FROM annotated")
+def regulation_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C2, W3-W6, R1-R5, M4, X5."""
+    return structure.parse_regulation(S.marked(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {S.ANNOTATED} SELECT document_id, section_type, count(DISTINCT section_reference) AS n_references FROM annotated GROUP BY ALL")
+def structure_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6."""
+    return structure.summary(structure.parse_regulation(S.marked(spark, sf_dir)))
+
+
+@query(
+    f"""WITH RECURSIVE {S.ANNOTATED}, e AS (SELECT document_id, t AS section_type, 3 AS expected FROM (SELECT DISTINCT document_id FROM annotated), (VALUES ('recital'), ('article')) AS v(t)),
+a AS (SELECT document_id, section_type, count(DISTINCT section_reference) AS n FROM annotated GROUP BY ALL)
+SELECT e.document_id, e.section_type, expected, coalesce(n, 0) AS actual FROM e LEFT JOIN a ON a.document_id = e.document_id AND a.section_type = e.section_type WHERE coalesce(n, 0) <> expected"""
+)
+def structure_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three recitals and articles are expected of every document."""
+    rows = structure.parse_regulation(S.marked(spark, sf_dir))
+    expected = rows.select("document_id").distinct().select("document_id", F.explode(F.array(F.lit("recital"), F.lit("article"))).alias("section_type"), F.lit(3).alias("expected"))
+    return structure.count_violations(rows, expected)
+
+
+@query(f"WITH RECURSIVE {S.GROUPED} SELECT document_id, group_no, section_type, section_reference, section_title, count(*) AS lines, min(page_number) AS first_page FROM grouped GROUP BY ALL")
+def section_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C7, F11, W7."""
+    rows = chunking.section_groups(structure.parse_regulation(S.marked(spark, sf_dir)))
+    return rows.groupBy("document_id", "group_no", *chunking.META).agg(F.count("*").alias("lines"), F.min("page_number").alias("first_page"))
+
+
+_CHUNKS = f"WITH RECURSIVE {S.chunk_cte(S.SIZE, S.OVERLAP)}"
+
+
+@query(f"{_CHUNKS} SELECT * FROM chunks")
+def silver_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C8-C10, W8, W12, U4, M6, AR2, AR3, H1."""
+    return S.silver(spark, sf_dir)
+
+
+@query(
+    f"""{_CHUNKS} SELECT document_id, count(*) AS chunk_count, min(chunk_token_count) AS min_chunk_token_count, max(chunk_token_count) AS max_chunk_token_count, CAST(round(avg(chunk_token_count)) AS INTEGER) AS avg_chunk_token_count,
+ min(chunk_char_length) AS min_chunk_char_length, max(chunk_char_length) AS max_chunk_char_length, CAST(round(avg(chunk_char_length)) AS INTEGER) AS avg_chunk_char_length FROM chunks GROUP BY 1"""
+)
+def chunk_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V9, A3."""
+    return validation.size_distribution(S.silver(spark, sf_dir))
+
+
+@query(f"{_CHUNKS} SELECT document_id, chunk_order, chunk_token_count, substr(chunk_text, 1, 500) AS preview FROM chunks WHERE chunk_order <= 3")
+def chunk_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V10, F9, X8."""
+    return validation.previews(S.silver(spark, sf_dir)).select("document_id", "chunk_order", "chunk_token_count", "preview")
+
+
+@query(f"{_CHUNKS} SELECT document_id, chunk_order, chunk_char_length FROM chunks WHERE length(trim(chunk_text, ' ')) < 100")
+def short_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V11."""
+    return validation.short_texts(S.silver(spark, sf_dir), "chunk_text", 100).select("document_id", "chunk_order", "chunk_char_length")
+
+
+@query(f"{_CHUNKS}, {S.DOCUMENTS} SELECT b.document_id, count(c.chunk_order) AS chunk_count FROM bronze b LEFT JOIN chunks c ON c.document_id = b.document_id AND b.document_id % 5 <> 0 GROUP BY 1")
+def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V12', J3, A4, with every fifth document's chunks missing."""
+    return validation.chunk_counts(S.documents(spark, sf_dir), S.silver(spark, sf_dir).filter("document_id % 5 != 0"))
+
+
+_RANGES = "(VALUES (1, 1, 1), (2, NULL, NULL), (3, 1, NULL), (4, NULL, 2), (5, 0, 3), (6, 3, 2), (7, 2, 5), (8, -1, -1)) AS t(chunk_id, page_start, page_end)"
+
+
+@query(f"SELECT * FROM {_RANGES} WHERE NOT coalesce((page_start IS NULL AND page_end IS NULL) OR (page_start > 0 AND page_end >= page_start), false)")
+def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V15, F10."""
+    return validation.bad_page_ranges(spark.sql(f"SELECT * FROM {_RANGES}"))
+
+
+@query(
+    f"""WITH {S.DOCUMENTS} SELECT document_id, CASE WHEN document_id % 4 = 0 THEN 'rebuilt' ELSE 'unchanged' END AS status FROM bronze"""
+)
+def chunk_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose chunks differ from the stored ones, in a text or in number."""
+    new = S.documents(spark, sf_dir).select("document_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("chunk_order"), F.col("file_hash").alias("chunk_hash"), F.lit(None).cast("string").alias("section_title"))
+    old = new.withColumn("chunk_hash", F.when(F.expr("document_id % 8 = 0 and chunk_order = 2"), "other").otherwise(F.col("chunk_hash"))).filter("document_id % 8 != 4 or chunk_order < 3")
+    return layers.chunk_status(old, new, ["chunk_hash", "section_title"])
+
+
+# -- gold --------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {S.GOLD} SELECT s.chunk_id, s.chunk_hash, sha256(s.chunk_text) AS embedding_input_hash FROM silver s LEFT JOIN gold g ON g.chunk_id = s.chunk_id AND g.model_id = 'm' AND g.model_version = '2'
+WHERE g.chunk_id IS NULL OR g.chunk_hash <> s.chunk_hash OR g.embedding_input_hash <> sha256(s.chunk_text)"""
+)
+def gold_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C12, J6, SC8, SC9, F3."""
+    return layers.pending(S.gold_chunks(spark, sf_dir), S.gold(spark, sf_dir), "m", "2").select("chunk_id", "chunk_hash", "embedding_input_hash")
+
+
+@query(
+    f"""WITH {S.GOLD} SELECT g.chunk_id, model_id, model_version, CASE WHEN s.chunk_id IS NULL THEN 'chunk is gone' ELSE 'chunk has changed' END AS reason
+FROM gold g LEFT JOIN (SELECT * FROM silver WHERE chunk_id % 9 <> 0) s ON s.chunk_id = g.chunk_id WHERE s.chunk_id IS NULL OR s.chunk_hash <> g.chunk_hash"""
+)
+def gold_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings of chunks that are gone or have changed."""
+    return layers.stale(S.gold_chunks(spark, sf_dir).filter("chunk_id % 9 != 0"), S.gold(spark, sf_dir))
+
+
+@query(f"WITH {S.GOLD} SELECT chunk_id, model_id, CASE WHEN chunk_id % 2 = 0 THEN '3' ELSE model_version END AS model_version FROM gold UNION ALL SELECT chunk_id, 'm', '3' FROM silver WHERE chunk_id % 22 = 0")
+def gold_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK5: new rows replace those of the same chunk and model, whatever their version."""
+    new = S.gold_chunks(spark, sf_dir).filter("chunk_id % 2 = 0").select("chunk_id", F.lit("m").alias("model_id"), F.lit("3").alias("model_version"))
+    return layers.replace_by(S.gold(spark, sf_dir).select("chunk_id", "model_id", "model_version"), new, ["chunk_id", "model_id"])
+
+
+@query(f"WITH {S.GOLD_CHUNKS} SELECT chunk_id, document_name FROM silver WHERE document_name IN ('doc_1', 'doc_3', 'doc_7', 'doc_9') ORDER BY chunk_id LIMIT 3")
+def chunks_to_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC8, F2, T3: the first chunks of given documents."""
+    return layers.selected_chunks(S.gold_chunks(spark, sf_dir), ["doc_1", "doc_3", "doc_7", "doc_9"], 3).select("chunk_id", "document_name")
+
+
+@query("SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings")
+def vector_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK6, J-1: vectors to text and back."""
+    e = S.table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", V.from_text(V.to_text(F.col("embedding"))).cast("array<double>").alias("embedding"))
+
+
+# -- manifest and audit ------------------------------------------------------------------------------------------------
+
+_FIELDS = "document_index, document_id, file_name, official_title, short_title, issuing_body, source_repository, source_url, document_type, legal_status, language, version_or_date, parser_type, enabled"
+_ROWS = [
+    (0, "a-one", "a.pdf", "eu_regulation", "s", True),
+    (1, "B two", "b.pdf", "generic", "s", True),
+    (2, "c", "dir/c.pdf", "generic", " ", False),
+    (3, "A-ONE", "A.PDF", "generic", "MANUAL_REVIEW_REQUIRED", True),
+    (4, "d.x_1", "d.txt", "table_layout", "s", None),
+    (5, "e", "e.pdf", "table_layout", "s", False),
+    (6, "f", "f.pdf", "table_layout", "s", True),
+]
+_VALUES = ", ".join(f"({i}, '{d}', '{f}', 't', 't', 'b', 'r', 'u', 'k', '{s}', 'en', 'v', '{p}', {str(e).lower() if e is not None else 'CAST(NULL AS BOOLEAN)'})" for i, d, f, p, s, e in _ROWS)
+_MANIFEST = f"(VALUES {_VALUES}) AS m({_FIELDS})"
+
+
+@query(
+    f"""WITH m AS (SELECT * FROM {_MANIFEST}),
+d AS (SELECT document_index, min(document_index) OVER (PARTITION BY lower(document_id)) AS a, min(document_index) OVER (PARTITION BY lower(file_name)) AS b FROM m)
+SELECT document_index, 'legal_status must be a text' AS problem FROM m WHERE trim(legal_status) = ''
+UNION ALL SELECT document_index, 'enabled must be true or false' FROM m WHERE enabled IS NULL
+UNION ALL SELECT document_index, 'document_id is no slug' FROM m WHERE NOT regexp_full_match(document_id, '[a-z0-9]+([._-][a-z0-9]+)*')
+UNION ALL SELECT document_index, 'file_name is no PDF base name' FROM m WHERE file_name LIKE '%/%' OR lower(file_name) NOT LIKE '_%.pdf'
+UNION ALL SELECT document_index, 'document_id repeats that of document ' || a FROM d WHERE a < document_index
+UNION ALL SELECT document_index, 'file_name repeats that of document ' || b FROM d WHERE b < document_index"""
+)
+def manifest_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C18, A8, R11."""
+    return manifest.violations(spark.sql(f"SELECT * FROM {_MANIFEST}"))
+
+
+@query(f"SELECT CASE document_id WHEN 'f' THEN 0 ELSE 1 END AS position, document_id, parser_type FROM {_MANIFEST} WHERE document_id IN ('f', 'a-one')")
+def manifest_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C19, J8, W11, F13."""
+    return manifest.select(spark.sql(f"SELECT * FROM {_MANIFEST}"), ["f", "a-one", "f"]).select("position", "document_id", "parser_type")
+
+
+_FILES = "(VALUES ('A.pdf'), ('b.pdf'), ('f.pdf'), ('other.PDF')) AS f(file_name)"
+
+
+@query(
+    f"""SELECT file_name, 'missing' AS problem FROM {_MANIFEST} WHERE file_name NOT IN (SELECT file_name FROM {_FILES})
+UNION ALL SELECT file_name, 'unknown' FROM {_FILES} WHERE lower(file_name) NOT IN (SELECT lower(file_name) FROM {_MANIFEST})"""
+)
+def file_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J7, SC2."""
+    return manifest.reconcile(spark.sql(f"SELECT * FROM {_MANIFEST}"), spark.sql(f"SELECT * FROM {_FILES}"))
+
+
+@query(
+    f"""WITH {S.DOCUMENTS}, {S.PAGES}, {S.GOLD}
+SELECT b.document_id, (SELECT count(*) FROM pages p WHERE p.document_id = b.document_id) AS page_rows,
+ (SELECT count(*) FROM silver s WHERE s.chunk_id = b.document_id) AS chunk_count,
+ (SELECT count(*) FROM silver s JOIN gold g ON g.chunk_id = s.chunk_id WHERE s.chunk_id = b.document_id) AS embedding_count FROM bronze b"""
+)
+def layer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C20, J4, A5."""
+    chunks = S.gold_chunks(spark, sf_dir).withColumn("document_id", F.col("chunk_id").cast("int"))
+    found = audit.inventory(S.documents(spark, sf_dir).select("document_id"), S.pages(spark, sf_dir), chunks, S.gold(spark, sf_dir))
+    return found.select("document_id", "page_rows", "chunk_count", "embedding_count")
+
+
+_FILE_FACTS = "(VALUES ('a.pdf', 'h1', 3, 1), ('b.pdf', 'h2', 2, 0), ('f.pdf', 'h3', 1, 0)) AS f(file_name, sha256, page_count, empty_page_count)"
+_STORED = "(VALUES ('a-one', 'h1', 3, 3, 4, 2), ('B two', 'hx', 2, 1, 0, 0), ('f', 'h3', 1, 1, 2, 2), ('f', 'h3', 1, 1, 2, 2)) AS s(document_name, file_hash, page_count, page_rows, chunk_count, embedding_count)"
+
+
+@query(
+    """SELECT * FROM (VALUES
+ ('a-one', true, true, 'fewer embeddings than chunks;pages without text', ''),
+ ('B two', true, true, '', 'stored hash differs from the file''s;page_count differs from stored pages;enabled but without chunks'),
+ ('c', false, false, 'not stored', 'file is missing'),
+ ('A-ONE', true, false, 'metadata need a review;not stored', 'file is missing'),
+ ('d.x_1', NULL, false, 'not stored', 'file is missing'),
+ ('e', false, false, 'no such parser;not stored', 'file is missing'),
+ ('f', true, true, '', 'no such parser;stored more than once')) AS t(document_id, enabled, file_exists, warnings, failures)"""
+)
+def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C21, V16, F14, SC5: every rule on a small corpus."""
+    report = audit.audit(*(spark.sql(f"SELECT * FROM {x}") for x in (_MANIFEST, _FILE_FACTS, _STORED)))
+    return report.select("document_id", "enabled", F.col("exists").alias("file_exists"), *[F.array_join(c, ";").alias(c) for c in ("warnings", "failures")])
+
+
+# -- texts and answers -------------------------------------------------------------------------------------------------
+
+_CONTEXT = """'[S' || rerank_rank || ']' || chr(10) || 'Document: ' || document_name || chr(10) || 'Section type: ' || lang || chr(10) || 'Section reference: ' || source || chr(10)
+ || 'Section title: unknown' || chr(10) || 'Pages: ' || (chunk_id % 5 + 1) || CASE WHEN chunk_id % 2 = 0 THEN '' ELSE '-' || (chunk_id % 5 + 2) END || chr(10) || 'Passage: ' || trim(regexp_replace(chunk_text, '\\s+', ' ', 'g'))"""
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reranked(spark, sf_dir).withColumns(
+        {
+            "section_type": F.col("lang"), "section_reference": F.col("source"), "section_title": F.lit("").cast("string"),
+            "page_start": (F.col("chunk_id") % 5 + 1).cast("int"), "page_end": F.expr("cast(chunk_id % 5 + 1 + chunk_id % 2 as int)"),
+        }
+    )
+
+
+@query(f"WITH {_RERANKED} SELECT question_id, count(*) AS n_sources, string_agg({_CONTEXT}, chr(10) || chr(10) ORDER BY rerank_rank) AS context FROM reranked GROUP BY 1")
+def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C15, X9, X10, X12, A16."""
+    return answers.prompts(_sources(spark, sf_dir)).select("question_id", F.col("n_sources").cast("long").alias("n_sources"), "context")
+
+
+@query()
+def grounded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C16, X11, X13, U3, AR1, SK11: questions to cited answers, with the offline provider."""
+    rows = answers.answer(answers.prompts(_sources(spark, sf_dir)), answers.extractive)
+    return answers.answer_report(rows).select("question_id", "answer", "citation_status", "cited", "report")
+
+
+_ANSWERS = "concat(text, CASE turn % 5 WHEN 0 THEN ' [S1] and [S3][S1]' WHEN 1 THEN ' [S9] [S2] [S0]' WHEN 2 THEN ' [s1]' WHEN 3 THEN '' ELSE ' [S4]' END)"
+_FOUND = f"list_transform(regexp_extract_all({_ANSWERS}, '\\[S(\\d+)\\]', 1), lambda x: CAST(x AS BIGINT))"
+
+
+@query(
+    f"""WITH a AS (SELECT conv_id, turn, {_FOUND} AS c FROM conversations)
+SELECT conv_id, turn, CASE WHEN len(c) = 0 THEN 'none' WHEN len(list_filter(c, lambda x: x < 1 OR x > 4)) > 0 THEN 'invalid' ELSE 'ok' END AS citation_status,
+ array_to_string(list_transform(list_sort(list_distinct(c)), lambda x: CAST(x AS VARCHAR)), ',') AS cited FROM a"""
+)
+def citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AR1, R10, T6."""
+    rows = S.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_ANSWERS).alias("answer"), F.lit(4).alias("n_sources"))
+    return answers.check_citations(rows).select("conv_id", "turn", "citation_status", F.array_join(F.transform("cited", lambda x: x.cast("string")), ",").alias("cited"))
+
+
+_ROUTES = [("citations", ["citation", "source markers"]), ("memory", ["out of memory"]), ("model", ["timed out", "offline"])]
+_MESSAGES = "(VALUES (1, 'Bad CITATION in answer'), (2, 'device out of memory'), (3, 'request timed out, no source markers'), (4, 'Offline'), (5, 'else'), (6, '')) AS t(id, message)"
+
+
+@query(
+    f"""SELECT id, CASE WHEN lower(message) LIKE '%citation%' OR lower(message) LIKE '%source markers%' THEN 'citations' WHEN lower(message) LIKE '%out of memory%' THEN 'memory'
+ WHEN lower(message) LIKE '%timed out%' OR lower(message) LIKE '%offline%' THEN 'model' ELSE 'other' END AS route FROM {_MESSAGES}"""
+)
+def error_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F18."""
+    return spark.sql(f"SELECT * FROM {_MESSAGES}").select("id", X.route(F.col("message"), _ROUTES, "other").alias("route"))
+
+
+@query(
+    r"""SELECT doc_id, regexp_replace(replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;'), '\[S\d+\]', '<span class="cite">\0</span>', 'g') AS html
+FROM (SELECT doc_id, text || ' <a href="x">''&''</a> [S12]' AS t FROM documents)"""
+)
+def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X15."""
+    d = S.table(spark, sf_dir, "documents")
+    return d.select("doc_id", X.html(F.concat("text", F.lit(" <a href=\"x\">'&'</a> [S12]"))).alias("html"))
+
+
+_CELLS = "(VALUES (1, '=1+1'), (2, '  +a'), (3, '-b'), (4, ' @c'), (5, 'd=e'), (6, ''), (7, NULL)) AS t(id, cell)"
+
+
+@query(f"SELECT id, CASE WHEN regexp_matches(ltrim(cell), '^[=+\\-@]') THEN '''' || cell ELSE cell END AS cell FROM {_CELLS}")
+def spreadsheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK9."""
+    return spark.sql(f"SELECT * FROM {_CELLS}").select("id", X.spreadsheet_safe(F.col("cell")).alias("cell"))
+
+
+@query("SELECT doc_id, CASE WHEN length(t) > 700 THEN substr(t, 1, 700) || '...' ELSE t END AS preview FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)")
+def chunk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK10, X1, X8."""
+    return S.table(spark, sf_dir, "documents").select("doc_id", X.preview(F.col("text")).alias("preview"))
+
+
+@query("SELECT doc_id, replace(text, 'the', '<redacted>') AS text, 'Instruct: find' || chr(10) || 'Query: ' || trim(source) AS query FROM documents")
+def redacted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X14, X16."""
+    d = S.table(spark, sf_dir, "documents")
+    return d.select("doc_id", X.redact(F.col("text"), "the").alias("text"), X.query_with_instruction(F.concat(F.lit(" "), "source", F.lit(" ")), "find").alias("query"))
+
+
+_SPANS = "(VALUES (1, 'n1', 'Article 6', 3, 3), (2, 'n2', '', 3, 5), (3, 'n3', NULL, NULL, 2), (4, 'n1', 'x', 1, 2)) AS t(id, document_name, section_reference, page_start, page_end)"
+
+
+@query(
+    f"""SELECT id, CASE document_name WHEN 'n1' THEN 'Name One' ELSE document_name END || ' — ' || coalesce(nullif(section_reference, ''), 'unknown section') || ' — page(s) ' ||
+ CASE WHEN page_start IS NULL OR page_end IS NULL THEN 'unknown' WHEN page_start = page_end THEN CAST(page_start AS VARCHAR) ELSE page_start || '-' || page_end END AS label FROM {_SPANS}"""
+)
+def source_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X9-X11, J10."""
+    rows = spark.sql(f"SELECT * FROM {_SPANS}")
+    return rows.select("id", X.source_label(X.label(F.col("document_name"), {"n1": "Name One"}), F.col("section_reference"), F.col("page_start"), F.col("page_end")).alias("label"))
+
+
+# -- evaluation --------------------------------------------------------------------------------------------------------
+# Question i expects the sources of the language that its document has, on pages 1 to 3.
+
+_EVAL = f"""{_RERANKED}, q AS (SELECT item_id AS id, (SELECT lang FROM documents WHERE doc_id = item_id + 20) AS lang FROM benchmark WHERE item_id < 20),
+ hit AS (SELECT c.question_id AS id, c.chunk_id, c.vector_rank FROM candidates c JOIN q ON q.id = c.question_id AND q.lang = c.lang WHERE c.chunk_id % 5 + 1 <= 3)"""
+
+
+def _eval(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    d = S.table(spark, sf_dir, "documents").select((F.col("doc_id") - 20).alias("id"), "lang")
+    b = S.table(spark, sf_dir, "benchmark").filter("item_id < 20").select(F.col("item_id").alias("id"))
+    source = F.struct(F.col("lang").alias("section_type"), F.lit(" ANY  source").alias("section_reference"), F.array(F.lit(1), F.lit(2), F.lit(3)).alias("pdf_pages"))
+    questions = b.join(d, "id").select("id", F.lit("Corpus.PDF").alias("expected_document"), F.array(source).alias("expected_sources"))
+    page = (F.col("chunk_id") % 5 + 1).cast("int")
+    chunks = _candidates(spark, sf_dir).select(
+        F.col("question_id").alias("id"), "chunk_id", "vector_rank", F.lit("corpus").alias("document_name"), F.upper("lang").alias("section_type"), F.lit("any source").alias("section_reference"),
+        page.alias("page_start"), page.alias("page_end"),
+    )
+    return questions, chunks
+
+
+@query(f"WITH {_EVAL} SELECT id, chunk_id, vector_rank FROM hit")
+def anchor_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J9, F17, X3, X4."""
+    questions, chunks = _eval(spark, sf_dir)
+    return evaluation.hits(chunks, questions, ["id"]).select("id", "chunk_id", "vector_rank")
+
+
+@query(f"WITH {_EVAL} SELECT q.id, min(vector_rank) AS first_rank FROM q LEFT JOIN hit ON hit.id = q.id GROUP BY 1")
+def first_hit_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A13."""
+    questions, chunks = _eval(spark, sf_dir)
+    return evaluation.first_hit_rank(chunks, questions, "vector_rank")
+
+
+_EVALUATED = f"""{_EVAL}, after AS (SELECT h.id, min(r.rerank_rank) AS first FROM hit h JOIN reranked r ON r.question_id = h.id AND r.chunk_id = h.chunk_id GROUP BY 1),
+ firsts AS (SELECT q.id, min(vector_rank) AS first FROM q LEFT JOIN hit ON hit.id = q.id GROUP BY 1),
+ records AS (SELECT f.id, CASE WHEN f.id % 7 = 3 THEN 'error' ELSE 'completed' END AS status, CASE WHEN f.id % 7 <> 3 THEN f.first IS NOT NULL END AS vector_hit,
+  CASE WHEN f.id % 7 <> 3 THEN coalesce(f.first <= 4, false) END AS vector_top_k_hit, CASE WHEN f.id % 7 <> 3 THEN a.first IS NOT NULL END AS reranked_hit FROM firsts f LEFT JOIN after a ON a.id = f.id)"""
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions, chunks = _eval(spark, sf_dir)
+    after = chunks.join(_reranked(spark, sf_dir).select(F.col("question_id").alias("id"), "chunk_id", "rerank_rank"), ["id", "chunk_id"])
+    status = questions.select("id", F.when(F.col("id") % 7 == 3, "error").otherwise("pending").alias("status"))
+    rows = evaluation.evaluate(questions, status, chunks, after, 4)
+    return rows.select("id", "status", "vector_hit", "vector_top_k_hit", "reranked_hit")
+
+
+@query(f"WITH {_EVALUATED} SELECT * FROM records")
+def evaluation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C23."""
+    return _records(spark, sf_dir)
+
+
+_RATES = ", ".join(f"count(*) FILTER ({c}) AS {c}_hits, count({c}) AS {c}_measured, count(*) FILTER ({c}) / nullif(count({c}), 0) AS {c}_rate" for c in ("vector_hit", "vector_top_k_hit", "reranked_hit"))
+
+
+@query(
+    f"""WITH {_EVALUATED} SELECT count(*) AS questions, {_RATES}, count(reranked_hit) AS paired, count(*) FILTER (reranked_hit AND NOT vector_top_k_hit) AS gained,
+ count(*) FILTER (NOT reranked_hit AND vector_top_k_hit) AS lost FROM records"""
+)
+def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C25, A11, A12."""
+    return evaluation.summarize(_records(spark, sf_dir))
+
+
+@query(f"WITH {_EVALUATED} SELECT status, count(*) AS n FROM records GROUP BY 1")
+def evaluation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10."""
+    return evaluation.status_counts(_records(spark, sf_dir))
+
+
+@query(f"WITH {S.GOLD} SELECT count(*) AS chunks, count(*) FILTER (s.chunk_id IN (SELECT chunk_id FROM gold WHERE model_version = '2')) AS searchable, array_to_string(list_sort(list(DISTINCT source)), ',') AS documents, 'v' AS versions, 0 AS duplicate_chunks FROM silver s")
+def corpus_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A14, A15."""
+    rows = retrieval.with_searchable_flag(S.gold_chunks(spark, sf_dir), S.gold(spark, sf_dir), "m", "2").withColumns({"document_name": F.col("source"), "chunking_version": F.lit("v")})
+    return evaluation.corpus_facts(rows).withColumns({c: F.array_join(c, ",") for c in ("documents", "versions")})
+
+
+@query("SELECT * FROM (VALUES ('q2', 'no question'), ('q3', 'no sources'), ('q4', 'incomplete source'), ('q5', 'wrong pages'), ('q1', 'id is not unique'), (NULL, 'no id'), ('q6', 'no document')) AS t(id, problem)")
+def dataset_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C22."""
+    ok = [("article", "Article 6", [1])]
+    rows = [("q1", "a", "d", ok), ("q1", "b", "d", ok), ("q2", " ", "d", ok), ("q3", "c", "d", []), ("q4", "c", "d", [("article", "", None)]), ("q5", "c", "d", [("a", "b", [0])]), (None, "c", "d", ok), ("q6", "c", None, ok)]
+    kind = "id string, question string, expected_document string, expected_sources array<struct<section_type: string, section_reference: string, pdf_pages: array<int>>>"
+    return evaluation.dataset_violations(spark.createDataFrame(rows, kind))
+
+
+_FOUND_CHUNKS = "(VALUES (1, 1, 'a', 'n', 0.5D), (1, NULL, 'a', 'n', 0.5D), (1, 3, ' ', 'n', 0.5D), (2, 4, 'a', NULL, 0.5D), (2, 5, 'a', 'n', CAST('NaN' AS DOUBLE)), (2, 6, 'a', 'n', NULL)) AS t(question_id, chunk_id, chunk_text, document_name, score)"
+
+
+@query("SELECT * FROM (VALUES (1, 'too many candidates'), (1, 'no chunk_id'), (1, 'no chunk_text'), (2, 'too many candidates'), (2, 'no document_name'), (2, 'score is not finite'), (2, 'score is not finite')) AS t(question_id, problem)")
+def candidate_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C24."""
+    return retrieval.candidate_violations(spark.sql(f"SELECT * FROM {_FOUND_CHUNKS}"), 2, "score")
+
+
+OPINION = """Opinion on models
+Executive summary
+In short.
+Table of contents
+1
+Introduction ........ 3
+1.1
+Scope of the
+opinion ..... 4
+2
+Conclusion .... 5
+3.3.2.1
+Not a heading
+1 Introduction
+Text of the introduction.
+2 Conclusion
+Out of order, so still the introduction.
+1.1 Scope of the opinion
+Scope text.
+2 Conclusion
+The end."""
+
+
+@query(
+    """SELECT 1 AS document_id, * FROM (VALUES ('front_matter', 'Front matter', 1), ('executive_summary', 'Executive summary', 2), ('table_of_contents', 'Table of contents', 10), ('opinion_section', 'Section 1', 4), ('opinion_section', 'Section 1.1', 2), ('opinion_section', 'Section 2', 2)) AS t(section_type, section_reference, lines)"""
+)
+def opinion_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C3, C4, W9, W10, R6-R9, X6, X17."""
+    pages = spark.createDataFrame([(1, 1, OPINION)], "document_id int, page_number int, page_text string")
+    rows = structure.parse_opinion(structure.line_records(pages))
+    return rows.groupBy("document_id", "section_type", "section_reference").agg(F.count("*").cast("int").alias("lines"))
