@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
 
@@ -27,7 +28,7 @@ def lines(text: Column) -> Column:
     return F.split(text, r"\R|[\x1c-\x1e]")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold(text: pd.Series) -> pd.Series:
     return text.map(lambda t: " ".join(unicodedata.normalize("NFKC", t or "").split()).casefold())
 
