@@ -2,7 +2,8 @@
 
 Both halves of the vectors are quantised with a codebook of their own, fitted by k-means on at most SAMPLE vectors; every
 vector is indexed in the cell of its two centroids. A query visits centroid pairs by summed distance with a heap (the
-multi-sequence traversal) until the visited cells hold SHARE of all vectors, then the entries are reranked by exact
+multi-sequence traversal) until the visited cells hold SHARE of all vectors (a cell with more than CROWDED times the mean
+counts as one of that size, so that one vector's many copies don't end the search), then the entries are reranked by exact
 Euclidean distance in double precision. Cells are dealt to shards of bounded size, a cell that is too large to several
 shards, and a shard's queries meet its vectors there; queries are dealt to blocks of bounded size.
 
@@ -29,9 +30,10 @@ from evidentia.llm.staging import stage
 #: Vectors that the codebooks are fitted on, at most (chosen by a hash of the id).
 SAMPLE = 20_000
 #: Share of all vectors that a query's visited cells hold.
-SHARE = 0.2
+SHARE = 0.55
 #: Vectors that they hold at least.
-LEAST = 1_000
+LEAST = 3_000
+CROWDED = 4
 #: Vectors of a shard, and queries of a block, about.
 SHARD = 8_192
 BLOCK = 4_096
@@ -72,23 +74,26 @@ class Index:
     counts: np.ndarray  # vectors of each cell
     shard: np.ndarray  # first shard of each cell
     spread: np.ndarray  # shards of each cell
+    weight: np.ndarray  # what each cell counts for in a search
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         a, b = distances(x[:, : self.half], self.first).argmin(1), distances(x[:, self.half :], self.second).argmin(1)
         return a * len(self.second) + b
 
-    def visit(self, q: np.ndarray, want: int) -> list[int]:
-        """Cells that hold anything, by summed distance of their centroids, until they hold ``want`` vectors."""
+    def visit(self, q: np.ndarray, share: float) -> list[int]:
+        """Cells that hold anything, by summed distance of their centroids, until they hold a share of all weight and LEAST vectors."""
+        want = share * self.weight.sum()
         a, b = distances(q[None, : self.half], self.first)[0], distances(q[None, self.half :], self.second)[0]
         i, j = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
         a, b, width = a[i].tolist(), b[j].tolist(), len(j)
-        heap, seen, found, have = [(a[0] + b[0], 0, 0)], {0}, [], 0
-        while heap and have < want:
+        heap, seen, found, have, vectors = [(a[0] + b[0], 0, 0)], {0}, [], 0.0, 0
+        while heap and (have < want or vectors < LEAST):
             _, x, y = heapq.heappop(heap)
             cell = int(i[x] * width + j[y])
             if self.counts[cell]:
                 found.append(cell)
-                have += int(self.counts[cell])
+                have += self.weight[cell]
+                vectors += int(self.counts[cell])
             for u, v in ((x + 1, y), (x, y + 1)):
                 if u < len(a) and v < width and u * width + v not in seen:
                     seen.add(u * width + v)
@@ -120,11 +125,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = S
     if not len(sample):
         sample = matrix(rows.select("v").limit(1).toArrow()["v"])
     half = max(1, sample.shape[1] // 2)
-    size = int(np.clip(round((most["count"] / 50) ** 0.5), 4, 256))
+    size = int(np.clip(round((most["count"] / 4) ** 0.5), 4, 256))
     first = kmeans(sample[:, :half], size)
     second = kmeans(sample[:, half:], size) if sample.shape[1] > half else np.zeros((1, 0))
     n_cells = len(first) * len(second)
-    index = Index(half, first, second, *(np.zeros(n_cells, np.int64) for _ in range(3)))
+    index = Index(half, first, second, *(np.zeros(n_cells, np.int64) for _ in range(4)))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,6 +139,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = S
     coded = stage(rows.mapInArrow(code, "vec_id long, v array<double>, cell int"), "index")
     for r in coded.groupBy("cell").count().collect():  # as many rows as cells
         index.counts[r.cell] = r["count"]
+    index.weight = np.minimum(index.counts, CROWDED * index.counts[index.counts > 0].mean())
     index.spread = np.maximum(1, -(-index.counts // SHARD))
     shard, load = 0, 0
     for cell in range(n_cells):  # neighbouring cells share a shard until it is full
@@ -144,7 +150,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = S
             shard += int(index.spread[cell])
         else:
             load += int(index.counts[cell])
-    want = max(LEAST, int(np.ceil(share * most["count"])))
     blocks = max(1, -(-asked.count() // BLOCK))
     shared = spark.sparkContext.broadcast(index)
 
@@ -155,7 +160,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = S
             x = matrix(b.column(1)) if b.num_rows else np.zeros((0, 1))
             for i, q in enumerate(x):
                 by: dict[int, list[int]] = {}
-                for cell in own.visit(q, want):
+                for cell in own.visit(q, share):
                     for s in range(int(own.shard[cell]), int(own.shard[cell] + own.spread[cell])):
                         by.setdefault(s, []).append(cell)
                 out += [(i, s, cells) for s, cells in by.items()]
