@@ -6,13 +6,13 @@ The join is exact (up to 64-bit hashes of shingles and of sets): two texts link
 2. Shingles are counted over all texts, by hash, in a table of fixed size. Rare ones come first in one global order. Two
    linked sets share one of the first n - ceil(0.75 n) + 1 shingles of each (the prefix), so every class goes, packed,
    to the buckets of its prefix; classes that share a prefix shingle form a run.
-3. Every class is compared with the member of its runs that it shares most prefix shingles with; components of the links
-   found settle most runs. What is left are runs with members of different components.
-4. These runs are joined by signature trees: leaves hold a bitmap of the shingles' hashes, inner nodes the OR of their
-   children's bitmaps and their range of sizes. A dual traversal drops node pairs whose largest possible overlap is too
-   small for a link; what remains is compared exactly. Long runs are cut into tiles, pairs of which are joined apart.
-   Members of one component are never compared, nor is more than a few candidates between a member and a component
-   before the components are brought up to date; rounds go on until no candidate is left out.
+3. Every class is compared with one hub: of the classes that stand first in its runs (a run's first is the member that is
+   in most runs), the one it shares most runs with. Components of the links found settle most runs; what is left are runs
+   with members of different components.
+4. These runs are joined by signature trees: leaves hold bitmaps of the hashes that a set holds once and twice or more,
+   inner nodes the OR of their children's bitmaps and their range of sizes. A dual traversal drops node pairs whose largest
+   possible overlap is too small for a link. Long runs are cut into tiles of bounded size, pairs of which are joined apart.
+   Pairs of different components that are left are compared exactly.
 
 Defined results: words are lower-cased (A-Z); a set is empty for texts that are null or without words, and links with
 nothing; with fewer words than a shingle has, the whole sequence is the only shingle; rows with a null id link with
@@ -40,9 +40,10 @@ COUNTERS = 1 << 20
 SLICES = 32
 #: Prefix shingles of a bucket, about.
 BUCKET = 400_000
-#: Members of a tile of a run.
-TILE = 2_048
-#: Bits of a leaf's bitmap, and children of an inner node.
+#: Members of a tile of a run, and shingles of all of them, at most (but one member at least).
+TILE = 1_024
+TILE_SHINGLES = 1_000_000
+#: Bits of a leaf's bitmaps, and children of an inner node.
 BITS = 2_048
 FAN = 16
 #: Rows that are broadcast at most (of two or three numbers each); a larger side is shuffled.
@@ -165,15 +166,11 @@ def prefixes(docs: DataFrame, level: np.ndarray, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "bucket int, token binary, place binary, cls binary, size binary")
 
 
-RUNS = "run long, tile int, cls array<long>, size array<int>, a array<long>, b array<long>, shared array<int>"
+RUNS = "run long, tile int, cls array<long>, size array<int>"
 
 
 def runs(packed: DataFrame) -> DataFrame:
-    """Different runs (classes that share a prefix shingle) of each bucket, cut into tiles by size, and stars of runs.
-
-    A row is a tile (run, tile, cls, size) or a part of the star edges (a, b, shared): a is a run's smallest class, b
-    another one, shared the number of prefix shingles of the bucket that they share so.
-    """
+    """Different runs (classes that share a prefix shingle) of each bucket, in order of size and cut into tiles."""
 
     def find(rows: pa.Table) -> pa.Table:
         token = np.concatenate([np.frombuffer(t.as_py(), np.uint64) for t in rows["token"]])
@@ -203,29 +200,33 @@ def runs(packed: DataFrame) -> DataFrame:
         begin, length = begin[length > 1], length[length > 1]
         if len(begin):
             row = np.repeat(np.arange(len(begin)), length)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length) + np.repeat(begin, length)
-            cls, size = cls[at], size[at]
             first = np.cumsum(length) - length
-            low = np.minimum.reduceat(cls, first)
-            star = cls != low[row]
-            pairs = np.stack([low[row][star], cls[star]], 1)
-            pairs, times = np.unique(pairs, axis=0, return_counts=True)
-            for k in range(0, len(pairs), 4096):
-                out.append((None, None, None, None, pairs[k : k + 4096, 0].tolist(), pairs[k : k + 4096, 1].tolist(), times[k : k + 4096].tolist()))
+            at = np.arange(len(row)) - np.repeat(first, length) + np.repeat(begin, length)
+            cls, size = cls[at], size[at]
             name = np.add.reduceat(spans.mix(cls.view(np.uint64)), first) + length.astype(np.uint64)
             name, which = np.unique(spans.mix(name), return_index=True)
             for r, k in zip(name.view(np.int64).tolist(), which.tolist(), strict=True):
                 own = slice(first[k], first[k] + length[k])
                 c, s = cls[own], size[own]
-                for tile in range(0, len(c), TILE):
-                    out.append((r, tile // TILE, c[tile : tile + TILE].tolist(), s[tile : tile + TILE].tolist(), None, None, None))
-        kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
-        names = ["run", "tile", "cls", "size", "a", "b", "shared"]
-        return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names)
+                tile = np.floor(np.arange(len(c)) / TILE + (np.cumsum(s) - s) / TILE_SHINGLES).astype(int)
+                for t in np.unique(tile).tolist():
+                    out.append((r, t, c[tile == t].tolist(), s[tile == t].tolist()))
+        kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], ["run", "tile", "cls", "size"])
 
     return packed.groupBy("bucket").applyInArrow(find, RUNS)
 
 
+def hubs(members: DataFrame) -> DataFrame:
+    """(a, b): for each class b the hub a that it is compared with, from the rows (run, cls) of runs."""
+    degree = members.groupBy("cls").agg(F.count("*").alias("degree"))
+    known = members.select("run", "cls").join(degree, "cls")
+    first = known.groupBy("run").agg(F.max(F.struct("degree", "cls")).alias("f")).select("run", F.col("f.cls").alias("a"), F.col("f.degree").alias("degree"))
+    pairs = members.select("run", F.col("cls").alias("b")).join(first, "run").filter("a != b")
+    shared = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("degree").alias("degree"))
+    return shared.groupBy("b").agg(F.max(F.struct("shared", "degree", "a")).alias("f")).select(F.col("f.a").alias("a"), "b")
+
+
 def _fit(df: DataFrame) -> DataFrame:
     """``df`` marked for broadcast if it is small enough."""
     return F.broadcast(df) if df.count() <= BROADCAST else df
@@ -257,8 +258,14 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     return texts.groupBy("a", "salt").applyInArrow(compare, "a long, b long")
 
 
+def bitmaps(shingles: np.ndarray) -> np.ndarray:
+    """Two bitmaps of BITS bits: of hashes that occur in the set, and of those that occur twice or more."""
+    count = np.bincount(((shingles >> np.uint64(20)) % np.uint64(BITS)).astype(np.int64), minlength=BITS)
+    return np.concatenate([np.packbits(count > 0), np.packbits(count > 1)]).view(np.uint64)
+
+
 def signatures(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(cls, bits) of the classes ``wanted``: a bitmap of BITS bits of each set."""
+    """(cls, bits) of the classes ``wanted``."""
     members = stage(wanted.join(classes.select("cls", "doc"), "cls"), "members")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,21 +274,19 @@ def signatures(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFr
             want = b.column(0).to_pylist()
             for k, s in _sets(b.column(1)):
                 if want[k] == class_of(s):
-                    own = np.zeros(BITS, np.uint8)
-                    own[(s >> np.uint64(20)) % np.uint64(BITS)] = 1
                     cls.append(want[k])
-                    bits.append(np.packbits(own).tobytes())
+                    bits.append(bitmaps(s).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(bits, pa.binary())], ["cls", "bits"])
 
     texts = docs.join(_fit(members), F.col("doc_id") == F.col("doc")).select("cls", "text")
-    return texts.mapInArrow(run, "cls long, bits binary").dropDuplicates(["cls"])
+    return texts.mapInArrow(run, "cls long, bits binary").groupBy("cls").agg(F.max("bits").alias("bits"))
 
 
 class Tree:
     """Leaves in order of size, and levels of nodes of FAN children above them (the last has FAN nodes at most)."""
 
     def __init__(self, bits: np.ndarray, size: np.ndarray) -> None:
-        extra = size - np.bitwise_count(bits).sum(1).astype(np.int64)  # shingles beyond one for each bit
+        extra = size - np.bitwise_count(bits).sum(1).astype(np.int64)  # shingles beyond two for each hash
         self.levels = [(bits, size, size, extra)]
         while len(self.levels[-1][0]) > FAN:
             b, low, high, e = self.levels[-1]
@@ -289,8 +294,12 @@ class Tree:
             self.levels.append((np.bitwise_or.reduceat(b, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(e, at)))
 
 
-def dual(left: Tree, right: Tree, skip=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Leaf pairs that may link, and the largest possible overlap of each. skip: leaf pairs to leave out."""
+def dual(left: Tree, right: Tree, skip=None) -> tuple[np.ndarray, np.ndarray]:
+    """Leaf pairs that may link. skip: leaf pairs to leave out.
+
+    Two sets share at most one shingle for each hash that both hold, one more for each that both hold twice or more, and
+    what either holds beyond.
+    """
     height = max(len(left.levels), len(right.levels))
 
     def level(t: Tree, h: int) -> tuple:
@@ -306,14 +315,13 @@ def dual(left: Tree, right: Tree, skip=None) -> tuple[np.ndarray, np.ndarray, np
             ok = ~skip(i, j)
             i, j = i[ok], j[ok]
         both = np.zeros(len(i), np.int64)
-        for k in range(0, len(i), 1 << 16):
-            part = slice(k, k + (1 << 16))
+        for k in range(0, len(i), 1 << 15):
+            part = slice(k, k + (1 << 15))
             both[part] = np.bitwise_count(bits[i[part]] & bits2[j[part]]).sum(1)
-        most = both + np.minimum(extra[i], extra2[j])
-        ok = 7 * most >= 3 * (low[i] + low2[j])
-        i, j, most = i[ok], j[ok], most[ok]
+        ok = 7 * (both + np.minimum(extra[i], extra2[j])) >= 3 * (low[i] + low2[j])
+        i, j = i[ok], j[ok]
         if h == 0:
-            return i, j, most
+            return i, j
         i, j = _below(i, j, h < len(left.levels), len(level(left, h - 1)[0]), h < len(right.levels), len(level(right, h - 1)[0]))
     raise AssertionError
 
@@ -329,53 +337,36 @@ def _below(i: np.ndarray, j: np.ndarray, down: bool, n: int, down2: bool, n2: in
     return i[ok], j[ok]
 
 
-def candidates(tiles: DataFrame, limit: int) -> DataFrame:
-    """(a, b, more) from rows (run, i, j, tile, cls, size, comp, bits) of tile pairs: candidates of different components.
-
-    At most ``limit`` for each member and component of the other side, of the largest possible overlap; more: there are
-    others between the two.
-    """
+def candidates(tiles: DataFrame) -> DataFrame:
+    """(a, b), a < b: pairs of different components that may link, from rows (run, i, j, tile, cls, size, comp, bits)."""
 
     def join(rows: pa.Table) -> pa.Table:
         i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
         tile, cls, size, comp = (rows[c].to_numpy() for c in ("tile", "cls", "size", "comp"))
         bits = np.stack([np.frombuffer(b.as_py(), np.uint64) for b in rows["bits"]])
         order = np.lexsort((cls, size))
-        sides = [order[tile[order] == t] for t in (i, j)]
-        trees = [Tree(bits[s], size[s].astype(np.int64)) for s in sides]
-        left, right = sides
+        left, right = (order[tile[order] == t] for t in (i, j))
+        trees = [Tree(bits[s], size[s].astype(np.int64)) for s in (left, right)]
         same = i == j
-        a, b, most = dual(*trees, skip=lambda x, y: (comp[left[x]] == comp[right[y]]) | (same & (x >= y)))
-        a, b = left[a], right[b]
-        if not len(a):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "more": pa.array([], pa.bool_())})
-        likely = most / (size[a].astype(np.int64) + size[b] - most).clip(1)
-        order = np.lexsort((-likely, comp[b], cls[a]))
-        a, b = a[order], b[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (cls[a][1:] != cls[a][:-1]) | (comp[b][1:] != comp[b][:-1])
-        place = np.arange(len(a)) - np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
-        keep = place <= limit
-        a, b, place = a[keep], b[keep], place[keep]
-        return pa.table({"a": pa.array(cls[a]), "b": pa.array(cls[b]), "more": pa.array(place == limit)})
-
-    return tiles.groupBy("run", "i", "j").applyInArrow(join, "a long, b long, more boolean")
-
-
-def residual(tiles: DataFrame, comp: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+        a, b = dual(*trees, skip=lambda x, y: (comp[left[x]] == comp[right[y]]) | (same & (x >= y)))
+        a, b = cls[left[a]], cls[right[b]]
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    return tiles.groupBy("run", "i", "j").applyInArrow(join, "a long, b long").distinct()
+
+
+def residual(members: DataFrame, comp: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Rows of tile pairs (see ``candidates``) of runs that hold different components."""
-    rows = tiles.select("run", "tile", F.explode(F.arrays_zip("cls", "size")).alias("m")).select("run", "tile", "m.cls", "m.size")
-    rows = rows.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
+    rows = members.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
     rows = stage(rows, "run-members")
     open_ = rows.groupBy("run").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("run")
     rows = stage(rows.join(open_, "run", "left_semi"), "open-runs")
-    bits = signatures(rows.select("cls").distinct(), classes, docs)
-    rows = stage(rows.join(bits, "cls"), "open-runs")
     ranges = rows.groupBy("run", "tile").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.min("comp").alias("x"), F.max("comp").alias("y"))
     right = ranges.select("run", F.col("tile").alias("j"), F.col("low").alias("low2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     pairs = ranges.withColumnRenamed("tile", "i").join(right, "run").filter("i <= j and 4 * high >= 3 * low2 and (x != x2 or y != y2 or x != y)").select("run", "i", "j")
     sides = pairs.withColumn("tile", F.explode(F.array_distinct(F.array("i", "j"))))
-    return sides.join(rows, ["run", "tile"])
+    wanted = sides.join(rows, ["run", "tile"])
+    return wanted.join(signatures(rows.select("cls").distinct(), classes, docs), "cls")
 
 
 def link(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -388,25 +379,13 @@ def link(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     buckets = max(16, math.ceil(total * 0.26 / BUCKET))
     found = stage(runs(prefixes(docs.filter("doc_id is not null"), levels(described), buckets)), "runs")
 
-    stars = found.filter("a is not null").select(F.explode(F.arrays_zip("a", "b", "shared")).alias("s")).select("s.a", "s.b", "s.shared")
-    stars = stars.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    best = stars.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("s")).select(F.col("s.a").alias("a"), "b")
-    links = stage(verify(best, classes, docs), "links")
+    members = found.dropDuplicates(["run", "tile"]).select("run", "tile", F.explode(F.arrays_zip("cls", "size")).alias("m"))
+    members = stage(members.select("run", "tile", "m.cls", "m.size"), "members")
+    links = stage(verify(hubs(members), classes, docs), "links")
     comp = stage(components(links), "components")
-
-    tiles = found.filter("run is not null").select("run", "tile", "cls", "size").dropDuplicates(["run", "tile"])
-    limit = 4
-    while True:
-        some = stage(candidates(residual(tiles, comp, classes, docs), limit), "candidates")
-        if not some.head(1):
-            break
-        new = stage(verify(some.select("a", "b"), classes, docs), "links")
-        links = links.unionByName(new)
-        comp = stage(components(links), "components")
-        left_out = some.filter("more").select("a", "b")
-        if not left_out.head(1):
-            break
-        limit *= 16
+    more = stage(verify(candidates(residual(members, comp, classes, docs)), classes, docs), "links")
+    if more.head(1):
+        comp = stage(components(links.unionByName(more)), "components")
     roots = classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc", F.coalesce("root", "cls").alias("root"))
     least = roots.groupBy("root").agg(F.min("doc").alias("component_id"))
     by_class = stage(roots.join(least, "root").select("cls", "component_id"), "by-class")
