@@ -61,9 +61,12 @@ def op6_suffixlm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    found = shards.shard(docs, 16, carry=["text_crc32"])
-    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    found = shards.shard(documents(spark, sf_dir), 16)
+    # both are taken from the text that has reached the shard
+    landed = F.coalesce("text", F.lit("")).cast("binary")
+    size = (F.octet_length(landed) + 1).cast("long")
+    found = found.withColumn("size", F.when(F.col("size") == size, size).otherwise(F.raise_error(F.lit("op7_shards: a text changed on its way"))))
+    return found.select("doc_id", "size", F.crc32(landed).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,6 +132,18 @@ def test_shards(spark, rows):
         assert all(abs(sum(r["size"] for r in by.get(k, [])) - total / 4) <= 0.01 * total / 4 + 2 * most for k in range(4))
 
 
+def test_shards_hold_the_documents(spark, sf_dir, monkeypatch):
+    made, shard = [], shards.shard
+    monkeypatch.setattr(shards, "shard", lambda *a, **k: made.append(shard(*a, **k)) or made[-1])
+    got = {(r.shard, r.slot): r for r in catalog.op7_shards(spark, sf_dir).collect()}
+    held = {(r.shard, r.slot): r for r in made[0].select("doc_id", "text", "shard", "slot").collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    assert set(got) == set(held) and len(got) == len(texts)
+    for at, r in held.items():
+        raw = (texts[r.doc_id] or "").encode()
+        assert r.text == texts[r.doc_id] and (got[at].doc_id, got[at].text_crc32, got[at]["size"]) == (r.doc_id, zlib.crc32(raw), len(raw) + 1)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(3000, 16))
