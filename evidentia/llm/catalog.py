@@ -47,7 +47,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.link(documents(spark, sf_dir))
+    return jaccard.join(documents(spark, sf_dir))
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

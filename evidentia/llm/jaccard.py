@@ -14,6 +14,11 @@ The join is exact (up to 64-bit hashes of shingles and of sets): two texts link
    possible overlap is too small for a link. Long runs are cut into tiles of bounded size, pairs of which are joined apart.
    Pairs of different components that are left are compared exactly.
 
+``link`` ends there: it gives components, and leaves out pairs that are already in one. ``join`` and ``pairs`` go on:
+
+5. As every link lies within a component, all pairs of classes of each component are compared exactly, each once. Large
+   components are cut into blocks of bounded size, pairs of which are compared apart by products of incidence matrices.
+
 Defined results: words are lower-cased (A-Z); a set is empty for texts that are null or without words, and links with
 nothing; with fewer words than a shingle has, the whole sequence is the only shingle; rows with a null id link with
 nothing and have no component; repeated rows and ids form one document's class as their texts demand; an empty table gives
@@ -27,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm import spans
@@ -46,6 +51,10 @@ TILE_SHINGLES = 1_000_000
 #: Bits of a leaf's bitmaps, and children of an inner node.
 BITS = 2_048
 FAN = 16
+#: Classes of a block of a component, and shingles of all of them, about; and columns of an incidence matrix, at least.
+BLOCK = 1_024
+BLOCK_SHINGLES = 1_000_000
+COLUMNS = 2_048
 #: Rows that are broadcast at most (of two or three numbers each); a larger side is shuffled.
 BROADCAST = 1_000_000
 #: Members compared with one other text in a task.
@@ -369,9 +378,8 @@ def residual(members: DataFrame, comp: DataFrame, classes: DataFrame, docs: Data
     return wanted.join(signatures(rows.select("cls").distinct(), classes, docs), "cls")
 
 
-def link(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document; component_id: the smallest id reachable by links."""
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, cls) of every document, and (cls, doc, n, component_id) of every class."""
     described = stage(describe(docs), "described")
     meta = described.filter("slice is null").select("doc_id", "n", "cls")
     classes = stage(meta.filter("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n")), "classes")
@@ -386,12 +394,129 @@ def link(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     more = stage(verify(candidates(residual(members, comp, classes, docs)), classes, docs), "links")
     if more.head(1):
         comp = stage(components(links.unionByName(more)), "components")
-    roots = classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc", F.coalesce("root", "cls").alias("root"))
+    roots = classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc", "n", F.coalesce("root", "cls").alias("root"))
     least = roots.groupBy("root").agg(F.min("doc").alias("component_id"))
-    by_class = stage(roots.join(least, "root").select("cls", "component_id"), "by-class")
+    return meta, stage(roots.join(least, "root").select("cls", "doc", "n", "component_id"), "by-class")
+
+
+def _plain(docs: DataFrame, text: str, key: str) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+
+def _own_component() -> Column:
+    return F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+
+
+def link(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document; component_id: the smallest id reachable by links."""
+    meta, by_class = _grouped(_plain(docs, text, key))
+    out = meta.join(by_class.select("cls", "component_id"), "cls", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), _own_component().alias("component_id"))
+
+
+def linked_all(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Whether each set of ``left`` links with each of ``right``."""
+    sets = [*left, *right]
+    size = np.array([len(s) for s in sets], np.int64)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    begin = np.flatnonzero(new)
+    shared = np.diff(np.append(begin, len(flat))) > 1  # what one set holds alone is in no intersection
+    keep = np.repeat(shared, np.diff(np.append(begin, len(flat))))
+    column, owner = (np.cumsum(new) - 1)[keep], owner[keep]
+    column = (np.cumsum(shared) - 1)[column]
+    both = np.zeros((len(left), len(right)), np.int64)
+    wide = max(COLUMNS, (1 << 22) // len(sets))
+    for low in range(0, int(shared.sum()), wide):
+        part = slice(*np.searchsorted(column, [low, low + wide]))
+        m = np.zeros((len(sets), min(wide, int(column[part][-1]) - low + 1)), np.float32)
+        m[owner[part], column[part] - low] = 1
+        both += np.rint(m[: len(left)] @ m[len(left) :].T).astype(np.int64)
+    return (both > 0) & (100 * both >= 75 * (size[: len(left), None] + size[None, len(left) :] - both))
+
+
+def _compared(by_class: DataFrame, docs: DataFrame, as_pairs: bool) -> DataFrame:
+    """All pairs of classes of each component, compared: (a, b), the documents that stand for them, or (cls, links), the
+    members of linked classes (several rows for a class). by_class: (cls, doc, n, component_id, members)."""
+    groups = by_class.groupBy("component_id").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).filter("rows > 1")
+    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
+    blocks = F.least(blocks, F.col("rows")).cast("int")
+    groups = stage(groups.withColumn("blocks", blocks), "groups")
+    whole = groups.filter("blocks = 1").agg(F.sum("rows").alias("r"), F.sum("shingles").alias("s")).first()
+    tasks = max(64, math.ceil((whole["r"] or 0) / BLOCK), math.ceil((whole["s"] or 0) / BLOCK_SHINGLES))
+    own = by_class.join(_fit(groups.select("component_id", "blocks")), "component_id")
+    own = own.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    own = stage(own.select("cls", "doc", "members", "component_id", "blocks", "block"), "blocks")
+    texts = docs.join(_fit(own), F.col("doc_id") == F.col("doc")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    texts = texts.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    one = F.pmod(F.xxhash64("component_id"), F.lit(tasks))
+    texts = texts.withColumn("task", F.when(F.col("blocks") == 1, one).otherwise(F.xxhash64("component_id", "i", "j")))
+    many = F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.lit(1))
+    texts = texts.select("task", many.alias("cut"), "component_id", "i", "j", "block", "cls", "doc", "members", "text")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        where = list(zip(*(rows[c].to_pylist() for c in ("component_id", "i", "j", "block", "cls", "doc", "members")), strict=True))
+        groups: dict[tuple, dict[int, dict[int, tuple]]] = {}
+        for k, s in _sets(rows["text"]):
+            component, i, j, block, cls, doc, members = where[k]
+            if cls == class_of(s):  # else another text under the same id
+                groups.setdefault((component, i, j), {}).setdefault(block, {})[cls] = (s, doc, members)
+        first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for (_, i, j), sides in groups.items():
+            left, right = sides.get(i, {}), sides.get(j, {})
+            if not left or not right:
+                continue
+            link = linked_all([v[0] for v in left.values()], [v[0] for v in right.values()])
+            if i == j:
+                np.fill_diagonal(link, False)
+            if as_pairs:
+                a, b = np.nonzero(np.triu(link) if i == j else link)
+                a, b = (np.array([v[1] for v in side.values()], np.int64)[at] for side, at in ((left, a), (right, b)))
+                first.append(np.minimum(a, b))
+                second.append(np.maximum(a, b))
+                continue
+            for side, other, found in ((left, right, link), (right, left, link.T))[: 1 if i == j else 2]:
+                first.append(np.array(list(side), np.int64))
+                second.append(found @ np.array([v[2] for v in other.values()], np.int64))
+        return pa.table({names[0]: pa.array(np.concatenate(first)), names[1]: pa.array(np.concatenate(second))})
+
+    names = ("a", "b") if as_pairs else ("cls", "links")
+    return texts.groupBy("task", "cut").applyInArrow(compare, f"{names[0]} long, {names[1]} long")
+
+
+def _with_members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    meta, by_class = _grouped(docs)
+    members = meta.filter("n > 0 and doc_id is not null").select("cls", "doc_id").distinct().groupBy("cls").agg(F.count("*").alias("members"))
+    return meta, stage(by_class.join(members, "cls"), "by-class")
+
+
+def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of every document; n_links: other documents that it links with.
+
+    An id whose rows have different sets counts once for each set; empty sets and null ids have no links.
+    """
+    docs = _plain(docs, text, key)
+    meta, by_class = _with_members(docs)
+    links = _compared(by_class, docs, as_pairs=False).groupBy("cls").agg(F.sum("links").alias("links"))
+    n_links = F.col("members") - 1 + F.coalesce("links", F.lit(0))
+    by_class = stage(by_class.join(links, "cls", "left").select("cls", "component_id", n_links.alias("n_links")), "by-class")
     out = meta.join(by_class, "cls", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    linked_ones = F.when(F.col("doc_id").isNotNull(), F.col("n_links"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), _own_component().alias("component_id"), F.coalesce(linked_ones, F.lit(0)).alias("n_links"))
+
+
+def pairs(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """All links: (a, b), a and b standing for different sets, and (doc_id, representative) of every document with words.
+
+    Documents with one representative have equal sets, and link with each other and with all that it links with.
+    """
+    docs = _plain(docs, text, key)
+    meta, by_class = _with_members(docs)
+    standing = meta.filter("n > 0 and doc_id is not null").select("doc_id", "cls").distinct().join(by_class.select("cls", "doc"), "cls")
+    return _compared(by_class, docs, as_pairs=True), standing.select("doc_id", F.col("doc").alias("representative"))
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

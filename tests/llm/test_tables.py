@@ -73,6 +73,32 @@ def test_jaccard(spark, seed, monkeypatch):
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted({*want.values()})
 
 
+@pytest.mark.parametrize("block", [7, 1_024])
+def test_jaccard_loses_no_link(spark, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    words = [f"v{k}" for k in range(120)]
+    group = [(1000 + k, " ".join([*words[:k], f"x{k}", *words[k + 1 :]])) for k in range(0, 60, 2)]  # near copies of each other
+    rows = [*near_copies(3), *group, (2000, group[0][1]), (501, ""), (502, None)]
+    docs = spark.createDataFrame([*rows, (None, group[0][1])], "doc_id long, text string").repartition(3)
+    sets = {i: shingles(t) for i, t in rows}
+    near = lambda x, y: x and y and 100 * len(x & y) >= 75 * len(x | y)
+    want = {(a, b) for a in sets for b in sets if a < b and near(sets[a], sets[b])}
+    component = brute(rows)[1]
+    for r in jaccard.join(docs).collect():
+        assert r.n_links == sum(r.doc_id in p for p in want)
+        assert r.doc_id is None or (r.component_id, r.n_shingles) == (component[r.doc_id], len(sets[r.doc_id]))
+    links, standing = jaccard.pairs(docs)
+    links = [tuple(r) for r in links.select("a", "b").collect()]
+    stands = dict(tuple(r) for r in standing.select("doc_id", "representative").collect())
+    assert len(links) == len(set(links)) > 400
+    assert set(links) == {p for p in want if stands[p[0]] != stands[p[1]] and set(p) <= set(stands.values())}
+    assert set(stands) == {i for i in sets if sets[i]} and all(sets[i] == sets[r] for i, r in stands.items())
+
+
+def test_jaccard_has_no_link_in_nothing(spark):
+    assert jaccard.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.link(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
