@@ -231,6 +231,25 @@ def test_templates_learn_from_labels(spark):
     assert got[900] == "block" and got[901] == "allow" and got[902] == "allow"
 
 
+@pytest.mark.parametrize("sections", [15, 16, 40])
+def test_sections_are_judged_apart_at_any_fan_out(spark, sections):
+    given = [f"http://h.com/en/{i}" for i in range(100)] + [f"http://h.com/s{k}/{i}" for k in range(sections) for i in range(10)]
+    pages = spark.createDataFrame(list(enumerate(given)), "page_id long, url string")
+    got = urls.judge(pages, [("block", "com", "/en/")]).collect()
+    assert [r.verdict for r in got if r.path.startswith("/s")] == ["allow"] * 10 * sections
+    labels = spark.createDataFrame([(i, int(i < 100)) for i in range(0, len(given), 2)], "page_id long, blocked int")
+    for r in urls.judge(pages, [], labels).collect():
+        assert r.verdict == ("block" if r.path.startswith("/en/") else "allow")
+
+
+def test_templates_have_the_depth_of_their_paths(spark):
+    rows = [(i, f"http://h.io/a/b/c/d/e/{'spam' if i % 2 else 'news'}/{i}") for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "page_id long, blocked int")
+    for r in urls.judge(pages, [], labels).collect():
+        assert r.verdict == ("block" if r.page_id % 2 else "allow") and r.template.count("/") == 7
+
+
 def mixture(spark):
     rnd = random.Random(9)
     rows, marks = [], []
