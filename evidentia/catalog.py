@@ -66,6 +66,13 @@ def knn_topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top_k_blocks(chunks, _questions(spark, sf_dir, "vec_id % 25 = 0"), 4)
 
 
+@query()
+def knn_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``knn_topk`` as a whole job: every 50th vector is a question, all vectors are searched. Held against brute force, without SQL."""
+    chunks = S.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return retrieval.top_k_blocks(chunks, _questions(spark, sf_dir, "vec_id % 50 = 0"), 20)
+
+
 @query("SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm, len(embedding) = 64 AS usable FROM embeddings")
 def vector_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Norms, and whether a vector has the dimension and finite elements."""
