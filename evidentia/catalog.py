@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,9 +90,19 @@ def inventory_searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BENCH = "benchmark WHERE item_id < 20"
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Question i meets the chunks whose id leaves the remainder i by 20, in order of id."""
-    b = S.table(spark, sf_dir, "benchmark").filter("item_id < 20").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+def _asked(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
+    b = S.table(spark, sf_dir, "benchmark")
+    return b if whole else b.filter("item_id < 20")
+
+
+def _candidates(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Question i meets the chunks whose id leaves the remainder i by 20, in order of id.
+
+    whole: every question meets what a search of all chunks by its words finds.
+    """
+    b = _asked(spark, sf_dir, whole).select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    if whole:
+        return retrieval.top_k_by_words(S.gold_chunks(spark, sf_dir), b, 20)
     c = S.gold_chunks(spark, sf_dir).withColumn("question_id", F.col("chunk_id") % 20).join(F.broadcast(b), "question_id")
     return retrieval.ranked(c, "question_id", [F.col("chunk_id")], "vector_rank", 20)
 
@@ -103,14 +114,14 @@ _RERANKED = f"""{_CANDIDATES}, scored AS (SELECT *, round(len(list_intersect({_W
  reranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY reranker_score DESC, vector_rank) AS INTEGER) AS rerank_rank FROM scored QUALIFY rerank_rank <= 4)"""
 
 
-def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.rerank(_candidates(spark, sf_dir), 4, retrieval.overlap_score(F.col("question"), F.col("chunk_text")))
+def _reranked(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return retrieval.rerank(_candidates(spark, sf_dir, whole), 4, retrieval.overlap_score(F.col("question"), F.col("chunk_text")))
 
 
 @query(f"WITH {_RERANKED} SELECT question_id, chunk_id, vector_rank, reranker_score, rerank_rank FROM reranked")
-def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rerank_topk(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Candidates by a score of (question, text); ties keep their order."""
-    return _reranked(spark, sf_dir).select("question_id", "chunk_id", "vector_rank", "reranker_score", "rerank_rank")
+    return _reranked(spark, sf_dir, whole).select("question_id", "chunk_id", "vector_rank", "reranker_score", "rerank_rank")
 
 
 # -- bronze ------------------------------------------------------------------------------------------------------------
@@ -464,8 +475,8 @@ _CONTEXT = """'[S' || rerank_rank || ']' || chr(10) || 'Document: ' || document_
  || 'Section title: unknown' || chr(10) || 'Pages: ' || (chunk_id % 5 + 1) || CASE WHEN chunk_id % 2 = 0 THEN '' ELSE '-' || (chunk_id % 5 + 2) END || chr(10) || 'Passage: ' || trim(regexp_replace(chunk_text, '\\s+', ' ', 'g'))"""
 
 
-def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reranked(spark, sf_dir).withColumns(
+def _sources(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return _reranked(spark, sf_dir, whole).withColumns(
         {
             "section_type": F.col("lang"), "section_reference": F.col("source"), "section_title": F.lit("").cast("string"),
             "page_start": (F.col("chunk_id") % 5 + 1).cast("int"), "page_end": F.expr("cast(chunk_id % 5 + 1 + chunk_id % 2 as int)"),
@@ -474,15 +485,15 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {_RERANKED} SELECT question_id, count(*) AS n_sources, string_agg({_CONTEXT}, chr(10) || chr(10) ORDER BY rerank_rank) AS context FROM reranked GROUP BY 1")
-def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def context_blocks(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """C15, X9, X10, X12, A16."""
-    return answers.prompts(_sources(spark, sf_dir)).select("question_id", F.col("n_sources").cast("long").alias("n_sources"), "context")
+    return answers.prompts(_sources(spark, sf_dir, whole)).select("question_id", F.col("n_sources").cast("long").alias("n_sources"), "context")
 
 
 @query()
-def grounded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def grounded_answers(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """C16, X11, X13, U3, AR1, SK11: questions to cited answers, with the offline provider."""
-    rows = answers.answer(answers.prompts(_sources(spark, sf_dir)), answers.extractive)
+    rows = answers.answer(answers.prompts(_sources(spark, sf_dir, whole)), answers.extractive)
     return answers.answer_report(rows).select("question_id", "answer", "citation_status", "cited", "report")
 
 
@@ -566,13 +577,13 @@ _EVAL = f"""{_RERANKED}, q AS (SELECT item_id AS id, (SELECT lang FROM documents
  hit AS (SELECT c.question_id AS id, c.chunk_id, c.vector_rank FROM candidates c JOIN q ON q.id = c.question_id AND q.lang = c.lang WHERE c.chunk_id % 5 + 1 <= 3)"""
 
 
-def _eval(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _eval(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     d = S.table(spark, sf_dir, "documents").select((F.col("doc_id") - 20).alias("id"), "lang")
-    b = S.table(spark, sf_dir, "benchmark").filter("item_id < 20").select(F.col("item_id").alias("id"))
+    b = _asked(spark, sf_dir, whole).select(F.col("item_id").alias("id"))
     source = F.struct(F.col("lang").alias("section_type"), F.lit(" ANY  source").alias("section_reference"), F.array(F.lit(1), F.lit(2), F.lit(3)).alias("pdf_pages"))
     questions = b.join(d, "id").select("id", F.lit("Corpus.PDF").alias("expected_document"), F.array(source).alias("expected_sources"))
     page = (F.col("chunk_id") % 5 + 1).cast("int")
-    chunks = _candidates(spark, sf_dir).select(
+    chunks = _candidates(spark, sf_dir, whole).select(
         F.col("question_id").alias("id"), "chunk_id", "vector_rank", F.lit("corpus").alias("document_name"), F.upper("lang").alias("section_type"), F.lit("any source").alias("section_reference"),
         page.alias("page_start"), page.alias("page_end"),
     )
@@ -580,16 +591,16 @@ def _eval(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 @query(f"WITH {_EVAL} SELECT id, chunk_id, vector_rank FROM hit")
-def anchor_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def anchor_hits(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """J9, F17, X3, X4."""
-    questions, chunks = _eval(spark, sf_dir)
+    questions, chunks = _eval(spark, sf_dir, whole)
     return evaluation.hits(chunks, questions, ["id"]).select("id", "chunk_id", "vector_rank")
 
 
 @query(f"WITH {_EVAL} SELECT q.id, min(vector_rank) AS first_rank FROM q LEFT JOIN hit ON hit.id = q.id GROUP BY 1")
-def first_hit_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+def first_hit_rank(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """A13."""
-    questions, chunks = _eval(spark, sf_dir)
+    questions, chunks = _eval(spark, sf_dir, whole)
     return evaluation.first_hit_rank(chunks, questions, "vector_rank")
 
 
@@ -599,18 +610,18 @@ _EVALUATED = f"""{_EVAL}, after AS (SELECT h.id, min(r.rerank_rank) AS first FRO
   CASE WHEN f.id % 7 <> 3 THEN coalesce(f.first <= 4, false) END AS vector_top_k_hit, CASE WHEN f.id % 7 <> 3 THEN a.first IS NOT NULL END AS reranked_hit FROM firsts f LEFT JOIN after a ON a.id = f.id)"""
 
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    questions, chunks = _eval(spark, sf_dir)
-    after = chunks.join(_reranked(spark, sf_dir).select(F.col("question_id").alias("id"), "chunk_id", "rerank_rank"), ["id", "chunk_id"])
+def _records(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    questions, chunks = _eval(spark, sf_dir, whole)
+    after = chunks.join(_reranked(spark, sf_dir, whole).select(F.col("question_id").alias("id"), "chunk_id", "rerank_rank"), ["id", "chunk_id"])
     status = questions.select("id", F.when(F.col("id") % 7 == 3, "error").otherwise("pending").alias("status"))
     rows = evaluation.evaluate(questions, status, chunks, after, 4)
     return rows.select("id", "status", "vector_hit", "vector_top_k_hit", "reranked_hit")
 
 
 @query(f"WITH {_EVALUATED} SELECT * FROM records")
-def evaluation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def evaluation_records(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """C23."""
-    return _records(spark, sf_dir)
+    return _records(spark, sf_dir, whole)
 
 
 _RATES = ", ".join(f"count(*) FILTER ({c}) AS {c}_hits, count({c}) AS {c}_measured, count(*) FILTER ({c}) / nullif(count({c}), 0) AS {c}_rate" for c in ("vector_hit", "vector_top_k_hit", "reranked_hit"))
@@ -620,15 +631,15 @@ _RATES = ", ".join(f"count(*) FILTER ({c}) AS {c}_hits, count({c}) AS {c}_measur
     f"""WITH {_EVALUATED} SELECT count(*) AS questions, {_RATES}, count(reranked_hit) AS paired, count(*) FILTER (reranked_hit AND NOT vector_top_k_hit) AS gained,
  count(*) FILTER (NOT reranked_hit AND vector_top_k_hit) AS lost FROM records"""
 )
-def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+def evaluation_summary(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """C25, A11, A12."""
-    return evaluation.summarize(_records(spark, sf_dir))
+    return evaluation.summarize(_records(spark, sf_dir, whole))
 
 
 @query(f"WITH {_EVALUATED} SELECT status, count(*) AS n FROM records GROUP BY 1")
-def evaluation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+def evaluation_status(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """A10."""
-    return evaluation.status_counts(_records(spark, sf_dir))
+    return evaluation.status_counts(_records(spark, sf_dir, whole))
 
 
 @query(f"WITH {S.GOLD} SELECT count(*) AS chunks, count(*) FILTER (s.chunk_id IN (SELECT chunk_id FROM gold WHERE model_version = '2')) AS searchable, array_to_string(list_sort(list(DISTINCT source)), ',') AS documents, 'v' AS versions, 0 AS duplicate_chunks FROM silver s")
@@ -687,3 +698,10 @@ def opinion_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.createDataFrame([(1, 1, OPINION)], "document_id int, page_number int, page_text string")
     rows = structure.parse_opinion(structure.line_records(pages))
     return rows.groupBy("document_id", "section_type", "section_reference").agg(F.count("*").cast("int").alias("lines"))
+
+
+# -- whole jobs --------------------------------------------------------------------------------------------------------
+
+#: The same queries over all questions, with candidates from all chunks; held against brute force, without SQL.
+for _f in (rerank_topk, anchor_hits, first_hit_rank, evaluation_records, evaluation_summary, evaluation_status, context_blocks, grounded_answers):
+    _QUERIES[f"{_f.__name__}_whole"] = partial(_f, whole=True)
