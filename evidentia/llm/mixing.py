@@ -5,6 +5,7 @@ densities of a few text statistics, and of the number of different words that th
 document's tokens count for each domain by its posterior. Rates (how often a document is taken, nonnegative) are then
 fitted by distributed projected-gradient least squares, so that the expected tokens of every domain match its target.
 Every step is one aggregation over (tokens, posteriors, rate) of all documents and returns one number for each domain.
+Where the steps end before the targets are met, Newton steps of the dual go on from there.
 
 Domains are ``poor`` (quality 0), ``toxic`` (toxic 1) and ``good`` (the rest). ``copies`` rounds a rate to a whole number
 of copies, up or down by a hash of the id, so that expected totals stay.
@@ -17,7 +18,9 @@ and its weight goes to the others; without any, every document is ``good``; repe
 from __future__ import annotations
 
 import math
+import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,6 +35,8 @@ WORDS = 300
 #: Steps of the gradient at most, and the largest relative error of a domain's total at which they end.
 STEPS = 40
 TOLERANCE = 2e-3
+#: Further aggregations at most, where the gradient has not met it.
+PASSES = 60
 #: Errors are relative to a domain's target, or to this share of all targets where that is more: a domain that hardly
 #: occurs must not outweigh the others.
 LEAST_SCALE = 0.05
@@ -107,7 +112,8 @@ def rates(rows: DataFrame, targets: list[float], steps: int = STEPS) -> DataFram
     """``rows`` (tokens, p) with ``rate``: nonnegative, near 1, with expected domain totals that match the targets.
 
     Projected gradient on the squared relative errors of the totals. The step is the inverse of the largest curvature,
-    bounded by the trace of the totals' second moments, and extrapolated (Nesterov).
+    bounded by the trace of the totals' second moments, and extrapolated (Nesterov). What is left after ``steps`` is settled
+    by the dual.
     """
     d = range(len(targets))
     at = [F.col("p")[k] for k in d]
@@ -132,9 +138,48 @@ def rates(rows: DataFrame, targets: list[float], steps: int = STEPS) -> DataFram
         if k % 5 == 4:
             table = stage(table, "rates")
         momentum = following
+    else:
+        table = settled(stage(table, "rates"), targets, scale)
     return table.drop("before")
 
 
+def settled(table: DataFrame, targets: list[float], scale: list[float], passes: int = PASSES) -> DataFrame:
+    """``table`` (tokens, p, rate) with the nearest nonnegative rates whose totals match the targets.
+
+    These are max(0, rate + a number for each domain times its posterior); the numbers are the dual's solution, by damped
+    Newton steps, each of which is one aggregation. What can't be met is reported by a warning.
+    """
+    d = range(len(targets))
+    share = [F.col("p")[k] / scale[k] for k in d]
+    goal = np.array(targets) / scale
+
+    def moved(dual: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), F.col("rate") + sum((float(dual[k]) * share[k] for k in d), F.lit(0.0)))
+
+    def measured(dual: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        new, n = moved(dual), F.col("tokens")
+        active = F.when(new > 0, n).otherwise(0)
+        sums = [F.sum(n * share[j] * new) for j in d] + [F.sum(active * share[j] * share[k]) for j in d for k in d]
+        got = [float(x or 0.0) for x in table.agg(F.sum(n * new * new / 2), *sums).first()]
+        return got[0] - float(dual @ goal), np.array(got[1 : 1 + len(goal)]) - goal, np.array(got[1 + len(goal) :]).reshape(len(goal), -1)
+
+    dual = np.zeros(len(goal))
+    value, error, moments = measured(dual)
+    length = 1.0
+    for _ in range(passes):
+        if np.abs(error).max() < TOLERANCE or length < 1e-6:
+            break
+        step = -np.linalg.lstsq(moments, error, rcond=1e-14)[0]
+        there = measured(dual + length * step)
+        if there[0] <= value + 1e-4 * length * float(error @ step):
+            dual, (value, error, moments), length = dual + length * step, there, 1.0
+        else:
+            length /= 4
+    if np.abs(error).max() >= TOLERANCE:
+        warnings.warn(f"mixing: totals miss their targets by {(error / np.maximum(goal, 1e-300)).tolist()} of them", stacklevel=2)
+    return table.withColumn("rate", moved(dual))
+
+
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, anchor: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, p_good, p_poor, p_toxic, rate, copies) of every row of (doc_id, text).
 

@@ -283,6 +283,26 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0), labels).count() == 0
 
 
+def test_mixing_meets_targets_of_rare_domains(spark):
+    rows = spark.createDataFrame([(999_900, [1.0, 0.0, 0.0]), (90, [0.0, 1.0, 0.0]), (10, [0.0, 0.0, 1.0])], "tokens long, p array<double>")
+    total = 999_900 * 1.01 / 0.97
+    got = mixing.rates(rows, [total * w for w in (0.97, 0.02, 0.01)]).collect()
+    own = [sum(r.tokens * r.p[k] * r.rate for r in got) / total for k in range(3)]
+    assert own == pytest.approx([0.97, 0.02, 0.01], abs=1.5e-4, rel=2e-3)
+    soft = [(50 + k, [0.9998 - k * 1e-6, 1e-4, 1e-4 + k * 1e-6]) for k in range(100)] + [(3, [0.1, 0.8, 0.1]), (2, [0.0, 0.1, 0.9])]
+    rows = spark.createDataFrame(soft, "tokens long, p array<double>")
+    total = sum(t for t, _ in soft)
+    got = mixing.rates(rows, [total * w for w in (0.97, 0.02, 0.01)]).collect()
+    assert [sum(r.tokens * r.p[k] * r.rate for r in got) / total for k in range(3)] == pytest.approx([0.97, 0.02, 0.01], abs=1.5e-4, rel=2e-3)
+    assert min(r.rate for r in got) >= 0
+
+
+def test_mixing_reports_what_it_cannot_meet(spark):
+    rows = spark.createDataFrame([(100, [0.5, 0.5])], "tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="miss their targets"):
+        mixing.rates(rows, [90.0, 10.0]).collect()
+
+
 def test_mixing_is_expressions_only(spark):
     rows, labels = mixture(spark)
     plan = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string"), labels)._jdf.queryExecution().toString()
