@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.staging import stage
+from evidentia.llm.staging import discard, stage
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -17,6 +17,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = links.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     edges = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
+    old: list[DataFrame] = [edges]
     for _ in range(most_rounds):
         # large star: every larger neighbour is linked with the smallest of a node's neighbours and itself
         both = edges.union(edges.select("v", "u"))
@@ -27,8 +28,12 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         edges = stage(small, "edges")
+        discard(*old, large)
+        old = [edges]
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components have not settled after {most_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())

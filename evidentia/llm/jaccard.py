@@ -3,9 +3,12 @@
 The join is exact (up to 64-bit hashes of shingles and of sets): two texts link if 100 * |A & B| >= 75 * |A | B|.
 
 1. Texts with equal shingle sets form a class; the rest works on one member of each class.
-2. Shingles are counted over all texts, by hash, in a table of fixed size. Rare ones come first in one global order. Two
-   linked sets share one of the first n - ceil(0.75 n) + 1 shingles of each (the prefix), so every class goes, packed,
-   to the buckets of its prefix; classes that share a prefix shingle form a run.
+2. Rare shingles come first in one global order. Two linked sets share one of the first n - ceil(0.75 n) + 1 shingles of
+   each (the prefix). Every class asks, in packed chunks, the buckets of its shingles how many classes hold each; the
+   answers go back to the chunk, where the prefix is chosen. Shingles that one class holds alone come first and bring nothing
+   together, so most classes end here, however many passages they share with others. The few hot shingles (found by
+   counters; their number is bounded) aren't asked for, but come last in the order. What is left of a prefix goes to
+   the buckets of its shingles; classes that share one form a run.
 3. Every class is compared with one hub: of the classes that stand first in its runs (a run's first is the member that is
    in most runs), the one it shares most runs with. Components of the links found settle most runs; what is left are runs
    with members of different components.
@@ -32,19 +35,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm import spans
 from evidentia.llm.components import components
-from evidentia.llm.staging import stage
+from evidentia.llm.staging import BROADCAST, discard, fit, fresh, stage
 
 WIDTH = 5
-#: Shingle counters, and the slices they are added up in.
+#: Counters that hot shingles are found by; times a partition's mean from which it reports one; least count of a hot one.
 COUNTERS = 1 << 20
-SLICES = 32
-#: Prefix shingles of a bucket, about.
-BUCKET = 400_000
+REPORTED = 4
+HOT = 4_096
+#: Shingles of a bucket, and of a chunk of documents, about.
+BUCKET = 500_000
+CHUNK = 1_500_000
 #: Members of a tile of a run, and shingles of all of them, at most (but one member at least).
 TILE = 1_024
 TILE_SHINGLES = 1_000_000
@@ -55,8 +62,6 @@ FAN = 16
 BLOCK = 1_024
 BLOCK_SHINGLES = 1_000_000
 COLUMNS = 2_048
-#: Rows that are broadcast at most (of two or three numbers each); a larger side is shuffled.
-BROADCAST = 1_000_000
 #: Members compared with one other text in a task.
 SALT = 128
 
@@ -85,94 +90,189 @@ def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, cls) of all documents, and rows (slice, counts) with counters of shingles of each partition."""
+    """Rows (doc_id, n, cls) of all documents, and rows (counter, count) of what each partition counts often.
+
+    Shingles are counted by hash in COUNTERS counters. A partition reports those that reach REPORTED times the mean of its
+    counters, so of a shingle's count over all partitions less than REPORTED times the whole mean goes unreported.
+    The counter -1 holds all of a partition's shingles.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(COUNTERS, np.int64)
-        seen: set[int] = set()
+        counters = np.zeros(COUNTERS, np.int64)
         for b in batches:
-            n, cls, new = [], [], []
+            n, cls, held = [], [], []
             for _, s in _sets(b.column(1)):
-                c = class_of(s)
                 n.append(len(s))
-                cls.append(c)
-                if c not in seen and len(s):
-                    new.append(s)
-                    if len(seen) < 1_000_000:  # more copies only blur the order of shingles
-                        seen.add(c)
-            if new:
-                table += np.bincount((np.concatenate(new) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-            yield batch(b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary()))
-        if table.any():
-            parts = table.astype("<u4").reshape(SLICES, -1)
-            none = pa.nulls(SLICES, pa.int64())
-            yield batch(none, none, none, pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()))
+                cls.append(class_of(s))
+                held.append(s)
+            if held:
+                counters += np.bincount((np.concatenate(held) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+            none = pa.nulls(len(n), pa.int64())
+            yield batch(b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), none, none)
+        total = int(counters.sum())
+        if total:
+            often = np.flatnonzero(counters >= max(4, REPORTED * total / COUNTERS))
+            none = pa.nulls(len(often) + 1, pa.int64())
+            yield batch(none, none, none, pa.array(np.append(often, -1)), pa.array(np.append(counters[often], total)))
 
     def batch(*columns: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([columns[0].cast(pa.int64()), *columns[1:]], ["doc_id", "n", "cls", "slice", "counts"])
+        return pa.RecordBatch.from_arrays([columns[0].cast(pa.int64()), *columns[1:]], ["doc_id", "n", "cls", "counter", "count"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls long, slice int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n long, cls long, counter long, count long")
 
 
 def levels(described: DataFrame) -> np.ndarray:
-    """The order's first part for each counter: 0 for shingles as rare as most, more for frequent ones."""
+    """For each counter 0, or for hot shingles their place in the order: after all others, by count.
+
+    At most COUNTERS / REPORTED counters are hot, whatever the data.
+    """
+    counts = described.filter("counter is not null").groupBy("counter").agg(F.sum("count").alias("count"))
+    total = counts.filter("counter = -1").first()
+    least = max(HOT, REPORTED * (total["count"] if total else 0) / COUNTERS)
+    got = counts.filter((F.col("counter") >= 0) & (F.col("count") >= least)).toArrow()
+    out = np.zeros(COUNTERS, np.uint8)
+    out[got["counter"].to_numpy()] = np.clip(2 * np.log2(got["count"].to_numpy() / least), 0, 50).astype(np.uint8) + 200
+    return out
+
+
+def level_of(count: np.ndarray) -> np.ndarray:
+    """The order's first part for counted shingles: by count, exact up to 64."""
+    return np.where(count <= 64, count, np.minimum(64 + 4 * np.log2(np.maximum(count, 64) / 64), 199)).astype(np.uint8)
+
+
+def _cut(of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by ``of`` (numbers below n), and where each number begins in it."""
+    order = np.argsort(of, kind="stable")
+    return order, np.searchsorted(of[order], np.arange(n + 1))
 
-    def add(rows: pa.Table) -> pa.Table:
-        total = np.zeros(COUNTERS // SLICES, np.int64)
-        for c in rows["counts"]:
-            total += np.frombuffer(c.as_py(), "<u4")
-        return pa.table({"slice": pa.array([rows["slice"][0].as_py()], pa.int32()), "total": pa.array([total.tobytes()], pa.binary())})
 
-    got = described.filter("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(add, "slice int, total binary").toArrow()
-    counts = np.zeros((SLICES, COUNTERS // SLICES))
-    for s, t in zip(got["slice"].to_pylist(), got["total"].to_pylist(), strict=True):
-        counts[s] = np.frombuffer(t, np.int64)
-    mean = max(8.0, counts.mean())
-    return np.clip(np.floor(2 * np.log2(np.maximum(counts.reshape(-1), 1) / mean)), 0, 62).astype(np.uint8)
+def _binaries(rows: list[tuple], numbers: int, names: list[str]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * numbers + [pa.binary()] * (len(names) - numbers)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
 
 
-def prefixes(docs: DataFrame, level: np.ndarray, buckets: int) -> DataFrame:
-    """Packed prefixes: for each partition and bucket the tokens (order keys), and the class and size of each."""
+ASKED = ["key", "chunk", "token", "place", "cls", "size", "cool", "hot", "hot_place", "hot_level"]
+TOLD = ["chunk", "bucket", "token", "place", "level", "cls", "size", "cool", "hot", "hot_place", "hot_level"]
+
+
+def ask(docs: DataFrame, level: np.ndarray, buckets: int) -> DataFrame:
+    """Packed rows: for each chunk of documents the shingles that fall into each bucket, and a head (bucket -1 - chunk).
+
+    A head holds, for each document of the chunk, its class, the size of its set, how many of its shingles aren't hot, and as
+    many of the hot ones as its prefix can need.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
-    def flush(tokens: list[np.ndarray], cls: list[int], size: list[int]) -> pa.RecordBatch:
+    def flush(chunk: int, tokens: list, cls: list, size: list, hot: list, places: list, hot_levels: list) -> pa.RecordBatch:
         flat = np.concatenate(tokens)
-        owner = np.repeat(np.arange(len(cls), dtype=np.int32), [len(t) for t in tokens])
-        bucket = (spans.mix(flat) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        ids, sizes = np.array(cls, np.int64), np.array(size, np.int32)
-        rows = []
-        for k in np.flatnonzero(np.diff(cut)).tolist():
-            own = order[cut[k] : cut[k + 1]]
-            who, place = np.unique(owner[own], return_inverse=True)
-            rows.append((k, flat[own].tobytes(), place.astype("<u4").tobytes(), ids[who].tobytes(), sizes[who].tobytes()))
-        kinds = [pa.int32(), *[pa.binary()] * 4]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["bucket", "token", "place", "cls", "size"])
+        cool = np.array([len(t) for t in tokens], "<u4")
+        owner = np.repeat(np.arange(len(cls), dtype="<u2"), cool)
+        order, cut = _cut(((flat & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int32), buckets)
+        token, owner = (flat[order] >> np.uint64(32)).astype("<u4"), owner[order]
+        rows = [(k, chunk, token[cut[k] : cut[k + 1]].tobytes(), owner[cut[k] : cut[k + 1]].tobytes(), *[None] * 6) for k in np.flatnonzero(np.diff(cut)).tolist()]
+        head = [np.array(cls, "<i8"), np.array(size, "<u4"), cool, *(np.concatenate([np.zeros(0, t), *x]).astype(t) for x, t in ((hot, "<u8"), (places, "<u2"), (hot_levels, "u1")))]
+        return _binaries([*rows, (-1 - chunk, chunk, None, None, *(h.tobytes() for h in head))], 2, ASKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = shared.value
-        tokens, cls, size, held, seen = [], [], [], 0, set()
+        own = shared.value
+        chunk = TaskContext.get().partitionId() << 32
+        held: tuple[list, ...] = [], [], [], [], [], []
+        have = 0
         for b in batches:
             for _, s in _sets(b.column(0)):
-                c = class_of(s)
-                if not c or c in seen:
+                if not len(s):
                     continue
-                seen.add(c)
-                key = rank[(s % np.uint64(COUNTERS)).astype(np.int64)].astype(np.uint64) << np.uint64(58) | s >> np.uint64(6)
-                p = prefix_length(len(s))
-                tokens.append(np.partition(key, p - 1)[:p])
-                cls.append(c)
+                tokens, cls, size, hot, places, hot_levels = held
+                at = own[(s % np.uint64(COUNTERS)).astype(np.int64)]
+                cool = s[at == 0]
+                need = prefix_length(len(s)) - len(cool)
+                if need > 0:
+                    warm, warm_level = s[at > 0], at[at > 0]
+                    first = np.lexsort((warm, warm_level))[:need]
+                    hot.append(warm[first])
+                    hot_levels.append(warm_level[first])
+                    places.append(np.full(len(first), len(cls), "<u2"))
+                tokens.append(cool)
+                cls.append(class_of(s))
                 size.append(len(s))
-                held += p
-                if held > 2_000_000:
-                    yield flush(tokens, cls, size)
-                    tokens, cls, size, held = [], [], [], 0
-                    seen = seen if len(seen) < 1_000_000 else set()
-        if tokens:
-            yield flush(tokens, cls, size)
+                have += len(cool) + max(0, need)
+                if have >= CHUNK or len(cls) == 65_535:
+                    yield flush(chunk, *held)
+                    held, have, chunk = ([], [], [], [], [], []), 0, chunk + 1
+        if held[1]:
+            yield flush(chunk, *held)
+
+    return docs.select("text").mapInArrow(run, ", ".join(f"{c} {'long' if k < 2 else 'binary'}" for k, c in enumerate(ASKED)))
+
+
+def tell(asked: DataFrame) -> DataFrame:
+    """Back to each chunk, the shingles of a bucket that more than one document holds, with their counts; heads as they are."""
+
+    def count(rows: pa.Table) -> pa.Table:
+        key = rows["key"][0].as_py()
+        if key < 0:
+            head = [rows[c][0].as_py() for c in ("chunk", *ASKED[4:])]
+            return pa.Table.from_batches([_binaries([(head[0], None, None, None, None, *head[1:])], 2, TOLD)])
+        token = [np.frombuffer(t.as_buffer(), "<u4") for t in rows["token"]]
+        place = np.concatenate([np.frombuffer(t.as_buffer(), "<u2") for t in rows["place"]])
+        row = np.repeat(np.arange(len(token), dtype=np.int32), [len(t) for t in token])
+        token = np.concatenate(token)
+        order = np.argsort(token, kind="stable")
+        token, place, row = token[order], place[order], row[order]
+        begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        n = np.repeat(times := np.diff(np.append(begin, len(token))), times)
+        many = n > 1
+        token, place, row, level = token[many], place[many], row[many], level_of(n[many])
+        order, cut = _cut(row, rows.num_rows)
+        chunks = rows["chunk"].to_pylist()
+        out = []
+        for k in np.flatnonzero(np.diff(cut)).tolist():
+            own = order[cut[k] : cut[k + 1]]
+            out.append((chunks[k], key, token[own].tobytes(), place[own].tobytes(), level[own].tobytes(), *[None] * 6))
+        return pa.Table.from_batches([_binaries(out, 2, TOLD)])
 
-    return docs.select("text").mapInArrow(run, "bucket int, token binary, place binary, cls binary, size binary")
+    return asked.groupBy("key").applyInArrow(count, ", ".join(f"{c} {'long' if k < 2 else 'binary'}" for k, c in enumerate(TOLD)))
+
+
+def prefixes(told: DataFrame, buckets: int) -> DataFrame:
+    """Packed prefixes: for each chunk and bucket the tokens (order keys), and the class and size of each.
+
+    A shingle that no other set holds brings nothing together, so of a prefix only the shared ones are kept; most sets have
+    enough shingles of their own, and so none.
+    """
+
+    def pack(flat: np.ndarray, owner: np.ndarray, cls: np.ndarray, size: np.ndarray) -> pa.Table:
+        order, cut = _cut((spans.mix(flat) % np.uint64(buckets)).astype(np.int64), buckets)
+        rows = []
+        for k in np.flatnonzero(np.diff(cut)).tolist():
+            own = order[cut[k] : cut[k + 1]]
+            who, place = np.unique(owner[own], return_inverse=True)
+            rows.append((k, flat[own].tobytes(), place.astype("<u4").tobytes(), cls[who].tobytes(), size[who].astype("<i4").tobytes()))
+        return pa.Table.from_batches([_binaries(rows, 1, ["bucket", "token", "place", "cls", "size"])])
+
+    def choose(rows: pa.Table) -> pa.Table:
+        parts = {c: [x.as_buffer() for x in rows[c] if x.is_valid] for c in ("token", "place", "level")}
+        head = rows.filter(pc.is_valid(rows["cls"]))
+        cls, size, cool, hot, hot_place, hot_level = (np.frombuffer(head[c][0].as_buffer(), t) for c, t in zip(TOLD[5:], ("<i8", "<u4", "<u4", "<u8", "<u2", "u1"), strict=True))
+        token = [np.frombuffer(t, "<u4") for t in parts["token"]]
+        bucket = np.repeat(np.array([b for b in rows["bucket"].to_pylist() if b is not None], np.uint64), [len(t) for t in token])
+        place = np.concatenate([np.zeros(0, "<u2"), *(np.frombuffer(t, "<u2") for t in parts["place"])])
+        level = np.concatenate([np.zeros(0, "u1"), *(np.frombuffer(t, "u1") for t in parts["level"])])
+        token = bucket << np.uint64(32) | np.concatenate([np.zeros(0, "<u4"), *token])
+        n = size.astype(np.int64)
+        # what the prefix still wants when the shingles that one set holds alone are taken
+        need = n - (3 * n + 3) // 4 + 1 - (cool - np.bincount(place, minlength=len(n)))
+        wanted = need[place] > 0
+        place = np.concatenate([place[wanted], hot_place])
+        level = np.concatenate([level[wanted], hot_level])
+        token = np.concatenate([token[wanted], hot >> np.uint64(1) | np.uint64(1 << 63)])
+        order = np.lexsort((token, level, place))
+        token, place = token[order], place[order]
+        begin = np.searchsorted(place, np.arange(len(n)))
+        first = np.arange(len(place)) - begin[place] < need[place]
+        return pack(token[first], place[first], cls, size)
+
+    return told.groupBy("chunk").applyInArrow(choose, "bucket long, token binary, place binary, cls binary, size binary")
 
 
 RUNS = "run long, tile int, cls array<long>, size array<int>"
@@ -236,11 +336,6 @@ def hubs(members: DataFrame) -> DataFrame:
     return shared.groupBy("b").agg(F.max(F.struct("shared", "degree", "a")).alias("f")).select(F.col("f.a").alias("a"), "b")
 
 
-def _fit(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if it is small enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST else df
-
-
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that link, by their whole texts.
 
@@ -251,7 +346,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     others = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("salt"), F.col("b").alias("cls"))
     own = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"), F.col("a").alias("cls"))
     members = stage(others.unionByName(own).join(classes.select("cls", "doc"), "cls"), "members")
-    texts = docs.join(_fit(members), F.col("doc_id") == F.col("doc")).select("a", "salt", "cls", "text")
+    texts = docs.join(fit(members), F.col("doc_id") == F.col("doc")).select("a", "salt", "cls", "text")
 
     def compare(rows: pa.Table) -> pa.Table:
         a = rows["a"][0].as_py()
@@ -287,7 +382,7 @@ def signatures(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFr
                     bits.append(bitmaps(s).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(bits, pa.binary())], ["cls", "bits"])
 
-    texts = docs.join(_fit(members), F.col("doc_id") == F.col("doc")).select("cls", "text")
+    texts = docs.join(fit(members), F.col("doc_id") == F.col("doc")).select("cls", "text")
     return texts.mapInArrow(run, "cls long, bits binary").groupBy("cls").agg(F.max("bits").alias("bits"))
 
 
@@ -381,11 +476,15 @@ def residual(members: DataFrame, comp: DataFrame, classes: DataFrame, docs: Data
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, cls) of every document, and (cls, doc, n, component_id) of every class."""
     described = stage(describe(docs), "described")
-    meta = described.filter("slice is null").select("doc_id", "n", "cls")
+    meta = described.filter("counter is null").select("doc_id", "n", "cls")
     classes = stage(meta.filter("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n")), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    buckets = max(16, math.ceil(total * 0.26 / BUCKET))
-    found = stage(runs(prefixes(docs.filter("doc_id is not null"), levels(described), buckets)), "runs")
+    standing = docs.join(fit(classes.select("doc")), F.col("doc_id") == F.col("doc"), "left_semi")
+    if classes.count() > BROADCAST:
+        standing = stage(standing, "standing")  # chunks need rows in a repeatable order
+    told = tell(ask(standing, levels(described), max(16, math.ceil(total / BUCKET))))
+    found = stage(runs(prefixes(told, max(16, math.ceil(total / 8 / BUCKET)))), "runs")
+    discard(standing)
 
     members = found.dropDuplicates(["run", "tile"]).select("run", "tile", F.explode(F.arrays_zip("cls", "size")).alias("m"))
     members = stage(members.select("run", "tile", "m.cls", "m.size"), "members")
@@ -447,10 +546,10 @@ def _compared(by_class: DataFrame, docs: DataFrame, as_pairs: bool) -> DataFrame
     groups = stage(groups.withColumn("blocks", blocks), "groups")
     whole = groups.filter("blocks = 1").agg(F.sum("rows").alias("r"), F.sum("shingles").alias("s")).first()
     tasks = max(64, math.ceil((whole["r"] or 0) / BLOCK), math.ceil((whole["s"] or 0) / BLOCK_SHINGLES))
-    own = by_class.join(_fit(groups.select("component_id", "blocks")), "component_id")
+    own = by_class.join(fit(groups.select("component_id", "blocks")), "component_id")
     own = own.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     own = stage(own.select("cls", "doc", "members", "component_id", "blocks", "block"), "blocks")
-    texts = docs.join(_fit(own), F.col("doc_id") == F.col("doc")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    texts = docs.join(fit(own), F.col("doc_id") == F.col("doc")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     texts = texts.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     one = F.pmod(F.xxhash64("component_id"), F.lit(tasks))
     texts = texts.withColumn("task", F.when(F.col("blocks") == 1, one).otherwise(F.xxhash64("component_id", "i", "j")))
@@ -525,7 +624,9 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     found = stage(link(docs, text, key), "components")
     again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if again.head(1):
-        docs = docs.withColumn("_text", F.xxhash64(text)).withColumn("_null", F.when(F.col(key).isNull(), F.monotonically_increasing_id()))
-        docs = docs.dropDuplicates([key, "_text", "_null"]).drop("_text", "_null")
-    gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(_fit(gone), F.col(key) == F.col("_gone"), "left_anti")
+        same, lone = fresh(docs, "_same"), fresh(docs, "_lone")
+        docs = docs.withColumn(same, F.xxhash64(text)).withColumn(lone, F.when(F.col(key).isNull(), F.monotonically_increasing_id()))
+        docs = docs.dropDuplicates([key, same, lone]).drop(same, lone)
+    name = fresh(docs, "_gone")
+    gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(fit(gone), F.col(key) == F.col(name), "left_anti")
