@@ -6,20 +6,32 @@ new place and never to one that the plan reads.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def upsert_documents(target: DataFrame, source: DataFrame, key: str = "document_name", id: str = "document_id") -> DataFrame:
+#: Ranges that new rows are numbered in, and rows that their bounds are taken from, about.
+RANGES = 64
+SAMPLE = 4_096
+
+
+def upsert_documents(target: DataFrame, source: DataFrame, key: str = "document_name", id: str = "document_id", hash: str = "file_hash", loaded_at: Column | None = None) -> DataFrame:
     """Rows of ``source`` (unique in ``key``) replace those of the same identity, keeping their id; others get new ids.
 
-    New ids follow the largest one in order of the key.
+    New ids follow the largest one in order of the key. Nothing is returned, but ValueError raised, if ``source`` has a key
+    twice, a name has more than one identity in ``target``, or another document owns a hash. loaded_at: when the rows were
+    written, for a column of that name of ``target``.
     """
+    twice = source.groupBy(key).count().filter("count > 1").select(key, F.lit("key of several source rows").alias("problem"))
+    found = conflicts(target, source, key, hash).unionByName(twice).orderBy(key, "problem").head(5)
+    if found:
+        raise ValueError("documents can't be stored: " + "; ".join(f"{r[key]}: {r['problem']}" for r in found))
+    if loaded_at is not None:
+        source = source.withColumn("loaded_at", loaded_at)
     columns = [c for c in target.columns if c != id]
     known = source.join(target.select(key, id), key, "left")
     old = known.filter(F.col(id).isNotNull())
-    # ids of new rows: an offset by a range-partitioned order, counted without one task for all
     most = target.agg(F.coalesce(F.max(id), F.lit(0)).alias("most"))
     new = numbered(known.filter(F.col(id).isNull()).drop(id), [key], "_n").crossJoin(F.broadcast(most))
     new = new.withColumn(id, (F.col("most") + F.col("_n")).cast(target.schema[id].dataType))
@@ -28,9 +40,21 @@ def upsert_documents(target: DataFrame, source: DataFrame, key: str = "document_
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """``df`` with a number from 1 in the given order, without a window over all rows: ranges are sorted and numbered in
-    themselves, and the few counts of ranges give each its start."""
-    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    """``df`` with a number from 1 in the given order, without a window over all rows.
+
+    Ranges of the first column are sorted and numbered in themselves, and the few counts of ranges give each its start. A
+    row's range follows from its value alone (bounds come from a sample chosen by hash), so however often and wherever the
+    plan computes it, it is the same.
+    """
+    first = F.col(order[0])
+    total = df.count()
+    some = df.select(first.alias("v")).filter(first.isNotNull())
+    if total > SAMPLE:
+        some = some.filter(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(SAMPLE / total * (1 << 30)))
+    values = sorted({r.v for r in some.limit(4 * SAMPLE).collect()})
+    bounds = F.array(*[F.lit(v).cast(df.schema[order[0]].dataType) for v in values[:: max(1, len(values) // RANGES)][1:]])
+    at = F.when(first.isNull(), F.lit(-1)).otherwise(F.size(F.filter(bounds, lambda x: x <= first))) if len(values) > 1 else F.lit(0)
+    ranged = df.withColumn("_range", at)
     counts = ranged.groupBy("_range").count()
     starts = counts.select("_range", (F.sum("count").over(W.orderBy("_range")) - F.col("count")).alias("_start"))
     own = F.row_number().over(W.partitionBy("_range").orderBy(*order))
