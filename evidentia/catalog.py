@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from evidentia import standins as S
 from evidentia.functions import text as X
 from evidentia.functions import vectors as V
-from evidentia.operators import answers, audit, chunking, evaluation, layers, retrieval, structure, validation
+from evidentia.operators import answers, audit, chunking, evaluation, jobs, layers, retrieval, structure, validation
 from evidentia.sources import files, manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,23 +52,16 @@ def _knn_sql(rule: str, k: int) -> str:
 SELECT question_id, chunk_id, similarity, CAST(vector_rank AS INTEGER) AS vector_rank FROM ranked WHERE vector_rank <= {k}"""
 
 
-@query(_knn_sql("q.vec_id < 5", 20))
+@query(_knn_sql("q.vec_id % 50 = 0", 20))
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact nearest chunks of a model for a few questions."""
+    """Exact nearest chunks of a model; every 50th vector is a question."""
     chunks = retrieval.searchable(S.gold_chunks(spark, sf_dir), S.gold(spark, sf_dir), "m", "2").select("chunk_id", "embedding")
-    return retrieval.top_k(chunks, _questions(spark, sf_dir, "vec_id < 5"), 20)
-
-
-@query(_knn_sql("q.vec_id % 25 = 0", 4))
-def knn_topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C13 by blocks of matrix products, for a batch of questions."""
-    chunks = retrieval.searchable(S.gold_chunks(spark, sf_dir), S.gold(spark, sf_dir), "m", "2").select("chunk_id", "embedding")
-    return retrieval.top_k_blocks(chunks, _questions(spark, sf_dir, "vec_id % 25 = 0"), 4)
+    return retrieval.top_k_blocks(chunks, _questions(spark, sf_dir, "vec_id % 50 = 0"), 20)
 
 
 @query()
 def knn_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``knn_topk`` as a whole job: every 50th vector is a question, all vectors are searched. Held against brute force, without SQL."""
+    """``knn_topk`` over all vectors, of any model. Held against brute force, without SQL."""
     chunks = S.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
     return retrieval.top_k_blocks(chunks, _questions(spark, sf_dir, "vec_id % 50 = 0"), 20)
 
@@ -87,41 +79,30 @@ def inventory_searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.with_searchable_flag(S.gold_chunks(spark, sf_dir), S.gold(spark, sf_dir), "m", "2").select("chunk_id", "document_name", "searchable")
 
 
-_BENCH = "benchmark WHERE item_id < 20"
-
-
-def _asked(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
-    b = S.table(spark, sf_dir, "benchmark")
-    return b if whole else b.filter("item_id < 20")
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question meets what a search of all chunks by its words finds."""
+    b = S.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    return retrieval.top_k_by_words(S.gold_chunks(spark, sf_dir), b, 20)
 
 
-def _candidates(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Question i meets the chunks whose id leaves the remainder i by 20, in order of id.
-
-    whole: every question meets what a search of all chunks by its words finds.
-    """
-    b = _asked(spark, sf_dir, whole).select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    if whole:
-        return retrieval.top_k_by_words(S.gold_chunks(spark, sf_dir), b, 20)
-    c = S.gold_chunks(spark, sf_dir).withColumn("question_id", F.col("chunk_id") % 20).join(F.broadcast(b), "question_id")
-    return retrieval.ranked(c, "question_id", [F.col("chunk_id")], "vector_rank", 20)
-
-
-_CANDIDATES = f"""{S.GOLD_CHUNKS}, candidates AS (SELECT * FROM (SELECT s.*, b.item_id AS question_id, b.text AS question,
-  CAST(row_number() OVER (PARTITION BY b.item_id ORDER BY chunk_id) AS INTEGER) AS vector_rank FROM silver s JOIN benchmark b ON b.item_id = s.chunk_id % 20 WHERE b.item_id < 20) WHERE vector_rank <= 20)"""
 _WORDS = "list_distinct(list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))"
+_CANDIDATES = f"""{S.GOLD_CHUNKS}, held AS (SELECT chunk_id, unnest({_WORDS.format("chunk_text")}) AS w FROM silver), asked AS (SELECT item_id AS question_id, unnest({_WORDS.format("text")}) AS w FROM benchmark),
+ weights AS (SELECT w, ln(1 + (SELECT count(*) FROM silver) / count(*)) AS weight FROM held GROUP BY 1),
+ found AS (SELECT question_id, chunk_id, round(sum(weight), 6) AS total FROM asked JOIN held USING (w) JOIN weights USING (w) GROUP BY ALL),
+ candidates AS (SELECT s.*, f.question_id, b.text AS question, CAST(row_number() OVER (PARTITION BY f.question_id ORDER BY total DESC, s.chunk_id) AS INTEGER) AS vector_rank
+  FROM found f JOIN silver s ON s.chunk_id = f.chunk_id JOIN benchmark b ON b.item_id = f.question_id QUALIFY vector_rank <= 20)"""
 _RERANKED = f"""{_CANDIDATES}, scored AS (SELECT *, round(len(list_intersect({_WORDS.format("question")}, {_WORDS.format("chunk_text")})) / greatest(len({_WORDS.format("question")}), 1), 6) AS reranker_score FROM candidates),
  reranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY reranker_score DESC, vector_rank) AS INTEGER) AS rerank_rank FROM scored QUALIFY rerank_rank <= 4)"""
 
 
-def _reranked(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return retrieval.rerank(_candidates(spark, sf_dir, whole), 4, retrieval.overlap_score(F.col("question"), F.col("chunk_text")))
+def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.rerank(_candidates(spark, sf_dir), 4, retrieval.overlap_score(F.col("question"), F.col("chunk_text")))
 
 
 @query(f"WITH {_RERANKED} SELECT question_id, chunk_id, vector_rank, reranker_score, rerank_rank FROM reranked")
-def rerank_topk(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates by a score of (question, text); ties keep their order."""
-    return _reranked(spark, sf_dir, whole).select("question_id", "chunk_id", "vector_rank", "reranker_score", "rerank_rank")
+    return _reranked(spark, sf_dir).select("question_id", "chunk_id", "vector_rank", "reranker_score", "rerank_rank")
 
 
 # -- bronze ------------------------------------------------------------------------------------------------------------
@@ -336,14 +317,37 @@ def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.bad_page_ranges(spark.sql(f"SELECT * FROM {_RANGES}"))
 
 
-@query(
-    f"""WITH {S.DOCUMENTS} SELECT document_id, CASE WHEN document_id % 4 = 0 THEN 'rebuilt' ELSE 'unchanged' END AS status FROM bronze"""
-)
+_STORED_CHUNKS = f"""{S.chunk_cte(S.SIZE, S.OVERLAP)}, stored AS (SELECT * REPLACE (CASE WHEN document_id % 8 = 0 AND chunk_order = 1 THEN 'other' ELSE chunk_text END AS chunk_text) FROM chunks WHERE document_id % 8 <> 4 OR chunk_order > 1),
+ compared AS (SELECT coalesce(n.document_id, o.document_id) AS document_id, bool_or(n.chunk_text IS DISTINCT FROM o.chunk_text) AS differs FROM chunks n FULL JOIN stored o ON n.document_id = o.document_id AND n.chunk_order = o.chunk_order GROUP BY 1)"""
+
+
+def _silver(spark: SparkSession, sf_dir: str, dry_run: bool = False) -> jobs.Built:
+    """All documents as regulations, against stored chunks of which every eighth document's first is altered, or missing."""
+    lines = S.marked(spark, sf_dir)
+    page = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x.text), "\n")
+    pages = lines.groupBy("document_id", "page_number").agg(page.alias("page_text"))
+    documents = S.documents(spark, sf_dir).select("document_id", "document_name").join(pages.groupBy("document_id").agg(F.count("*").cast("int").alias("page_count")), "document_id")
+    wanted = documents.select("document_name", F.lit(structure.REGULATION).alias("parser_type"))
+    stored = S.silver(spark, sf_dir).withColumn("chunk_text", F.when(F.expr("document_id % 8 = 0 and chunk_order = 1"), "other").otherwise(F.col("chunk_text")))
+    return jobs.build_silver(wanted, documents, pages, stored.filter("document_id % 8 != 4 or chunk_order > 1"), S.SIZE, S.OVERLAP, dry_run=dry_run)
+
+
+@query(f"WITH RECURSIVE {_STORED_CHUNKS} SELECT document_id, CASE WHEN differs THEN 'rebuilt' ELSE 'unchanged' END AS status FROM compared")
 def chunk_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose chunks differ from the stored ones, in a text or in number."""
-    new = S.documents(spark, sf_dir).select("document_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("chunk_order"), F.col("file_hash").alias("chunk_hash"), F.lit(None).cast("string").alias("section_title"))
-    old = new.withColumn("chunk_hash", F.when(F.expr("document_id % 8 = 0 and chunk_order = 2"), "other").otherwise(F.col("chunk_hash"))).filter("document_id % 8 != 4 or chunk_order < 3")
-    return layers.chunk_status(old, new, ["chunk_hash", "section_title"])
+    """C6, C11, J13, SC6: every document built anew and compared with what is stored."""
+    return _silver(spark, sf_dir).status.select("document_id", "status")
+
+
+@query(f"WITH RECURSIVE {_STORED_CHUNKS} SELECT document_id, chunk_order, chunk_text, section_reference FROM chunks")
+def silver_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C11, SK4: the chunk table's next version."""
+    return _silver(spark, sf_dir).table.select("document_id", "chunk_order", "chunk_text", "section_reference")
+
+
+@query(f"WITH RECURSIVE {_STORED_CHUNKS} SELECT CASE WHEN differs THEN 'would_rebuild' ELSE 'unchanged' END AS status, count(*) AS documents FROM compared GROUP BY 1")
+def silver_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK13: what a build would do; its table is the stored one."""
+    return _silver(spark, sf_dir, dry_run=True).status.groupBy("status").agg(F.count("*").alias("documents"))
 
 
 # -- gold --------------------------------------------------------------------------------------------------------------
@@ -358,6 +362,18 @@ def gold_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layers.pending(S.gold_chunks(spark, sf_dir), S.gold(spark, sf_dir), "m", "2").select("chunk_id", "chunk_hash", "embedding_input_hash")
 
 
+@query(
+    f"""WITH {S.GOLD}, todo AS (SELECT s.* FROM silver s LEFT JOIN gold g ON g.chunk_id = s.chunk_id AND g.model_version = '2' AND g.chunk_hash = s.chunk_hash WHERE g.chunk_id IS NULL)
+SELECT chunk_id, model_version, chunk_hash, CAST(len(embedding) AS INTEGER) AS dimension FROM gold g WHERE NOT (model_version = '2' AND chunk_id IN (SELECT chunk_id FROM todo))
+UNION ALL SELECT chunk_id, '2', chunk_hash, 2 FROM todo"""
+)
+def gold_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C12, SC8, SC9, J6, U1, SK5: missing and outdated embeddings made and put in their place."""
+    embed = lambda rows: rows.withColumn("embedding", F.array(F.length("chunk_text").cast("float"), (F.col("chunk_id") % 7).cast("float")))
+    built = jobs.build_gold(S.gold_chunks(spark, sf_dir), S.gold(spark, sf_dir), "m", "2", embed)
+    return built.table.select("chunk_id", "model_version", "chunk_hash", F.size("embedding").alias("dimension"))
+
+
 @query(
     f"""WITH {S.GOLD} SELECT g.chunk_id, model_id, model_version, CASE WHEN s.chunk_id IS NULL THEN 'chunk is gone' ELSE 'chunk has changed' END AS reason
 FROM gold g LEFT JOIN (SELECT * FROM silver WHERE chunk_id % 9 <> 0) s ON s.chunk_id = g.chunk_id WHERE s.chunk_id IS NULL OR s.chunk_hash <> g.chunk_hash"""
@@ -449,23 +465,29 @@ def layer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("document_id", "page_rows", "chunk_count", "embedding_count")
 
 
-_FILE_FACTS = "(VALUES ('a.pdf', 'h1', 3, 1), ('b.pdf', 'h2', 2, 0), ('f.pdf', 'h3', 1, 0)) AS f(file_name, sha256, page_count, empty_page_count)"
-_STORED = "(VALUES ('a-one', 'h1', 3, 3, 4, 2), ('B two', 'hx', 2, 1, 0, 0), ('f', 'h3', 1, 1, 2, 2), ('f', 'h3', 1, 1, 2, 2)) AS s(document_name, file_hash, page_count, page_rows, chunk_count, embedding_count)"
+_AUDITED = """audited AS (SELECT 'doc_' || doc_id AS document_id, doc_id || '.pdf' AS file_name, 'r' AS source_repository, 'u' AS source_url, 'v' AS version_or_date,
+  CASE WHEN doc_id % 9 = 0 THEN 'MANUAL_REVIEW_REQUIRED' ELSE 'in force' END AS legal_status, CASE WHEN doc_id % 8 = 1 THEN 'table_layout' ELSE 'generic' END AS parser_type, doc_id % 3 <> 0 AS enabled FROM documents)"""
+_FILE_FACTS = "files AS (SELECT doc_id || '.pdf' AS file_name, md5(text) AS sha256, CAST(doc_id % 5 + 1 AS INTEGER) AS page_count, CAST(doc_id % 4 AS INTEGER) AS empty_page_count FROM documents WHERE doc_id % 7 <> 2)"
+_STORED = """stored AS (SELECT 'doc_' || doc_id AS document_name, CASE WHEN doc_id % 6 = 4 THEN 'x' ELSE md5(text) END AS file_hash, CAST(doc_id % 5 + 1 AS INTEGER) AS page_count,
+  CAST(doc_id % 5 + CASE WHEN doc_id % 10 = 3 THEN 0 ELSE 1 END AS INTEGER) AS page_rows, CAST(doc_id % 4 AS INTEGER) AS chunk_count, CAST(doc_id % 2 AS INTEGER) AS embedding_count FROM documents WHERE doc_id % 11 <> 5)"""
+_RULES = """r AS (SELECT a.*, f.sha256, f.page_count AS file_pages, f.empty_page_count, s.file_hash, s.page_count AS stored_pages, s.page_rows, s.chunk_count, s.embedding_count,
+  f.file_name IS NOT NULL AS file_exists, coalesce(s.n, 0) AS copies FROM audited a LEFT JOIN files f ON f.file_name = a.file_name
+  LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY document_name) AS n FROM (SELECT * FROM stored UNION ALL SELECT * FROM stored WHERE document_name LIKE '%77') QUALIFY row_number() OVER (PARTITION BY document_name) = 1) s ON s.document_name = a.document_id)"""
 
 
 @query(
-    """SELECT * FROM (VALUES
- ('a-one', true, true, 'fewer embeddings than chunks;pages without text', ''),
- ('B two', true, true, '', 'stored hash differs from the file''s;page_count differs from stored pages;enabled but without chunks'),
- ('c', false, false, 'not stored', 'file is missing'),
- ('A-ONE', true, false, 'metadata need a review;not stored', 'file is missing'),
- ('d.x_1', NULL, false, 'not stored', 'file is missing'),
- ('e', false, false, 'no such parser;not stored', 'file is missing'),
- ('f', true, true, '', 'no such parser;stored more than once')) AS t(document_id, enabled, file_exists, warnings, failures)"""
+    f"""WITH {_AUDITED}, {_FILE_FACTS}, {_STORED}, {_RULES} SELECT document_id, enabled, file_exists,
+ concat_ws(';', CASE WHEN legal_status LIKE '%MANUAL_REVIEW_REQUIRED%' THEN 'metadata need a review' END, CASE WHEN parser_type = 'table_layout' AND NOT enabled THEN 'no such parser' END,
+  CASE WHEN copies = 0 THEN 'not stored' END, CASE WHEN copies = 1 AND embedding_count < chunk_count THEN 'fewer embeddings than chunks' END, CASE WHEN empty_page_count > 0 THEN 'pages without text' END) AS warnings,
+ concat_ws(';', CASE WHEN NOT file_exists THEN 'file is missing' END, CASE WHEN parser_type = 'table_layout' AND enabled THEN 'no such parser' END, CASE WHEN copies > 1 THEN 'stored more than once' END,
+  CASE WHEN copies = 1 AND sha256 <> file_hash THEN 'stored hash differs from the file''s' END, CASE WHEN copies = 1 AND stored_pages <> page_rows THEN 'page_count differs from stored pages' END,
+  CASE WHEN copies = 1 AND stored_pages <> file_pages THEN 'page_count differs from the file''s' END, CASE WHEN copies = 1 AND enabled AND chunk_count = 0 THEN 'enabled but without chunks' END) AS failures FROM r"""
 )
 def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C21, V16, F14, SC5: every rule on a small corpus."""
-    report = audit.audit(*(spark.sql(f"SELECT * FROM {x}") for x in (_MANIFEST, _FILE_FACTS, _STORED)))
+    """C21, V16, F14, SC5: every rule, on a manifest, files and layers made of the documents."""
+    S.table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
+    own, files, stored = (spark.sql(f"WITH {x} SELECT * FROM {x.split()[0]}") for x in (_AUDITED, _FILE_FACTS, _STORED))
+    report = audit.audit(own, files, stored.unionByName(stored.filter("document_name like '%77'")))
     return report.select("document_id", "enabled", F.col("exists").alias("file_exists"), *[F.array_join(c, ";").alias(c) for c in ("warnings", "failures")])
 
 
@@ -475,8 +497,8 @@ _CONTEXT = """'[S' || rerank_rank || ']' || chr(10) || 'Document: ' || document_
  || 'Section title: unknown' || chr(10) || 'Pages: ' || (chunk_id % 5 + 1) || CASE WHEN chunk_id % 2 = 0 THEN '' ELSE '-' || (chunk_id % 5 + 2) END || chr(10) || 'Passage: ' || trim(regexp_replace(chunk_text, '\\s+', ' ', 'g'))"""
 
 
-def _sources(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return _reranked(spark, sf_dir, whole).withColumns(
+def _placed(chunks: DataFrame) -> DataFrame:
+    return chunks.withColumns(
         {
             "section_type": F.col("lang"), "section_reference": F.col("source"), "section_title": F.lit("").cast("string"),
             "page_start": (F.col("chunk_id") % 5 + 1).cast("int"), "page_end": F.expr("cast(chunk_id % 5 + 1 + chunk_id % 2 as int)"),
@@ -484,17 +506,46 @@ def _sources(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame
     )
 
 
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(_reranked(spark, sf_dir))
+
+
 @query(f"WITH {_RERANKED} SELECT question_id, count(*) AS n_sources, string_agg({_CONTEXT}, chr(10) || chr(10) ORDER BY rerank_rank) AS context FROM reranked GROUP BY 1")
-def context_blocks(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C15, X9, X10, X12, A16."""
-    return answers.prompts(_sources(spark, sf_dir, whole)).select("question_id", F.col("n_sources").cast("long").alias("n_sources"), "context")
+    return answers.prompts(_sources(spark, sf_dir)).select("question_id", F.col("n_sources").cast("long").alias("n_sources"), "context")
 
 
-@query()
-def grounded_answers(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+_SOURCES = f"""{_RERANKED}, sources AS (SELECT question_id, chunk_id, rerank_rank, trim(regexp_replace(chunk_text, '\\s+', ' ', 'g')) AS passage,
+ document_name || ' — ' || source || ' — page(s) ' || (chunk_id % 5 + 1) || CASE WHEN chunk_id % 2 = 0 THEN '' ELSE '-' || (chunk_id % 5 + 2) END AS label FROM reranked)"""
+
+
+def _search(spark: SparkSession, sf_dir: str) -> Callable[[DataFrame, int], DataFrame]:
+    chunks = _placed(S.gold_chunks(spark, sf_dir))
+    return lambda questions, k: retrieval.top_k_by_words(chunks, questions, k)
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+
+
+@query(f"WITH {_SOURCES} SELECT question_id, rerank_rank, chunk_id, label FROM sources")
+def answer_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions to ranked and labelled sources, in one job."""
+    found = jobs.evidence(_asked(spark, sf_dir), _search(spark, sf_dir), retrieval.overlap_score(F.col("question"), F.col("chunk_text")))
+    name = X.source_label(F.col("document_name"), F.col("section_reference"), F.col("page_start"), F.col("page_end"))
+    return found.select("question_id", "rerank_rank", "chunk_id", name.alias("label"))
+
+
+@query(
+    f"""WITH {_SOURCES}, a AS (SELECT question_id, left(arg_min(passage, rerank_rank), 200) || ' [S1]' AS answer, arg_min(label, rerank_rank) AS best,
+ string_agg('[S' || rerank_rank || '] ' || label, chr(10) ORDER BY rerank_rank) AS all_labels FROM sources GROUP BY 1)
+SELECT question_id, answer, 'ok' AS citation_status, '1' AS cited, answer || chr(10) || chr(10) || 'Cited:' || chr(10) || '[S1] ' || best || chr(10) || chr(10) || 'Retrieved:' || chr(10) || all_labels AS report FROM a"""
+)
+def grounded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C16, X11, X13, U3, AR1, SK11: questions to cited answers, with the offline provider."""
-    rows = answers.answer(answers.prompts(_sources(spark, sf_dir, whole)), answers.extractive)
-    return answers.answer_report(rows).select("question_id", "answer", "citation_status", "cited", "report")
+    rows = jobs.grounded(_asked(spark, sf_dir), _search(spark, sf_dir), retrieval.overlap_score(F.col("question"), F.col("chunk_text")), answers.extractive)
+    return rows.select("question_id", "answer", "citation_status", F.array_join(F.transform("cited", lambda x: x.cast("string")), ",").alias("cited"), "report")
 
 
 _ANSWERS = "concat(text, CASE turn % 5 WHEN 0 THEN ' [S1] and [S3][S1]' WHEN 1 THEN ' [S9] [S2] [S0]' WHEN 2 THEN ' [s1]' WHEN 3 THEN '' ELSE ' [S4]' END)"
@@ -573,17 +624,17 @@ def source_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- evaluation --------------------------------------------------------------------------------------------------------
 # Question i expects the sources of the language that its document has, on pages 1 to 3.
 
-_EVAL = f"""{_RERANKED}, q AS (SELECT item_id AS id, (SELECT lang FROM documents WHERE doc_id = item_id + 20) AS lang FROM benchmark WHERE item_id < 20),
+_EVAL = f"""{_RERANKED}, q AS (SELECT item_id AS id, lang FROM benchmark JOIN documents ON doc_id = item_id + 20),
  hit AS (SELECT c.question_id AS id, c.chunk_id, c.vector_rank FROM candidates c JOIN q ON q.id = c.question_id AND q.lang = c.lang WHERE c.chunk_id % 5 + 1 <= 3)"""
 
 
-def _eval(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+def _eval(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     d = S.table(spark, sf_dir, "documents").select((F.col("doc_id") - 20).alias("id"), "lang")
-    b = _asked(spark, sf_dir, whole).select(F.col("item_id").alias("id"))
+    b = S.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"))
     source = F.struct(F.col("lang").alias("section_type"), F.lit(" ANY  source").alias("section_reference"), F.array(F.lit(1), F.lit(2), F.lit(3)).alias("pdf_pages"))
     questions = b.join(d, "id").select("id", F.lit("Corpus.PDF").alias("expected_document"), F.array(source).alias("expected_sources"))
     page = (F.col("chunk_id") % 5 + 1).cast("int")
-    chunks = _candidates(spark, sf_dir, whole).select(
+    chunks = _candidates(spark, sf_dir).select(
         F.col("question_id").alias("id"), "chunk_id", "vector_rank", F.lit("corpus").alias("document_name"), F.upper("lang").alias("section_type"), F.lit("any source").alias("section_reference"),
         page.alias("page_start"), page.alias("page_end"),
     )
@@ -591,16 +642,16 @@ def _eval(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFr
 
 
 @query(f"WITH {_EVAL} SELECT id, chunk_id, vector_rank FROM hit")
-def anchor_hits(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def anchor_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J9, F17, X3, X4."""
-    questions, chunks = _eval(spark, sf_dir, whole)
+    questions, chunks = _eval(spark, sf_dir)
     return evaluation.hits(chunks, questions, ["id"]).select("id", "chunk_id", "vector_rank")
 
 
 @query(f"WITH {_EVAL} SELECT q.id, min(vector_rank) AS first_rank FROM q LEFT JOIN hit ON hit.id = q.id GROUP BY 1")
-def first_hit_rank(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def first_hit_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A13."""
-    questions, chunks = _eval(spark, sf_dir, whole)
+    questions, chunks = _eval(spark, sf_dir)
     return evaluation.first_hit_rank(chunks, questions, "vector_rank")
 
 
@@ -610,18 +661,42 @@ _EVALUATED = f"""{_EVAL}, after AS (SELECT h.id, min(r.rerank_rank) AS first FRO
   CASE WHEN f.id % 7 <> 3 THEN coalesce(f.first <= 4, false) END AS vector_top_k_hit, CASE WHEN f.id % 7 <> 3 THEN a.first IS NOT NULL END AS reranked_hit FROM firsts f LEFT JOIN after a ON a.id = f.id)"""
 
 
-def _records(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    questions, chunks = _eval(spark, sf_dir, whole)
-    after = chunks.join(_reranked(spark, sf_dir, whole).select(F.col("question_id").alias("id"), "chunk_id", "rerank_rank"), ["id", "chunk_id"])
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions, chunks = _eval(spark, sf_dir)
+    after = chunks.join(_reranked(spark, sf_dir).select(F.col("question_id").alias("id"), "chunk_id", "rerank_rank"), ["id", "chunk_id"])
     status = questions.select("id", F.when(F.col("id") % 7 == 3, "error").otherwise("pending").alias("status"))
     rows = evaluation.evaluate(questions, status, chunks, after, 4)
     return rows.select("id", "status", "vector_hit", "vector_top_k_hit", "reranked_hit")
 
 
 @query(f"WITH {_EVALUATED} SELECT * FROM records")
-def evaluation_records(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def evaluation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C23."""
-    return _records(spark, sf_dir, whole)
+    return _records(spark, sf_dir)
+
+
+@query(
+    f"""WITH {_RERANKED}{S.GOLD[len(S.GOLD_CHUNKS) :]}, q AS (SELECT item_id AS id, CASE WHEN item_id % 11 = 4 THEN 'none' ELSE lang END AS lang FROM benchmark JOIN documents ON doc_id = item_id + 20),
+ state AS (SELECT id, lang, CASE WHEN NOT EXISTS (SELECT 1 FROM silver s JOIN gold g ON g.chunk_id = s.chunk_id WHERE g.model_version = '2' AND s.lang = q.lang AND s.chunk_id % 5 + 1 <= 3) THEN 'unresolved_ground_truth'
+   WHEN id % 7 = 3 AND EXISTS (SELECT 1 FROM candidates c WHERE c.question_id = q.id) THEN 'error' ELSE 'completed' END AS status FROM q),
+ firsts AS (SELECT t.id, any_value(t.status) AS status, min(c.vector_rank) AS v, min(r.rerank_rank) AS r FROM state t
+   LEFT JOIN candidates c ON c.question_id = t.id AND c.lang = t.lang AND c.chunk_id % 5 + 1 <= 3 AND t.status = 'completed' LEFT JOIN reranked r ON r.question_id = t.id AND r.chunk_id = c.chunk_id GROUP BY 1)
+SELECT id, status, v AS first_vector_hit_rank, r AS first_reranked_hit_rank, CASE WHEN status = 'completed' THEN v IS NOT NULL END AS vector_hit, CASE WHEN status = 'completed' THEN coalesce(v <= 4, false) END AS vector_top_k_hit,
+ CASE WHEN status = 'completed' THEN r IS NOT NULL END AS reranked_hit, CASE WHEN status = 'error' THEN 'vector_retrieval' END AS error_stage, CASE WHEN status = 'error' THEN 'no chunk_text' END AS error FROM firsts"""
+)
+def evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole run; every seventh question's first candidate has no text, every eleventh expects what no corpus holds."""
+    questions, _ = _eval(spark, sf_dir)
+    none = F.transform("expected_sources", lambda x: x.withField("section_type", F.lit("none")))
+    questions = questions.withColumn("expected_sources", F.when(F.col("id") % 11 == 4, none).otherwise(F.col("expected_sources")))
+    page = (F.col("chunk_id") % 5 + 1).cast("int")
+    place = {"document_name": F.lit("corpus"), "section_type": F.upper("lang"), "section_reference": F.lit("any source"), "page_start": page, "page_end": page}
+    flagged = retrieval.with_searchable_flag(S.gold_chunks(spark, sf_dir), S.gold(spark, sf_dir), "m", "2").withColumns(place)
+    blank = F.when(F.expr("question_id % 7 = 3 and vector_rank = 1"), " ").otherwise(F.col("chunk_text"))
+    found = _candidates(spark, sf_dir).withColumns(place).withColumns({"chunk_text": blank, "similarity": 1.0 / F.col("vector_rank")}).withColumnRenamed("question_id", "id")
+    after = _reranked(spark, sf_dir).withColumns(place).withColumnRenamed("question_id", "id")
+    columns = ["id", "status", "first_vector_hit_rank", "first_reranked_hit_rank", "vector_hit", "vector_top_k_hit", "reranked_hit", "error_stage", "error"]
+    return jobs.evaluate(questions, flagged, found, after).select(*columns)
 
 
 _RATES = ", ".join(f"count(*) FILTER ({c}) AS {c}_hits, count({c}) AS {c}_measured, count(*) FILTER ({c}) / nullif(count({c}), 0) AS {c}_rate" for c in ("vector_hit", "vector_top_k_hit", "reranked_hit"))
@@ -631,15 +706,15 @@ _RATES = ", ".join(f"count(*) FILTER ({c}) AS {c}_hits, count({c}) AS {c}_measur
     f"""WITH {_EVALUATED} SELECT count(*) AS questions, {_RATES}, count(reranked_hit) AS paired, count(*) FILTER (reranked_hit AND NOT vector_top_k_hit) AS gained,
  count(*) FILTER (NOT reranked_hit AND vector_top_k_hit) AS lost FROM records"""
 )
-def evaluation_summary(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C25, A11, A12."""
-    return evaluation.summarize(_records(spark, sf_dir, whole))
+    return evaluation.summarize(_records(spark, sf_dir))
 
 
 @query(f"WITH {_EVALUATED} SELECT status, count(*) AS n FROM records GROUP BY 1")
-def evaluation_status(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def evaluation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10."""
-    return evaluation.status_counts(_records(spark, sf_dir, whole))
+    return evaluation.status_counts(_records(spark, sf_dir))
 
 
 @query(f"WITH {S.GOLD} SELECT count(*) AS chunks, count(*) FILTER (s.chunk_id IN (SELECT chunk_id FROM gold WHERE model_version = '2')) AS searchable, array_to_string(list_sort(list(DISTINCT source)), ',') AS documents, 'v' AS versions, 0 AS duplicate_chunks FROM silver s")
@@ -649,22 +724,40 @@ def corpus_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.corpus_facts(rows).withColumns({c: F.array_join(c, ",") for c in ("documents", "versions")})
 
 
-@query("SELECT * FROM (VALUES ('q2', 'no question'), ('q3', 'no sources'), ('q4', 'incomplete source'), ('q5', 'wrong pages'), ('q1', 'id is not unique'), (NULL, 'no id'), ('q6', 'no document')) AS t(id, problem)")
+_WRONG = {
+    "no id": "item_id % 9 = 0", "no question": "item_id % 8 = 2", "no document": "item_id % 7 = 3", "no sources": "item_id % 6 = 4",
+    "incomplete source": "item_id % 6 = 5", "wrong pages": "item_id % 6 = 3",
+}
+_QUESTION_ID = "CASE WHEN item_id % 9 = 0 THEN NULL WHEN item_id % 10 = 1 THEN 'again' ELSE concat('q', item_id) END"
+
+
+@query(
+    " UNION ALL ".join(f"SELECT {_QUESTION_ID} AS id, '{problem}' AS problem FROM benchmark WHERE {rule}" for problem, rule in _WRONG.items())
+    + f" UNION ALL SELECT id, 'id is not unique' FROM (SELECT {_QUESTION_ID} AS id FROM benchmark) WHERE id IS NOT NULL GROUP BY 1 HAVING count(*) > 1"
+)
 def dataset_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C22."""
-    ok = [("article", "Article 6", [1])]
-    rows = [("q1", "a", "d", ok), ("q1", "b", "d", ok), ("q2", " ", "d", ok), ("q3", "c", "d", []), ("q4", "c", "d", [("article", "", None)]), ("q5", "c", "d", [("a", "b", [0])]), (None, "c", "d", ok), ("q6", "c", None, ok)]
-    kind = "id string, question string, expected_document string, expected_sources array<struct<section_type: string, section_reference: string, pdf_pages: array<int>>>"
-    return evaluation.dataset_violations(spark.createDataFrame(rows, kind))
+    """C22, with every fault planted by the item's number."""
+    reference, pages = F.when(F.expr("item_id % 6 = 5"), " ").otherwise("Article 6"), F.when(F.expr("item_id % 6 = 3"), F.array(F.lit(0))).otherwise(F.array(F.lit(1)))
+    source = F.struct(F.lit("article").alias("section_type"), reference.alias("section_reference"), pages.alias("pdf_pages"))
+    sources = F.when(F.expr("item_id % 6 != 4"), F.array(source)).otherwise(F.filter(F.array(source), lambda x: F.lit(False)))
+    b = S.table(spark, sf_dir, "benchmark")
+    rows = b.select(F.expr(_QUESTION_ID).alias("id"), F.when(F.expr("item_id % 8 = 2"), " ").otherwise(F.col("text")).alias("question"), F.expr("if(item_id % 7 = 3, null, 'd')").alias("expected_document"), sources.alias("expected_sources"))
+    return evaluation.dataset_violations(rows)
 
 
-_FOUND_CHUNKS = "(VALUES (1, 1, 'a', 'n', 0.5D), (1, NULL, 'a', 'n', 0.5D), (1, 3, ' ', 'n', 0.5D), (2, 4, 'a', NULL, 0.5D), (2, 5, 'a', 'n', CAST('NaN' AS DOUBLE)), (2, 6, 'a', 'n', NULL)) AS t(question_id, chunk_id, chunk_text, document_name, score)"
+_FOUND_CHUNKS = """SELECT doc_id % 37 AS question_id, CASE WHEN doc_id % 13 <> 0 THEN doc_id END AS chunk_id, CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE lang END AS chunk_text,
+ CASE WHEN doc_id % 17 <> 0 THEN source END AS document_name, CASE WHEN doc_id % 19 = 0 THEN CAST('NaN' AS DOUBLE) WHEN doc_id % 23 <> 0 THEN CAST(0.5 AS DOUBLE) END AS score FROM documents"""
 
 
-@query("SELECT * FROM (VALUES (1, 'too many candidates'), (1, 'no chunk_id'), (1, 'no chunk_text'), (2, 'too many candidates'), (2, 'no document_name'), (2, 'score is not finite'), (2, 'score is not finite')) AS t(question_id, problem)")
+@query(
+    f"""WITH c AS ({_FOUND_CHUNKS}) SELECT question_id, 'too many candidates' AS problem FROM c GROUP BY 1 HAVING count(*) > 27
+UNION ALL SELECT question_id, CASE WHEN chunk_id IS NULL THEN 'no chunk_id' WHEN trim(chunk_text) = '' THEN 'no chunk_text' WHEN document_name IS NULL THEN 'no document_name' ELSE 'score is not finite' END
+FROM c WHERE chunk_id IS NULL OR trim(chunk_text) = '' OR document_name IS NULL OR score IS NULL OR isnan(score)"""
+)
 def candidate_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C24."""
-    return retrieval.candidate_violations(spark.sql(f"SELECT * FROM {_FOUND_CHUNKS}"), 2, "score")
+    """C24, with every fault planted by the document's number."""
+    S.table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
+    return retrieval.candidate_violations(spark.sql(_FOUND_CHUNKS), 27, "score")
 
 
 OPINION = """Opinion on models
@@ -698,10 +791,3 @@ def opinion_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.createDataFrame([(1, 1, OPINION)], "document_id int, page_number int, page_text string")
     rows = structure.parse_opinion(structure.line_records(pages))
     return rows.groupBy("document_id", "section_type", "section_reference").agg(F.count("*").cast("int").alias("lines"))
-
-
-# -- whole jobs --------------------------------------------------------------------------------------------------------
-
-#: The same queries over all questions, with candidates from all chunks; held against brute force, without SQL.
-for _f in (rerank_topk, anchor_hits, first_hit_rank, evaluation_records, evaluation_summary, evaluation_status, context_blocks, grounded_answers):
-    _QUERIES[f"{_f.__name__}_whole"] = partial(_f, whole=True)

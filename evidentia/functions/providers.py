@@ -44,25 +44,45 @@ def embed(df: DataFrame, text: str, dimension: int, model: Callable[[list[str]],
     return df.mapInArrow(run, schema)
 
 
+def in_order(items: list[tuple[int, list[float]]], n: int) -> list[list[float]]:
+    """Vectors of a reply whose items (index, vector) may come in any order; indices must be 0 to n - 1, each once."""
+    items = sorted(items, key=lambda x: x[0])
+    if [i for i, _ in items] != list(range(n)):
+        raise ValueError(f"the reply has the indices {[i for i, _ in items][:10]}, not 0 to {n - 1}")
+    return [v for _, v in items]
+
+
+def embed_question(question: str, dimension: int, model: Callable[[list[str]], np.ndarray] | None = None) -> list[float]:
+    """The vector of one question; anything but exactly one finite vector is an error."""
+    got = np.asarray((model or (lambda t: offline_embed(t, dimension)))([question]), np.float64)
+    if got.shape != (1, dimension) or not np.isfinite(got).all():
+        raise ValueError(f"the model's reply has the shape {got.shape} or elements that aren't finite")
+    return got[0].tolist()
+
+
 def score_pairs(df: DataFrame, model: Callable[[list[tuple[str, str]]], list[float]], question: str = "question", text: str = "chunk_text", batch: int = 8, column: str = "reranker_score") -> DataFrame:
-    """``df`` with a model's scores of (question, text) pairs, asked for in batches."""
+    """``df`` with a model's scores of (question, text) pairs, asked for in batches; another number of scores, or one that isn't finite, is an error."""
 
     @F.pandas_udf("double")
     def score(q: pd.Series, t: pd.Series) -> pd.Series:
         pairs = list(zip(q, t, strict=True))
-        return pd.Series([float(s) for i in range(0, len(pairs), batch) for s in model(pairs[i : i + batch])], dtype=float)
+        found = np.array([float(s) for i in range(0, len(pairs), batch) for s in model(pairs[i : i + batch])], float)
+        if len(found) != len(pairs) or not np.isfinite(found).all():
+            raise ValueError(f"the model gave {len(found)} scores for {len(pairs)} pairs, or one that isn't finite")
+        return pd.Series(found)
 
     return df.withColumn(column, score(F.col(question), F.col(text)))
 
 
-def generate(df: DataFrame, model: Callable[[str], str], column: str = "answer") -> DataFrame:
-    """``df`` with a model's answers to ``prompt``; an empty one is an error."""
+def generate(df: DataFrame, model: Callable[[list[str]], list[str]], column: str = "answer", batch: int = 16) -> DataFrame:
+    """``df`` with a model's answers to ``prompt``, asked for in batches; an empty one is an error."""
 
     @F.pandas_udf("string")
     def ask(prompts: pd.Series) -> pd.Series:
-        out = prompts.map(model)
-        if (out.str.strip() == "").any():
-            raise ValueError("the model gave an empty answer")
-        return out
+        given = prompts.tolist()
+        out = [a for i in range(0, len(given), batch) for a in model(given[i : i + batch])]
+        if len(out) != len(given) or not all(a and a.strip() for a in out):
+            raise ValueError("the model gave an empty answer, or not one for each prompt")
+        return pd.Series(out, dtype=object)
 
     return df.withColumn(column, ask("prompt"))

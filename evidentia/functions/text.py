@@ -127,3 +127,28 @@ def query_with_instruction(question: Column, task: str) -> Column:
 
 def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
+
+
+def run_id(at: Column, suffix: Column | None = None) -> Column:
+    """A run's name from its start in UTC (a timestamp of a session in UTC), with a suffix that tells runs of one second apart."""
+    own = F.date_format(at, "yyyyMMdd'T'HHmmss'Z'")
+    return own if suffix is None else F.concat(own, F.lit("_"), suffix)
+
+
+def utc_text(at: Column) -> Column:
+    """ISO form of a timestamp of a session in UTC."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def seconds(value: Column) -> Column:
+    """Timings are kept to four digits."""
+    return F.round(value, 4)
+
+
+def four_digits(value: Column) -> Column:
+    return F.format_string("%.4f", value.cast("double"))
+
+
+def percent(value: Column) -> Column:
+    """A share with one digit, or ``n/a`` where nothing was measured."""
+    return F.when(value.isNull(), "n/a").otherwise(F.format_string("%.1f%%", 100 * value.cast("double")))

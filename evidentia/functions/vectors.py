@@ -20,6 +20,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.when(size == 0, float("nan")).otherwise(dot(a, b) / F.nullif(size, F.lit(0.0))))
 
 
+def strict_cosine(a: Column, b: Column) -> Column:
+    """The same, but a missing vector, another number of elements or a zero vector raises an error."""
+    problem = (
+        F.when(a.isNull() | b.isNull(), "a vector is missing").when(F.size(a) != F.size(b), "vectors of different dimensions").when((norm(a) == 0) | (norm(b) == 0), "a vector is zero")
+    )
+    return F.when(problem.isNotNull(), F.raise_error(problem).cast("double")).otherwise(cosine(a, b))
+
+
 def usable(a: Column, dimension: int) -> Column:
     """Of the given dimension, all elements present and finite."""
     fine = F.forall(a, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))

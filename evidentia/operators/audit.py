@@ -74,6 +74,29 @@ def audit(manifest: DataFrame, files: DataFrame, found: DataFrame | None) -> Dat
     return rows.select("document_id", "enabled", "exists", "copies", warnings.alias("warnings"), failures.alias("failures"))
 
 
-def exit_code(report: DataFrame) -> int:
-    """1 if any document fails, else 0."""
-    return int(bool(report.filter(F.size("failures") > 0).head(1)))
+def findings(report: DataFrame, unknown_files: DataFrame, stored_error: str | None = None) -> DataFrame:
+    """(level, message) of the whole corpus: files that the manifest doesn't know, stored layers that can't be read, and every
+    document's warnings and failures under its id. level: ``failure`` or ``warning``."""
+    names = unknown_files.agg(F.array_join(F.array_sort(F.collect_set("file_name")), ", ").alias("n")).filter("n != ''")
+    rows = names.select(F.lit("failure").alias("level"), F.concat(F.lit("files unknown to the manifest: "), "n").alias("message"))
+    for level, column in (("failure", "failures"), ("warning", "warnings")):
+        own = report.select(F.lit(level).alias("level"), F.explode(F.transform(column, lambda x: F.concat("document_id", F.lit(": "), x))).alias("message"))
+        rows = rows.unionByName(own)
+    if stored_error:
+        one = report.sparkSession.range(1).select(F.lit("warning").alias("level"), F.lit(f"stored layers can't be read: {stored_error}").alias("message"))
+        rows = rows.unionByName(one)
+    return rows
+
+
+def exit_code(found: DataFrame, manifest_problems: DataFrame | None = None) -> int:
+    """2 if the manifest is invalid, 1 if any finding is a failure, else 0."""
+    if manifest_problems is not None and manifest_problems.head(1):
+        return 2
+    return int(bool(found.filter("level = 'failure'").head(1)))
+
+
+def as_json(report: DataFrame, found: DataFrame) -> dict:
+    """The audit as one document, in order of id; a manifest's documents are few."""
+    documents = [r.asDict(recursive=True) for r in report.orderBy("document_id").collect()]
+    messages = {level: [r.message for r in found.filter(F.col("level") == level).orderBy("message").collect()] for level in ("failure", "warning")}
+    return {"documents": documents, "validation_failures": messages["failure"], "warnings": messages["warning"]}

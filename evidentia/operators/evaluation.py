@@ -118,3 +118,20 @@ def dataset_violations(questions: DataFrame) -> DataFrame:
     own = questions.select("id", F.explode(F.array_compact(checks)).alias("problem"))
     again = questions.groupBy("id").count().filter("count > 1 and id is not null").select("id", F.lit("id is not unique").alias("problem"))
     return own.unionByName(again)
+
+
+#: Fixed value: the version of evaluation files that is understood.
+SCHEMA_VERSION = "1.0"
+
+
+def file_violations(raw: DataFrame) -> DataFrame:
+    """(id, problem) of an evaluation file as it is read (one row): its version, its documents and its list of questions."""
+    checks = [
+        F.when(~F.col("schema_version").eqNullSafe(F.lit(SCHEMA_VERSION)), "schema_version is not 1.0"),
+        F.when(F.col("documents").isNull(), "no documents"),
+        F.when(F.col("questions").isNull() | (F.size("questions") == 0), "no questions"),
+    ]
+    own = raw.select(F.lit(None).cast("string").alias("id"), F.explode(F.array_compact(F.array(*checks))).alias("problem"))
+    asked = raw.select("documents", F.explode("questions").alias("q"))
+    name = F.try_element_at("documents", "q.document_key").document_name
+    return own.unionByName(asked.filter(F.coalesce(F.trim(name), F.lit("")) == "").select("q.id", F.lit("document of the key has no name").alias("problem")))

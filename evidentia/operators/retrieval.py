@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evidentia.functions.vectors import cosine
-
 #: Similarities are compared to so many digits, so that the order of additions decides nothing; ties go to the smaller id.
 DIGITS = 6
 #: Questions that are sent to every task at most; more are dealt to blocks of this size.
@@ -34,22 +32,10 @@ def ranked(rows: DataFrame, by: str, order: list[Column], name: str, most: int)
     return rows.withColumn(name, F.row_number().over(W.partitionBy(by).orderBy(*order))).filter(F.col(name) <= most)
 
 
-def top_k(chunks: DataFrame, questions: DataFrame, k: int, key: str = "chunk_id", vector: str = "embedding", by: str = "question_id") -> DataFrame:
-    """The k chunks of the greatest cosine similarity for each question (by, query vector ``q``), in expressions only.
-
-    Questions are broadcast block by block if they fit one, else joined by block, so no side is sent whole to every task.
-    """
-    questions = questions.select(by, "q")
-    if questions.limit(BLOCK + 1).count() <= BLOCK:
-        pairs = chunks.crossJoin(F.broadcast(questions))
-    else:
-        pairs = chunks.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(63)))).join(questions.withColumn("_b", F.pmod(F.xxhash64(by), F.lit(64)).cast("int")), "_b").drop("_b")
-    pairs = pairs.withColumn("similarity", F.round(cosine(F.col(vector), F.col("q")), DIGITS)).filter(F.col("similarity").isNotNull() & ~F.isnan("similarity"))
-    return ranked(pairs.drop("q", vector), by, [F.desc("similarity"), F.col(key)], "vector_rank", k)
-
-
 def top_k_blocks(chunks: DataFrame, questions: DataFrame, k: int, key: str = "chunk_id", vector: str = "embedding", by: str = "question_id") -> DataFrame:
-    """(by, key, similarity, vector_rank): the same by matrix products, a block of chunks against all questions of a block.
+    """(by, key, similarity, vector_rank): the k chunks of the greatest cosine similarity for each question (by, query vector ``q``).
+
+    By matrix products, a batch of chunks against all questions of a block.
 
     Every task keeps its k best of each question, so what is exchanged doesn't grow with the number of pairs.
     """

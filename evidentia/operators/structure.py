@@ -6,6 +6,8 @@ lines; annotated lines add section_type, section_reference and section_title.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -184,14 +186,16 @@ def parse_generic(records: DataFrame) -> DataFrame:
 
 
 def parse(records: DataFrame, documents: DataFrame) -> DataFrame:
-    """Every document by its own parser; documents has (document_id, parser_type). An unknown parser raises an error."""
-    known = F.when(F.col("parser_type").isin(PARSERS), F.col("parser_type")).otherwise(F.raise_error(F.concat(F.lit("no such parser: "), F.col("parser_type"))))
-    rows = records.join(documents.select(DOC, known.alias("parser_type")), DOC)
-    parts = [(REGULATION, parse_regulation), (OPINION, parse_opinion), (GENERIC, parse_generic)]
-    first, *more = [f(rows.filter(F.col("parser_type") == name).drop("parser_type")) for name, f in parts]
-    for df in more:
-        first = first.unionByName(df)
-    return first
+    """Every document by its own parser; documents has (document_id, parser_type). An unknown parser raises ValueError before
+    any work; records are read once for each parser that occurs."""
+    wanted = [r.parser_type for r in documents.select("parser_type").distinct().limit(len(PARSERS) + 1).collect()]
+    if unknown := sorted(str(w) for w in wanted if w not in PARSERS):
+        raise ValueError(f"no such parser: {', '.join(unknown)}")
+    parts = [f for f in ((REGULATION, parse_regulation), (OPINION, parse_opinion), (GENERIC, parse_generic)) if f[0] in wanted]
+    if not parts:
+        return parse_generic(records.limit(0))
+    out = [f(records.join(documents.filter(F.col("parser_type") == name).select(DOC), DOC, "left_semi")) for name, f in parts]
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 def summary(annotated: DataFrame) -> DataFrame:

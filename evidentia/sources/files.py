@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -45,3 +46,16 @@ def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.option("encoding", "UTF-8").schema(EVALUATION).json(path, multiLine=True, mode="FAILFAST")
     rows = rows.select("documents", F.explode("questions").alias("q"))
     return rows.select("q.id", "q.question", "q.document_key", F.try_element_at("documents", "q.document_key").document_name.alias("expected_document"), "q.expected_sources")
+
+
+def file_hash(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a small file's bytes as they are."""
+    return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("h")).first().h
+
+
+def read_questions(spark: SparkSession, path: str) -> DataFrame:
+    """(question_id, question) of a file of JSON lines; ids that are missing or repeat, and blank questions, raise an error."""
+    rows = spark.read.schema("question_id string, question string").json(path, mode="FAILFAST")
+    n = F.count("*").over(W.partitionBy("question_id"))
+    problem = F.when(F.col("question_id").isNull(), "a question has no id").when(n > 1, "a question's id repeats").when(F.trim(F.coalesce("question", F.lit(""))) == "", "a question is blank")
+    return rows.withColumn("question", F.when(problem.isNotNull(), F.raise_error(problem).cast("string")).otherwise(F.col("question")))

@@ -11,9 +11,24 @@ from evidentia.schemas import MANIFEST, MANIFEST_DOCUMENT
 SLUG = r"\A[a-z0-9]+(?:[._-][a-z0-9]+)*\z"
 
 
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest as it is, one row; a malformed one raises an error."""
+    return spark.read.schema(MANIFEST).json(path, multiLine=True, mode="FAILFAST")
+
+
+def corpus_violations(raw: DataFrame) -> DataFrame:
+    """(problem) of the manifest as a whole: its own fields, and documents that are missing or none."""
+    checks = [F.when(F.col(c).isNull() | (F.trim(c) == ""), f"{c} must be a text") for c in ("schema_version", "corpus_id", "corpus_version")]
+    checks.append(F.when(F.col("documents").isNull() | (F.size("documents") == 0), "documents must be a list that isn't empty"))
+    return raw.select(F.explode(F.array_compact(F.array(*checks))).alias("problem"))
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(document_index, the manifest's fields, documents' fields) of a JSON file; a malformed one raises an error."""
-    rows = spark.read.schema(MANIFEST).json(path, multiLine=True, mode="FAILFAST")
+    """(document_index, the manifest's fields, documents' fields) of a JSON file; a malformed one raises an error.
+
+    A manifest without documents gives no row; ``corpus_violations`` tells it.
+    """
+    rows = read_raw(spark, path)
     return rows.select("schema_version", "corpus_id", "corpus_version", F.posexplode("documents").alias("document_index", "d")).select("document_index", "schema_version", "corpus_id", "corpus_version", "d.*")
 
 

@@ -29,7 +29,7 @@ def test_vectors(spark, vectors):
     assert got[1] == 1 and math.isnan(got[2]) and got[7] is None
 
 
-@pytest.mark.parametrize("search", [retrieval.top_k, retrieval.top_k_blocks])
+@pytest.mark.parametrize("search", [retrieval.top_k_blocks])
 def test_nearest(spark, vectors, search):
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "question_id int, q array<double>")
     got = search(vectors.filter("chunk_id not in (5)"), q, 2).orderBy("question_id", "vector_rank").collect()

@@ -1,7 +1,4 @@
-"""Parsers against a plain machine over lines, windows, and their errors."""
-
-import random
-import re
+"""Parsers on lines written by hand, windows, and their errors."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,43 +6,62 @@ from pyspark.sql import functions as F
 from evidentia.operators import chunking, structure
 
 
-def machine(lines):
-    """The regulation's rules, one line after another."""
-    rec = act = ann = False
-    er = ea = 1
-    now = ("front_matter", "Front matter", None)
-    out = []
-    for i, t in enumerate(lines):
-        title = re.sub(r"`+$", "", lines[i + 1]).strip() if i + 1 < len(lines) else None
-        if t.upper() == "WHEREAS:":
-            rec = True
-        if t.upper() == "HAVE ADOPTED THIS REGULATION:":
-            rec, act, now = False, True, ("enacting_formula", "Enacting formula", None)
-        m = re.fullmatch(r"\(([0-9]+)\)(?:\s+.*)?", t)
-        if rec and m and int(m[1]) == er:
-            now, er = ("recital", f"Recital {er}", None), er + 1
-        m = re.fullmatch(r"(?i)annex\s+([ivxlcdm]+)", t)
-        if m:
-            ann, now = True, ("annex", f"Annex {m[1].upper()}", title)
-        if act and not ann:
-            if m := re.fullmatch(r"(?i)chapter\s+([ivxlcdm]+)", t):
-                now = ("chapter", f"Chapter {m[1].upper()}", title)
-            elif m := re.fullmatch(r"(?i)section\s+([0-9]+)", t):
-                now = ("legal_section", f"Section {m[1]}", title)
-            elif (m := re.fullmatch(r"(?i)article\s+([0-9]+)", t)) and int(m[1]) == ea:
-                now, ea = ("article", f"Article {ea}", title), ea + 1
-        out.append(now)
-    return out
-
-
-def test_regulations_like_the_machine(spark):
-    rnd = random.Random(3)
-    kinds = ["WHEREAS:", "have adopted this regulation:", "(1) x", "(2)", "(03) y", "(4)x", "(3) z", "Article 1", "ARTICLE 2", "Article 3", "Article 1a", "CHAPTER i", "SECTION 07", "ANNEX IV", "text``", "(" + "9" * 23 + ")", "Article 2"]
-    docs = {d: [rnd.choices(kinds, [3, 3] + [5] * 11 + [1] + [5] * 3)[0] for _ in range(rnd.randint(1, 40))] for d in range(150)}
-    rows = spark.createDataFrame([(d, i + 1, 1, t) for d, ls in docs.items() for i, t in enumerate(ls)], "document_id int, line_no int, page_number int, text string")
+FRONT, ENACTED = ("front_matter", "Front matter", None), ("enacting_formula", "Enacting formula", None)
+#: Documents written by hand, a line and the section it belongs to, one for each group of rules.
+REGULATIONS = {
+    "recitals count up from one, after the preamble's start only": [
+        ("(1) too early", FRONT),
+        ("Preamble", FRONT),
+        ("WHEREAS:", FRONT),
+        ("(2) not the first", FRONT),
+        ("(1) first", ("recital", "Recital 1", None)),
+        ("goes on", ("recital", "Recital 1", None)),
+        ("(3) not the next", ("recital", "Recital 1", None)),
+        ("(2)", ("recital", "Recital 2", None)),
+        ("(3)no space", ("recital", "Recital 2", None)),
+        ("(03) leading zero", ("recital", "Recital 3", None)),
+        ("(" + "9" * 23 + ")", ("recital", "Recital 3", None)),
+        ("Have adopted this Regulation:", ENACTED),
+        ("(4) too late", ENACTED),
+        ("whereas:", ENACTED),
+        ("(4) again in the preamble", ("recital", "Recital 4", None)),
+    ],
+    "articles, chapters and sections after the enacting formula only": [
+        ("Article 1", FRONT),
+        ("CHAPTER I", FRONT),
+        ("SECTION 1", FRONT),
+        ("HAVE ADOPTED THIS REGULATION:", ENACTED),
+        ("Article 2", ENACTED),
+        ("chapter iv", ("chapter", "Chapter IV", "General")),
+        ("General``", ("chapter", "Chapter IV", "General")),
+        ("Section 07", ("legal_section", "Section 07", "ARTICLE 1")),
+        ("ARTICLE 1", ("article", "Article 1", "Scope")),
+        ("Scope", ("article", "Article 1", "Scope")),
+        ("Article 1a", ("article", "Article 1", "Scope")),
+        ("Article 1", ("article", "Article 1", "Scope")),
+        ("Article 3", ("article", "Article 1", "Scope")),
+        ("as in Article 2", ("article", "Article 1", "Scope")),
+        ("Article 2", ("article", "Article 2", None)),
+    ],
+    "an annex may come at any time, and ends articles": [
+        ("annex ix", ("annex", "Annex IX", "Forms")),
+        ("Forms", ("annex", "Annex IX", "Forms")),
+        ("HAVE ADOPTED THIS REGULATION:", ENACTED),
+        ("Article 1", ENACTED),
+        ("CHAPTER II", ENACTED),
+        ("ANNEX B", ENACTED),
+        ("ANNEX X", ("annex", "Annex X", None)),
+    ],
+}
+
+
+def test_regulations(spark):
+    rows = [(d, i + 1, 1, t) for d, own in enumerate(REGULATIONS.values()) for i, (t, _) in enumerate(own)]
+    rows = spark.createDataFrame(rows, "document_id int, line_no int, page_number int, text string")
     got = {(r.document_id, r.line_no): (r.section_type, r.section_reference, r.section_title) for r in structure.parse_regulation(rows).collect()}
-    for d, ls in docs.items():
-        assert [got[d, i + 1] for i in range(len(ls))] == machine(ls), ls
+    for d, (rule, own) in enumerate(REGULATIONS.items()):
+        for i, (text, section) in enumerate(own):
+            assert got[d, i + 1] == section, (rule, text)
 
 
 def lines(spark, text):

@@ -44,10 +44,9 @@ def test_more_questions_than_a_block(spark, sf_dir, vectors, monkeypatch):
     monkeypatch.setattr(retrieval, "BLOCK", 3)
     chunks = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("vec_id as chunk_id", "embedding")
     questions = chunks.filter("chunk_id % 50 = 0").selectExpr("chunk_id as question_id", "embedding as q")
-    for search in (retrieval.top_k, retrieval.top_k_blocks):
-        got = found(search(chunks, questions, 5).collect())
-        assert set(got) == {i for i in vectors if i % 50 == 0}
-        assert all([s for s, _ in own] == pytest.approx([s for s, _ in nearest(vectors, q, 5)], abs=2e-6) for q, own in got.items())
+    got = found(retrieval.top_k_blocks(chunks, questions, 5).collect())
+    assert set(got) == {i for i in vectors if i % 50 == 0}
+    assert all([s for s, _ in own] == pytest.approx([s for s, _ in nearest(vectors, q, 5)], abs=2e-6) for q, own in got.items())
 
 
 def words(t):
@@ -62,7 +61,7 @@ def test_all_questions_meet_all_chunks(spark, sf_dir):
     lang = {r.doc_id: r.lang for r in documents}
     times = collections.Counter(w for c in chunks.values() for w in c)
     got = {}
-    for r in catalog.queries()["rerank_topk_whole"](spark, sf_dir).collect():
+    for r in catalog.queries()["rerank_topk"](spark, sf_dir).collect():
         got.setdefault(r.question_id, {})[r.rerank_rank] = (r.chunk_id, r.vector_rank)
     assert len(asked) > 20
     want, hit = {}, {}
@@ -76,11 +75,11 @@ def test_all_questions_meet_all_chunks(spark, sf_dir):
         if q + 20 in lang:
             hit[q] = min((k for c, k in rank.items() if lang[c] == lang[q + 20] and c % 5 + 1 <= 3), default=None)
     assert got == want
-    assert {r.id: r.first_rank for r in catalog.queries()["first_hit_rank_whole"](spark, sf_dir).collect()} == hit
-    assert {r.question_id for r in catalog.queries()["context_blocks_whole"](spark, sf_dir).collect()} == set(want)
-    assert {r.id for r in catalog.queries()["evaluation_records_whole"](spark, sf_dir).collect()} == set(hit)
-    assert catalog.queries()["evaluation_summary_whole"](spark, sf_dir).first().questions == len(hit)
-    assert sum(r.n for r in catalog.queries()["evaluation_status_whole"](spark, sf_dir).collect()) == len(hit)
-    assert {r.id for r in catalog.queries()["anchor_hits_whole"](spark, sf_dir).collect()} == {q for q, k in hit.items() if k}
-    answers = catalog.queries()["grounded_answers_whole"](spark, sf_dir).collect()
+    assert {r.id: r.first_rank for r in catalog.queries()["first_hit_rank"](spark, sf_dir).collect()} == hit
+    assert {r.question_id for r in catalog.queries()["context_blocks"](spark, sf_dir).collect()} == set(want)
+    assert {r.id for r in catalog.queries()["evaluation_records"](spark, sf_dir).collect()} == set(hit)
+    assert catalog.queries()["evaluation_summary"](spark, sf_dir).first().questions == len(hit)
+    assert sum(r.n for r in catalog.queries()["evaluation_status"](spark, sf_dir).collect()) == len(hit)
+    assert {r.id for r in catalog.queries()["anchor_hits"](spark, sf_dir).collect()} == {q for q, k in hit.items() if k}
+    answers = catalog.queries()["grounded_answers"](spark, sf_dir).collect()
     assert {r.question_id for r in answers} == set(want) and all(r.citation_status == "ok" for r in answers)
