@@ -184,6 +184,42 @@ def page_count_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.page_count_mismatch(S.documents(spark, sf_dir), S.pages(spark, sf_dir).filter("document_id % 4 != 0 or page_number > 1"))
 
 
+@query(f"WITH {S.PAGES} SELECT document_id, page_number FROM pages WHERE document_id % 5 = 0")
+def orphan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose document is gone (every fifth)."""
+    pages = S.pages(spark, sf_dir).select("document_id", "page_number")
+    return validation.orphans(pages, S.documents(spark, sf_dir).filter("document_id % 5 != 0"), "document_id").select("document_id", "page_number")
+
+
+_BROKEN = {
+    "page_number": "CASE WHEN document_id % 7 = 0 AND page_number = 1 THEN 0 ELSE page_number END",
+    "page_text": "CASE WHEN document_id % 7 <> 1 OR page_number > 1 THEN page_text END",
+    "page_char_length": "CAST(CASE WHEN document_id % 7 = 2 THEN -1 ELSE length(page_text) END AS INT)",
+}
+
+
+@query(f"WITH {S.PAGES}, b AS (SELECT document_id, {', '.join(f'{x} AS {n}' for n, x in _BROKEN.items())} FROM pages) SELECT document_id, page_number FROM b WHERE page_number < 1 OR page_text IS NULL OR page_char_length < 0")
+def bad_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers below 1, missing texts and negative lengths, planted by the document's number."""
+    pages = S.pages(spark, sf_dir).select("document_id", *[F.expr(x).alias(n) for n, x in _BROKEN.items()])
+    return validation.bad_pages(pages).select("document_id", "page_number")
+
+
+@query(
+    f"""WITH {S.GOLD}, b AS (SELECT chunk_id, CASE WHEN chunk_id % 13 = 1 THEN upper(chunk_hash) WHEN chunk_id % 13 = 2 THEN NULL ELSE chunk_hash END AS h, CASE WHEN chunk_id % 13 = 3 THEN 63 ELSE 64 END AS d,
+ CASE WHEN chunk_id % 13 = 4 THEN embedding[1:63] ELSE embedding END AS e FROM gold) SELECT chunk_id FROM b WHERE h IS NULL OR NOT regexp_full_match(h, '[0-9a-f]{{64}}') OR d <> 64 OR len(e) <> 64"""
+)
+def bad_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes that aren't lower-case hex, and wrong dimensions, planted by the chunk's number."""
+    k = F.col("chunk_id") % 13
+    planted = {
+        "chunk_hash": F.when(k == 1, F.upper("chunk_hash")).when(k != 2, F.col("chunk_hash")),
+        "embedding_dimension": F.when(k == 3, 63).otherwise(64),
+        "embedding": F.when(k == 4, F.slice("embedding", 1, 63)).otherwise(F.col("embedding")),
+    }
+    return validation.bad_embeddings(S.gold(spark, sf_dir).withColumns(planted), 64).select("chunk_id")
+
+
 _OLD, _NEW = "document_id % 3 <> 0", "document_id % 2 = 0"
 
 
@@ -213,13 +249,15 @@ def upsert_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {S.DOCUMENTS}, t AS (SELECT document_name, file_hash FROM bronze WHERE {_OLD}), s AS (SELECT document_name, file_hash FROM bronze WHERE {_NEW})
-SELECT DISTINCT s.document_name, 'hash of another document' AS problem FROM s JOIN t ON t.file_hash = s.file_hash AND t.document_name <> s.document_name"""
+    f"""WITH {S.DOCUMENTS}, one AS (SELECT document_name, file_hash FROM bronze WHERE {_OLD}), t AS (SELECT * FROM one UNION ALL SELECT * FROM one WHERE document_name LIKE '%4'), s AS (SELECT document_name, file_hash FROM bronze WHERE {_NEW})
+SELECT DISTINCT s.document_name, 'hash of another document' AS problem FROM s JOIN t ON t.file_hash = s.file_hash AND t.document_name <> s.document_name
+UNION ALL SELECT s.document_name, 'duplicate identity' FROM s WHERE (SELECT count(*) FROM t WHERE t.document_name = s.document_name) > 1"""
 )
 def hash_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V12."""
+    """Hashes of other documents, and names that are stored twice."""
     d = S.documents(spark, sf_dir).select("document_id", "document_name", "file_hash")
-    return layers.conflicts(d.filter(_OLD), d.filter(_NEW)).filter("problem != 'duplicate identity'")
+    stored = d.filter(_OLD)
+    return layers.conflicts(stored.unionByName(stored.filter("document_name like '%4'")), d.filter(_NEW))
 
 
 @query(
@@ -302,6 +340,12 @@ def short_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.short_texts(S.silver(spark, sf_dir), "chunk_text", 100).select("document_id", "chunk_order", "chunk_char_length")
 
 
+@query(f"WITH RECURSIVE {S.chunk_cte(S.SIZE, S.OVERLAP)} SELECT count(*) AS chunks FROM chunks")
+def chunk_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V8."""
+    return S.silver(spark, sf_dir).agg(F.count("*").alias("chunks"))
+
+
 @query(f"{_CHUNKS}, {S.DOCUMENTS} SELECT b.document_id, count(c.chunk_order) AS chunk_count FROM bronze b LEFT JOIN chunks c ON c.document_id = b.document_id AND b.document_id % 5 <> 0 GROUP BY 1")
 def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V12', J3, A4, with every fifth document's chunks missing."""

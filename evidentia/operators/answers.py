@@ -9,7 +9,7 @@ from evidentia.functions.text import citation_status, cited, label, or_unknown,
 
 
 def context_block(number: Column, labels: dict[str, str]) -> Column:
-    """One source of a prompt, in seven lines."""
+    """One source of a prompt, in seven lines (their labels are fixed values)."""
     parts = [
         F.concat(F.lit("[S"), number.cast("string"), F.lit("]")),
         F.concat(F.lit("Document: "), label(F.col("document_name"), labels)),

@@ -13,6 +13,7 @@ def columns(text: str) -> T.StructType:
     return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (c.split() for c in text.split(","))])
 
 
+#: The names, types and order of the tables' and files' fields.
 _MANIFEST = [
     "document_id", "file_name", "official_title", "short_title", "issuing_body", "source_repository", "source_url",
     "document_type", "legal_status", "language", "version_or_date", "parser_type",
