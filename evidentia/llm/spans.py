@@ -95,7 +95,7 @@ def _raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at[1:] - at[0]
 
 
-def blocks(column: pa.Array, most: int = 1 << 22, lower: bool = True) -> Iterator[Block]:
+def blocks(column: pa.Array, most: int = 1 << 19, lower: bool = True) -> Iterator[Block]:
     """Blocks of whole documents with about ``most`` bytes each (one document at least); lower: A-Z to a-z."""
     raw, ends = _raw(column)
     row = 0

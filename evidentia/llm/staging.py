@@ -1,80 +1,5 @@
-"""Tables written to the cluster's shared folder, to cut lineage and share intermediate results."""
+"""Staged tables of the operators: those of the library."""
 
-from __future__ import annotations
+from evidentia.staging import BROADCAST, discard, fit, fresh, shared_dir, stage, table, widened
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-#: Used only where the session names no shared folder and everything runs on one machine (tests).
-_OWN: list[str] = []
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; in local mode, a temporary one of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if not _OWN:
-        _OWN.append("file://" + tempfile.mkdtemp(prefix="evidentia-"))
-    return _OWN[0]
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: a lost executor costs no recomputation.
-
-    The shuffle files of the write go as soon as it has ended, as nothing reads them any more.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.staged_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more; others are left alone."""
-    for df in tables:
-        path = getattr(df, "staged_path", None)
-        if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
-
-
-#: Rows that are broadcast at most (of a few short columns each); a larger side is shuffled.
-BROADCAST = 1_000_000
-
-
-def fit(df: DataFrame) -> DataFrame:
-    """``df`` (a staged table or one that is cheap to count) marked for broadcast if it is small enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST else df
-
-
-def fresh(df: DataFrame, name: str) -> str:
-    """``name``, or a like one that ``df`` has no column of."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def widened(df: DataFrame, ddl: str) -> T.StructType:
-    """The schema of ``df`` with further columns."""
-    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
+__all__ = ["BROADCAST", "discard", "fit", "fresh", "shared_dir", "stage", "table", "widened"]
