@@ -20,7 +20,7 @@ def upsert_documents(target: DataFrame, source: DataFrame, key: str = "document_
     """Rows of ``source`` (unique in ``key``) replace those of the same identity, keeping their id; others get new ids.
 
     New ids follow the largest one in order of the key. Nothing is returned, but ValueError raised, if ``source`` has a key
-    twice, a name has more than one identity in ``target``, or another document owns a hash. loaded_at: when the rows were
+    twice, a name has more than one identity in ``target``, or another document of ``target`` owns a hash. loaded_at: when the rows were
     written, for a column of that name of ``target``.
     """
     twice = source.groupBy(key).count().filter("count > 1").select(key, F.lit("key of several source rows").alias("problem"))

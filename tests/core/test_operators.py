@@ -155,8 +155,8 @@ def test_stream_of_upserts(spark, tmp_path):
         target = spark.createDataFrame([], "document_id int, " + kind) if not seen else spark.read.parquet(seen[-1])
         seen.append(sinks.write_version(layers.upsert_documents(target, batch), str(tmp_path / "bronze"), number + 1))
 
-    for rows in ([("a", "1"), ("b", "1")], [("b", "2"), ("c", "1")]):
+    for rows in ([("a", "1"), ("b", "2")], [("b", "3"), ("c", "4")]):  # a hash belongs to one document
         spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         incremental.ingest(spark, str(tmp_path / "in"), spark.createDataFrame([], kind).schema, apply, str(tmp_path / "state")).awaitTermination(120)
     got = {(r.document_id, r.document_name, r.file_hash) for r in spark.read.parquet(seen[-1]).collect()}
-    assert got == {(1, "a", "1"), (2, "b", "2"), (3, "c", "1")}
+    assert got == {(1, "a", "1"), (2, "b", "3"), (3, "c", "4")}
