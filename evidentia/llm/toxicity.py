@@ -7,8 +7,8 @@ evidence from the smoothing itself: where neither class has seen a sign after it
 that differs. The log-likelihood ratio of a word is looked up by position, with one gram and one context each.
 
 A text's evidence is the difference of the two log-likelihoods normalised by length (per word), with the part of it that
-comes from words of strong evidence, and the length itself. A logistic curve fitted on a fifth of the sampled labelled
-rows, which the models haven't seen, turns it into a score.
+comes from words of strong evidence, and the length itself. A logistic curve turns it into a score; it is fitted on all
+sampled labelled rows, each with the evidence of models that haven't seen it (cross-fitting), and shrunk to the prior.
 
 Defined results: a null or blank text has no evidence and scores as its features do at length 0 (below 0.5 unless most
 labelled blank texts are toxic); equal texts score alike; labels that are null are left out, and repeated labels of a
@@ -17,6 +17,7 @@ document count once (its largest); without labels of both classes every score is
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -24,7 +25,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidentia.llm import spans
@@ -33,12 +33,16 @@ from evidentia.llm.staging import stage, widened
 #: Signs of a gram: five of context and the next.
 ORDER = 6
 DISCOUNT = 0.75
-#: Labelled rows of each class that the models are fitted on, at most (chosen by a hash of the id).
+#: Labelled rows of each class that the models are fitted on, about at most (chosen by a hash of the id).
 SAMPLE = 4000
+#: Different grams that a task holds before it adds them up.
+MERGED = 2_000_000
+#: Parts of the sample; each is scored by models of the others, for the curve.
+FOLDS = 5
+#: Ridge of the curve: with few labels its weights stay near none, and scores near the classes' prior.
+SHRINK = 0.3
 #: Evidence of a word (natural log) that counts as strong.
 STRONG = 3.0
-#: Longest word that is looked at in one piece; the rest of a longer one is looked at in further pieces.
-PIECE = 48
 
 
 def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,9 +115,12 @@ class Model:
     weights: np.ndarray | None = None
 
     @classmethod
-    def fit(cls, words: list[bytes], toxic: np.ndarray, ordinary: np.ndarray) -> Model:
-        gram, _, owner = grams(words)
-        gram, t, o = _sums(gram, toxic[owner].astype(float), ordinary[owner].astype(float))
+    def fit(cls, gram: np.ndarray, t: np.ndarray, o: np.ndarray) -> Model:
+        """gram: different grams, sorted; t, o: how often each occurs in toxic and in ordinary texts."""
+        if not t.sum() or not o.sum():
+            return cls()
+        used = t + o > 0
+        gram, t, o = gram[used], t[used].astype(float), o[used].astype(float)
         context, nt, no, kt, ko = _sums(gram >> np.uint64(8), t, o, (t > 0).astype(float), (o > 0).astype(float))
         low = backoff(gram, _shorter(gram))
         of = _find(context, gram >> np.uint64(8))
@@ -159,85 +166,100 @@ def shape(x: np.ndarray) -> np.ndarray:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> np.ndarray:
-    """Ridge logistic regression by Newton's method."""
+    """Ridge logistic regression by Newton's method; the last weight, that of the constant, is hardly shrunk."""
     w = np.zeros(x.shape[1])
+    shrink = np.append(np.full(len(w) - 1, ridge), min(ridge, 1e-2))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        gradient = x.T @ (p - y) + ridge * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), gradient)
+        gradient = x.T @ (p - y) + shrink * w
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(shrink), gradient)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
+def by_hash(rows: DataFrame, label: str, sample: int, seed: int) -> DataFrame:
+    """About ``sample`` rows of each class (column ``label``; all of a smaller one), chosen by a hash of doc_id.
+
+    The threshold of the hash follows from the classes' sizes, so no class is brought together anywhere; it aims four
+    standard deviations below ``sample``, which is hardly ever exceeded.
+    """
+    sizes = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    turn = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30))
+    share = {y: 1.0 if n <= sample else (sample - 4 * sample**0.5) / n for y, n in sizes.items()}
+    return rows.filter(functools.reduce(lambda a, y: a | ((F.col(label) == y) & (turn < int(share[y] * (1 << 30)))), share, F.lit(False)))
+
+
 def sampled(documents: DataFrame, labels: DataFrame, label: str, sample: int, keep) -> DataFrame:
-    """(doc_id, text, y, fold) of at most ``sample`` labelled documents of each class, chosen by a hash of the id.
+    """(doc_id, text, y, fold) of about ``sample`` labelled documents of each class, chosen by a hash of the id.
 
-    ``keep``: condition on doc_id of rows that may be learnt from. fold: 0 to 4 by the hash.
+    ``keep``: condition on doc_id of rows that may be learnt from. fold: 0 to FOLDS - 1 by the hash.
     """
-    own = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).filter(keep).groupBy("doc_id").agg(F.max(label).alias("y"))
-    w = W.partitionBy("y").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")
-    own = own.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= sample).select("doc_id", F.col("y").cast("int").alias("y"))
-    fold = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(5)).cast("int")
-    return documents.select("doc_id", "text").join(F.broadcast(own), "doc_id").withColumn("fold", fold)
+    own = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).filter(keep).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(FOLDS)).cast("int")
+    return documents.select("doc_id", "text").join(F.broadcast(by_hash(own, "y", sample, 7)), "doc_id").withColumn("fold", fold)
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """(word, toxic, ordinary): counts of words of the rows (text, y) by class."""
+def gram_counts(rows: DataFrame) -> DataFrame:
+    """(gram, t0, o0, t1, ...): how often each gram occurs in the toxic and the ordinary texts of each fold of rows (text, y, fold)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[bytes, list[int]] = defaultdict(lambda: [0, 0])
+        held: list[tuple[np.ndarray, ...]] = []
         for b in batches:
-            y = b.column(1).to_pylist()
+            y, fold = b.column(1).to_numpy(), b.column(2).to_numpy()
             for block in spans.blocks(b.column(0)):
-                hashes, doc = block.hashes(), block.doc
-                of = np.array(y[block.first : block.first + block.n_docs])[doc] if len(doc) else doc
-                _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-                t = np.bincount(inverse, of, len(first))
-                n = np.bincount(inverse, minlength=len(first))
-                for i, a, c in zip(first.tolist(), t.tolist(), n.tolist(), strict=True):
-                    w = block.word(i)
-                    for k in range(0, len(w), PIECE):
-                        own = found[w[k : k + PIECE]]
-                        own[0] += int(a)
-                        own[1] += int(c - a)
-            if len(found) > 500_000:
-                yield made(found)
-                found.clear()
-        yield made(found)
-
-    def made(found: dict) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(found), pa.binary()), pa.array([v[0] for v in found.values()], pa.int64()), pa.array([v[1] for v in found.values()], pa.int64())],
-            ["word", "toxic", "ordinary"],
-        )
-
-    counts = rows.select("text", "y").mapInArrow(count, "word binary, toxic long, ordinary long")
-    return counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+                hashes, doc = block.hashes(), block.doc + block.first
+                for k in np.unique(fold[block.first : block.first + block.n_docs]).tolist():
+                    of = np.flatnonzero(fold[doc] == k)
+                    if not len(of):
+                        continue
+                    _, first, inverse = np.unique(hashes[of], return_index=True, return_inverse=True)
+                    toxic = np.bincount(inverse, y[doc[of]], len(first))
+                    every = np.bincount(inverse, minlength=len(first))
+                    gram, _, owner = grams([block.word(i) for i in of[first].tolist()])
+                    held.append(_sums(gram * np.uint64(FOLDS) + np.uint64(k), toxic[owner], (every - toxic)[owner]))
+            if sum(len(h[0]) for h in held) > MERGED:
+                held = [_sums(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+        if held:
+            key, toxic, ordinary = _sums(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            columns = [key // np.uint64(FOLDS), key % np.uint64(FOLDS), toxic, ordinary]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["gram", "fold", "toxic", "ordinary"])
+
+    counts = rows.select("text", "y", "fold").mapInArrow(count, "gram long, fold long, toxic long, ordinary long")
+    by_fold = [F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c[0]}{k}") for k in range(FOLDS) for c in ("toxic", "ordinary")]
+    return counts.groupBy("gram").agg(*by_fold)
 
 
 def fit(documents: DataFrame, labels: DataFrame, keep=None, sample: int = SAMPLE, label: str = "toxic") -> Model:
-    """Fit the models on four fifths of the sampled labelled rows and the curve on the rest."""
+    """Fit the models on the sampled labelled rows, and the curve on the evidence of each fold by models of the others."""
     rows = stage(sampled(documents, labels, label, sample, F.lit(True) if keep is None else keep), "toxicity-sample")
-    got = word_counts(rows.filter("fold != 0")).toArrow()
-    if not got.num_rows:
-        return Model()
-    toxic, ordinary = got["toxic"].to_numpy(), got["ordinary"].to_numpy()
-    if not toxic.sum() or not ordinary.sum():
-        return Model()
-    model = Model.fit(got["word"].to_pylist(), toxic, ordinary)
+    got = gram_counts(rows).orderBy("gram").toArrow()  # different grams of the sample: numbers only
+    gram = got["gram"].to_numpy().astype(np.uint64)
+    toxic, ordinary = (np.stack([got[f"{c}{k}"].to_numpy() for k in range(FOLDS)]).astype(np.float32) for c in "to")
+    del got
+    model = Model.fit(gram, toxic.sum(0), ordinary.sum(0))
+    if not len(model.gram):
+        return model
+    parts = [Model.fit(gram, np.delete(toxic, k, 0).sum(0), np.delete(ordinary, k, 0).sum(0)) for k in range(FOLDS)]
+    del gram, toxic, ordinary
+    pa.default_memory_pool().release_unused()
+    shared = documents.sparkSession.sparkContext.broadcast(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = model.features(b.column(0))
-            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(x[:, k]) for k in range(4))], ["y", "a", "b", "c", "d"])
-
-    held = rows.filter("fold = 0").select("text", "y").mapInArrow(run, "y int, a double, b double, c double, d double").toArrow()
+            of = b.column(2).to_numpy()
+            for k in np.unique(of).tolist():
+                own = pa.array(np.flatnonzero(of == k))
+                x = shared.value[k].features(b.column(0).take(own))
+                yield pa.RecordBatch.from_arrays([b.column(1).take(own), *(pa.array(x[:, j]) for j in range(4))], ["y", "a", "b", "c", "d"])
+
+    held = rows.select("text", "y", "fold").mapInArrow(run, "y int, a double, b double, c double, d double").toArrow()
+    shared.unpersist()
     x = np.stack([held[c].to_numpy() for c in "abcd"], 1)
     y = held["y"].to_numpy().astype(float)
-    if len(y) and 0 < y.sum() < len(y):
-        model.weights = logistic(shape(x), y)
+    if 0 < y.sum() < len(y):
+        model.weights = logistic(shape(x), y, SHRINK)
     return model
 
 
