@@ -29,6 +29,10 @@ from evidentia.llm.toxicity import logistic, sampled
 BITS = 17
 #: Labelled rows of each class that the regression is fitted on, at most (chosen by a hash of the id).
 SAMPLE = 2500
+#: Features that a step of the regression goes through at once.
+PART = 250_000
+#: Bytes of a block whose n-grams are made at once.
+PIECE = 1 << 18
 #: The least calibrated probability of good quality of a kept text.
 THRESHOLD = 0.5
 #: Base rules: at least so many words; at most such a share of words in repeated windows of three.
@@ -43,26 +47,39 @@ _ODD = np.random.default_rng(77).integers(1, 2**63, 16, dtype=np.uint64) * np.ui
 
 def _per_doc(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sums of consecutive values; document k has those from ends[k - 1] to ends[k]."""
-    to = np.concatenate([[0], np.cumsum(values, dtype=values.dtype if values.dtype.kind == "f" else np.int64)])
+    to = np.concatenate([[0], np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)])
     return to[ends] - to[np.concatenate([[0], ends[:-1]])]
 
 
+def _narrow(values: np.ndarray) -> np.ndarray:
+    return (values >> _SHIFT).astype(np.int32)
+
+
 def _slots(block: spans.Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(slots, ends by document) of each kind of n-gram."""
-    data = block.data.astype(np.uint64)
-    two = np.concatenate([[np.uint64(0x20)], data[:-1]])
-    three = np.concatenate([[np.uint64(0x20)], two[:-1]])
-    yield ((data + np.uint64(1)) * _ODD[0]) >> _SHIFT, block.ends
-    yield ((data << np.uint64(8) | two) * _ODD[1] + _ODD[2]) >> _SHIFT, block.ends
-    yield (spans.mix(data << np.uint64(16) | two << np.uint64(8) | three)) >> _SHIFT, block.ends
+    own = [], [], []
+    starts = np.concatenate([[0], block.ends[:-1]])  # nothing of the text before counts
+    for at in range(0, len(block.data), PIECE):  # pieces bound the wide numbers held at once, however long a text is
+        back = block.data[max(0, at - 2) : at + PIECE]
+        data = np.concatenate([np.full(2 - min(at, 2), 0x20, np.uint8), back]).astype(np.uint64)
+        data, two, three = data[2:], data[1:-1], data[:-2].copy()
+        here = starts[np.searchsorted(starts, at) : np.searchsorted(starts, at + PIECE)] - at
+        three[here] = 0x20
+        own[0].append(_narrow((data + np.uint64(1)) * _ODD[0]))
+        own[1].append(_narrow((data << np.uint64(8) | two) * _ODD[1] + _ODD[2]))
+        own[2].append(_narrow(spans.mix(data << np.uint64(16) | two << np.uint64(8) | three)))
+    for slots in own:
+        yield np.concatenate(slots) if slots else np.zeros(0, np.int32), block.ends
+        slots.clear()
     words = block.hashes()
     before = np.concatenate([np.zeros(3, np.uint64), words])
+    place = np.arange(len(words)) - np.repeat(np.concatenate([[0], block.words_to[:-1]]), np.diff(block.words_to, prepend=0))
     same = np.zeros(len(words), np.uint64)
     for k in (1, 2, 3):
-        same |= (before[3 - k : len(before) - k] == words).astype(np.uint64) << np.uint64(k)
-    yield (words * _ODD[3]) >> _SHIFT, block.words_to
-    yield spans.mix(words + before[2:-1] * _ODD[4]) >> _SHIFT, block.words_to
-    yield ((same + np.uint64(1)) * _ODD[5]) >> _SHIFT, block.words_to
+        same |= ((before[3 - k : len(before) - k] == words) & (place >= k)).astype(np.uint64) << np.uint64(k)
+    yield _narrow(words * _ODD[3]), block.words_to
+    yield _narrow(spans.mix(words + np.where(place > 0, before[2:-1], np.uint64(0)) * _ODD[4])), block.words_to
+    yield _narrow((same + np.uint64(1)) * _ODD[5]), block.words_to
 
 
 KINDS = 6
@@ -118,7 +135,7 @@ class Model:
             total = np.zeros(block.n_docs)
             for kind, (slots, ends) in enumerate(_slots(block)):
                 n = np.diff(ends, prepend=0)
-                total += _per_doc(self.weights[kind][slots].astype(np.float64), ends) / np.maximum(n, 1)
+                total += _per_doc(self.weights[kind][slots], ends) / np.maximum(n, 1)
             found.append(total)
         return np.concatenate(found) if found else np.zeros(0)
 
@@ -132,7 +149,7 @@ class Model:
 
 def _sparse(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each text: feature numbers (kind and slot) and shares."""
-    for block in spans.blocks(column, 1 << 20, lower=False):
+    for block in spans.blocks(column, lower=False):
         kinds = list(_slots(block))
         for d in range(block.n_docs):
             index, value = [], []
@@ -145,22 +162,38 @@ def _sparse(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def train(index: np.ndarray, value: np.ndarray, to: np.ndarray, y: np.ndarray, rounds: int = 100) -> np.ndarray:
-    """Logistic regression by Adam over all rows; each feature is scaled by its root mean square."""
-    used, inverse = np.unique(index, return_inverse=True)
-    scale = 1 / np.sqrt(np.bincount(inverse, value * value, len(used)) / len(y) + 1e-5)
-    x = (value * scale[inverse]).astype(np.float64)
-    row = np.repeat(np.arange(len(y)), np.diff(to))
+    """Logistic regression by Adam over all rows; each feature is scaled by its root mean square.
+
+    index, value: features of all rows, one after another; to: where each row ends (and 0). Features are gone through in
+    parts of PART, so that little is held beside them.
+    """
+    n = KINDS << BITS
+    x = value.astype(np.float32)
+    cuts = np.unique(np.minimum(np.searchsorted(to, np.arange(0, to[-1] + PART, PART)), len(y)))
+    parts = [(int(a), int(b), slice(int(to[a]), int(to[b]))) for a, b in zip(cuts, cuts[1:], strict=False)]
+    square = np.zeros(n)
+    for _, _, own in parts:
+        square += np.bincount(index[own], np.square(x[own]), n)
+    scale = (1 / np.sqrt(square / len(y) + 1e-5)).astype(np.float32)
+    for _, _, own in parts:
+        x[own] *= scale[index[own]]
+    lengths = np.diff(to)
     class_weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
-    w, bias, m, v = np.zeros(len(used) + 1), 0.0, np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+    w, bias = np.zeros(n), 0.0
+    m, v = np.zeros(n + 1), np.zeros(n + 1)
     for k in range(1, rounds + 1):
-        z = np.bincount(row, x * w[:-1][inverse], len(y)) + w[-1]
-        e = class_weight * (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) / len(y)
-        g = np.concatenate([np.bincount(inverse, x * e[row], len(used)) + 1e-4 * w[:-1], [e.sum()]])
+        g, own_w = np.zeros(n + 1), w.astype(np.float32)
+        for a, b, own in parts:
+            row = np.repeat(np.arange(b - a), lengths[a:b])
+            z = np.bincount(row, x[own] * own_w[index[own]], b - a) + bias
+            e = class_weight[a:b] * (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y[a:b]) / len(y)
+            g[:n] += np.bincount(index[own], x[own] * e[row], n)
+            g[n] += e.sum()
+        g[:n] += 1e-4 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= 0.03 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-9)
-    bias = w[-1]
-    out = np.zeros((KINDS, 1 << BITS), np.float32)
-    out.reshape(-1)[used] = w[:-1] * scale
+        step = 0.03 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-9)
+        w, bias = w - step[:n], bias - step[n]
+    out = (w * scale).astype(np.float32).reshape(KINDS, 1 << BITS)
     out[0] += np.float32(bias)  # every text has a share of 1 in all over a kind
     return out
 
@@ -181,15 +214,18 @@ def fit(documents: DataFrame, labels: DataFrame, keep=None, sample: int = SAMPLE
     y, fold = got["y"].to_numpy().astype(float), got["fold"].to_numpy()
     if not len(y) or not 0 < y[fold != 0].sum() < (fold != 0).sum():
         return Model()
-    index = [np.frombuffer(i.as_py(), "<i4") for i in got["i"]]
-    value = [np.frombuffer(v.as_py(), "<f4") for v in got["v"]]
-    own = np.flatnonzero(fold != 0)
+    index = [np.frombuffer(i.as_buffer(), "<i4") for i in got["i"]]
+    value = [np.frombuffer(v.as_buffer(), "<f4") for v in got["v"]]
+    own, rest = np.flatnonzero(fold != 0), np.flatnonzero(fold == 0)
     to = np.concatenate([[0], np.cumsum([len(index[k]) for k in own])])
-    model = Model(train(np.concatenate([index[k] for k in own]), np.concatenate([value[k] for k in own]).astype(float), to, y[own]))
-    rest = np.flatnonzero(fold == 0)
+    learnt = np.concatenate([index[k] for k in own]), np.concatenate([value[k] for k in own])
+    held = {k: (index[k].copy(), value[k].copy()) for k in rest.tolist()}
+    del got, index, value
+    pa.default_memory_pool().release_unused()
+    model = Model(train(*learnt, to, y[own]))
     if len(rest) and 0 < y[rest].sum() < len(rest):
         flat = model.weights.reshape(-1)
-        z = np.array([flat[index[k]] @ value[k] for k in rest], float)
+        z = np.array([flat[held[k][0]] @ held[k][1] for k in rest.tolist()], float)
         a, b = logistic(np.stack([z, np.ones(len(z))], 1), y[rest])
         model.curve = (float(a), float(b)) if a > 0 else (1.0, 0.0)
     return model
