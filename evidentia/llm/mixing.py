@@ -22,14 +22,14 @@ import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidentia.llm.staging import stage
+from evidentia.llm.toxicity import by_hash
 
 DOMAINS = ["good", "poor", "toxic"]
 WEIGHTS = {"good": 0.85, "poor": 0.10, "toxic": 0.05}
-#: Labelled rows of each domain that telling words are chosen by, at most (by a hash of the id), and words chosen.
+#: Labelled rows of each domain that telling words are chosen by, about at most (by a hash of the id), and words chosen.
 SAMPLE = 2000
 WORDS = 300
 #: Steps of the gradient at most, and the largest relative error of a domain's total at which they end.
@@ -58,9 +58,7 @@ def words(text: Column) -> Column:
 
 def telling_words(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, n: int = WORDS) -> list[str]:
     """Words of toxic labelled texts that are rarest elsewhere, by smoothed log odds of the texts that hold them."""
-    w = W.partitionBy("domain").orderBy(F.xxhash64("doc_id", F.lit(19)), "doc_id")
-    some = labelled.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= sample).select("doc_id", "domain")
-    held = docs.join(F.broadcast(some), "doc_id").select("domain", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
+    held = docs.join(F.broadcast(by_hash(labelled, "domain", sample, 19)), "doc_id").select("domain", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
     toxic = F.col("domain") == "toxic"
     counts = held.groupBy("word").agg(F.count(F.when(toxic, 1)).alias("t"), F.count(F.when(~toxic, 1)).alias("o"))
     odds = F.log((F.col("t") + 0.5) / (F.col("o") + 0.5))
