@@ -1,9 +1,9 @@
 """Language identification by cross-parsing entropy.
 
 Per language, a suffix automaton of labelled text gives the longest match of what follows at any place. A text is parsed
-into such longest phrases against every language; the language that needs the fewest phrases, normalised by the logarithm
-of its text's length and the length of the text, wins. Phrases begin anew at every word, so each different word of a block
-is parsed once, all words at a time, and its phrases are counted as often as it occurs.
+into such longest phrases, across words, against every language; the language that needs the fewest phrases, normalised by
+the logarithm of its text's length and the length of the text, wins. Long texts are parsed in pieces, all pieces of a block
+of texts at a time.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so is every text if nothing can be learnt
 from; equal rates go to the language that sorts first; labels that are null are left out; whole texts are used.
@@ -12,25 +12,33 @@ from; equal rates go to the language that sorts first; labels that are null are
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidentia.llm import spans
 from evidentia.llm.staging import stage, widened
+from evidentia.llm.toxicity import by_hash
 
-#: Labelled rows of each language that are learnt from, at most (chosen by a hash of the id).
+#: Labelled rows of each language that are learnt from, about at most, and bytes of them (in order of a hash of the id).
 SAMPLE = 300
-#: Bytes of different words that a language's automaton is built on, at most; the most frequent words come first.
 BYTES = 60_000
-#: Signs parsed together of a word; the rest of a longer one is parsed in further pieces.
-PIECE = 32
-_LETTER = re.compile(r"[^\W\d_]")
+#: Bytes of a piece; a phrase ends with its piece.
+PIECE = 256
+#: Where the number of phrases lies in a table's entry, above the state.
+COST = 28
+STATE = (1 << COST) - 1
+_ASCII = re.compile("[A-Za-z]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a text holds a sign of a Unicode category of letters (L)."""
+    return bool(text) and bool(_ASCII.search(text) or any(unicodedata.category(c)[0] == "L" for c in text))
 
 
 def suffix_automaton(codes: list[int], signs: int) -> np.ndarray:
@@ -72,105 +80,85 @@ def suffix_automaton(codes: list[int], signs: int) -> np.ndarray:
 class Model:
     languages: list[str]
     code: np.ndarray  # of each byte; 0 for bytes that no automaton knows
-    tables: list[np.ndarray]
+    tables: list[np.ndarray]  # of each state and sign: the state after it, and above COST how many phrases end or stand alone
     log_size: np.ndarray  # of each language's text
 
     @classmethod
-    def fit(cls, words: dict[str, list[tuple[bytes, int]]]) -> Model:
-        """words: for each language its words and their counts."""
-        languages = sorted(words)
-        texts = []
-        for lang in languages:
-            own, size = [], 0
-            for w, _ in sorted(words[lang], key=lambda x: (-x[1], x[0])):
-                if size + len(w) >= BYTES:
-                    break
-                own.append(w)
-                size += len(w) + 1
-            texts.append(b" " + b" ".join(own) + b" ")
-        used = sorted({b for t in texts for b in t})
+    def fit(cls, texts: dict[str, bytes]) -> Model:
+        """texts: running text of each language."""
+        languages = sorted(texts)
+        used = sorted({b for t in texts.values() for b in t})
         code = np.zeros(256, np.int32)
         code[used] = np.arange(1, len(used) + 1)
-        tables = [suffix_automaton(code[np.frombuffer(t, np.uint8)].tolist(), len(used) + 1) for t in texts]
-        return cls(languages, code, tables, np.log2([len(t) + 1 for t in texts]))
-
-    def phrases(self, words: list[bytes]) -> np.ndarray:
-        """Phrases of each word (with the space before it) against each language."""
-        out = np.zeros((len(words), len(self.languages)))
-        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        data = self.code[np.frombuffer(b" " + b" ".join(words), np.uint8)]
-        start = np.cumsum(size) - size
-        for least, most in ((0, 4), (4, 8), (8, 12), (12, 16), (16, 24), (24, PIECE + 1)):
-            own = np.flatnonzero((size > least) & (size <= most))
-            if not len(own):
-                continue
-            at = np.minimum(start[own][:, None] + np.arange(most), len(data) - 1)
-            matrix = np.where(np.arange(most) < size[own][:, None], data[at], -1).T.copy()
-            for k, table in enumerate(self.tables):
-                state = np.zeros(len(own), np.int32)
-                count = np.zeros(len(own), np.int32)
-                for sign in matrix:
-                    on = sign >= 0
-                    to = table[state, sign]
-                    miss = on & (to < 0)
-                    count += miss & (state > 0)  # the phrase before ends here
-                    anew = table[0, sign]
-                    count += miss & (anew < 0)  # an unknown sign is a phrase of its own
-                    state = np.where(on, np.where(miss, np.maximum(anew, 0), to), state)
-                out[own, k] = count + (state > 0)
+        tables = []
+        for lang in languages:
+            to = suffix_automaton(code[np.frombuffer(texts[lang], np.uint8)].tolist(), len(used) + 1)
+            anew = to[0]
+            # what doesn't go on ends the phrase before it and begins one; a sign that none knows is a phrase of its own
+            step = np.where(to >= 0, to, np.maximum(anew, 0)[None])
+            cost = np.where(to >= 0, 0, (np.arange(len(to)) > 0)[:, None].astype(np.int32) + (anew < 0)[None]).astype(np.int32)
+            nothing = np.arange(len(to), dtype=np.int32)[:, None]  # the sign beyond the end
+            tables.append(np.ascontiguousarray(np.concatenate([step.astype(np.int32) | cost << COST, nothing], 1)))
+        return cls(languages, code, tables, np.log2([len(texts[lang]) + 1 for lang in languages]))
+
+    def phrases(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Longest phrases that each text is parsed into against each language; texts lie one after another in ``data``.
+
+        Texts are cut into pieces of PIECE bytes, and the pieces of all of them are parsed together, sign by sign.
+        """
+        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        pieces = -(-(ends - begins) // PIECE)
+        text = np.repeat(np.arange(len(ends)), pieces)
+        within = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = begins[text] + within * PIECE
+        size = np.minimum(ends[text] - start, PIECE)
+        out = np.zeros((len(ends), len(self.languages)))
+        if not len(text):
+            return out
+        sign = self.code[data]
+        beyond = self.tables[0].shape[1] - 1
+        at = start[:, None] + np.arange(PIECE)
+        matrix = np.where(np.arange(PIECE) < size[:, None], sign[np.minimum(at, len(sign) - 1)], beyond).T.astype(np.int32)
+        matrix = np.ascontiguousarray(matrix)
+        for k, table in enumerate(self.tables):
+            flat, width = table.reshape(-1), np.int64(table.shape[1])
+            state, count = np.zeros(len(text), np.int64), np.zeros(len(text), np.int32)
+            for signs in matrix:
+                found = flat[state * width + signs]
+                count += found >> COST
+                state = (found & STATE).astype(np.int64)
+            out[:, k] = np.bincount(text, count + (state > 0), len(ends))
         return out
 
     def rates(self, column: pa.Array) -> np.ndarray:
-        """Normalised phrases (bits per byte) of each text against each language; 0 for texts without words."""
+        """Normalised phrases (bits per byte) of each text against each language."""
         found = []
         for block in spans.blocks(column):
-            _, first, inverse = np.unique(block.hashes(), return_index=True, return_inverse=True)
-            pieces, owner = [], []
-            for k, i in enumerate(first.tolist()):
-                w = block.word(i)
-                for at in range(0, len(w), PIECE):
-                    pieces.append(w[at : at + PIECE])
-                    owner.append(k)
-            if not pieces:
-                found.append(np.zeros((block.n_docs, len(self.languages))))
-                continue
-            by_piece = self.phrases(pieces)
-            doc = block.doc
-            size = np.bincount(doc, block.stops - block.starts + 1, block.n_docs)
-            own = []
-            for k in range(len(self.languages)):
-                by_word = np.bincount(owner, by_piece[:, k], len(first))
-                own.append(np.bincount(doc, by_word[inverse], block.n_docs) * self.log_size[k] / np.maximum(size, 1))
-            found.append(np.stack(own, 1))
+            size = np.diff(block.ends, prepend=0)
+            found.append(self.phrases(block.data, block.ends) * self.log_size / np.maximum(size, 1)[:, None])
         return np.concatenate(found) if found else np.zeros((0, len(self.languages)))
 
 
 def fit(documents: DataFrame, keep=None, sample: int = SAMPLE, label: str = "lang") -> Model:
-    """Learn from at most ``sample`` documents of each language with a label that is not null."""
-    own = documents.filter(F.col(label).isNotNull() & (F.lit(True) if keep is None else keep)).select("doc_id", F.col(label).alias("y"))
-    w = W.partitionBy("y").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id")
-    own = own.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= sample).select("doc_id", "y").distinct()
-    rows = stage(documents.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("text", "y"), "language-sample")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            y = np.array(b.column(1).to_pylist())
-            for block in spans.blocks(b.column(0)):
-                hashes, doc = block.hashes(), block.doc
-                for lang in np.unique(y[block.first : block.first + block.n_docs]):
-                    of = np.flatnonzero(y[block.first : block.first + block.n_docs][doc] == lang)
-                    _, first, n = np.unique(hashes[of], return_index=True, return_counts=True)
-                    words = [block.word(i) for i in of[first].tolist()]
-                    short = [k for k, x in enumerate(words) if len(x) <= PIECE]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([str(lang)] * len(short), pa.string()), pa.array([words[k] for k in short], pa.binary()), pa.array(n[short].astype(np.int64))], ["y", "word", "n"]
-                    )
-
-    counts = rows.mapInArrow(count, "y string, word binary, n long").groupBy("y", "word").agg(F.sum("n").alias("n"))
-    words: dict[str, list[tuple[bytes, int]]] = {}
-    for y, word, n in zip(*(c.to_pylist() for c in counts.toArrow().columns), strict=True):
-        words.setdefault(y, []).append((word, n))
-    return Model.fit(words)
+    """Learn from the texts of at most ``sample`` documents of each language with a label that is not null, in order of a
+    hash of the id, up to BYTES bytes."""
+    own = documents.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (F.lit(True) if keep is None else keep))
+    own = own.select("doc_id", F.col(label).cast("string").alias("y")).distinct()
+    own = by_hash(own, "y", sample, 3).withColumn("h", F.xxhash64("doc_id", F.lit(13)))
+    rows = documents.select("doc_id", F.col(label).cast("string").alias("y"), F.substring("text", 1, BYTES).alias("text")).filter("text is not null")
+    rows = stage(rows.join(F.broadcast(own), ["doc_id", "y"]).select("y", "h", "text"), "language-sample")
+    held: dict[str, int] = {}
+    chosen = []
+    for r in rows.select("y", "h", F.octet_length("text").alias("n")).orderBy("y", "h", "n").collect():  # ``sample`` numbers for a language
+        if held.get(r.y, 0) < BYTES:
+            held[r.y] = held.get(r.y, 0) + r.n + 1
+            chosen.append(r.h)
+    texts: dict[str, bytes] = {}
+    got = rows.filter(F.col("h").isin(chosen)).orderBy("y", "h", "text").toArrow() if chosen else None  # two times BYTES for a language at most
+    for y, text in zip(got["y"], got["text"], strict=True) if got else ():
+        block = next(iter(spans.blocks(pa.array([text.as_py()]), 1 << 40)))
+        texts[y.as_py()] = (texts.get(y.as_py(), b" ") + block.data.tobytes())[:BYTES]
+    return Model.fit({y: t for y, t in texts.items() if t.strip()})
 
 
 #: Bits per byte by which a language's rate must lie above the best for its odds to fall to about a third.
@@ -188,7 +176,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         own = shared.value
         for b in batches:
             column = b.column(place)
-            letters = np.array([bool(t and _LETTER.search(t)) for t in column.to_pylist()], bool)
+            letters = np.array([has_letter(t) for t in column.to_pylist()], bool)
             if own.languages:
                 rates = own.rates(column)
                 best = rates.argmin(1) if len(rates) else np.zeros(0, int)
