@@ -30,13 +30,15 @@ from evidentia.llm.staging import stage
 #: Vectors that the codebooks are fitted on, at most (chosen by a hash of the id).
 SAMPLE = 20_000
 #: Share of all vectors that a query's visited cells hold.
-SHARE = 0.55
+SHARE = 0.38
 #: Vectors that they hold at least.
 LEAST = 3_000
 CROWDED = 4
-#: Vectors of a shard, and queries of a block, about.
-SHARD = 8_192
+#: Vectors of a shard (a SHARDS-th of all between these bounds), and queries of a block and of a task that traverses the index, about.
+SHARD = (2_048, 65_536)
+SHARDS = 64
 BLOCK = 4_096
+PROBES = 64
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -125,7 +127,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = S
     if not len(sample):
         sample = matrix(rows.select("v").limit(1).toArrow()["v"])
     half = max(1, sample.shape[1] // 2)
-    size = int(np.clip(round((most["count"] / 4) ** 0.5), 4, 256))
+    size = int(np.clip(round((most["count"] / 1.2) ** 0.5), 4, 256))
     first = kmeans(sample[:, :half], size)
     second = kmeans(sample[:, half:], size) if sample.shape[1] > half else np.zeros((1, 0))
     n_cells = len(first) * len(second)
@@ -140,17 +142,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = S
     for r in coded.groupBy("cell").count().collect():  # as many rows as cells
         index.counts[r.cell] = r["count"]
     index.weight = np.minimum(index.counts, CROWDED * index.counts[index.counts > 0].mean())
-    index.spread = np.maximum(1, -(-index.counts // SHARD))
+    per_shard = int(np.clip(most["count"] // SHARDS, *SHARD))
+    index.spread = np.maximum(1, -(-index.counts // per_shard))
     shard, load = 0, 0
     for cell in range(n_cells):  # neighbouring cells share a shard until it is full
-        if load and load + index.counts[cell] > SHARD:
+        if load and load + index.counts[cell] > per_shard:
             shard, load = shard + 1, 0
         index.shard[cell] = shard
         if index.spread[cell] > 1:
             shard += int(index.spread[cell])
         else:
             load += int(index.counts[cell])
-    blocks = max(1, -(-asked.count() // BLOCK))
+    n_asked = asked.count()
+    blocks = max(1, -(-n_asked // BLOCK))
+    asked = asked.repartition(max(1, -(-n_asked // PROBES)), "query_id")
     shared = spark.sparkContext.broadcast(index)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
