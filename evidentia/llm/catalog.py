@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm import bpe, jaccard, language, mixing, nearest, quality, shards, suffixlm, toxicity, urls
 from evidentia.llm.staging import table
 
-#: Folder of the public vocabularies; the file is read by every worker.
-TOKENIZERS = os.environ.get("EVIDENTIA_TOKENIZERS", "/opt/tokenizers")
-
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
-    return os.path.join(TOKENIZERS, name)
+    """Path of a public vocabulary; the file is read by every worker."""
+    return public_tokenizers.path(name)
 
 
 def remainder(of: int) -> Column:
@@ -50,6 +48,16 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir))
 
 
+#: All pairs that share a shingle, counted; components by following links. For small tables.
+OP4_SQL = r"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ shingles AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(2, CAST(len(w) AS BIGINT) - 3)), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS s FROM words WHERE len(w) > 0),
+ sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+ links AS (SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+  JOIN sizes m ON m.doc_id = p.a JOIN sizes n ON n.doc_id = p.b WHERE 100 * shared >= 75 * (m.n + n.n - shared)),
+ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, (SELECT min(b) FROM reach r WHERE r.a = d.doc_id) AS component_id, (SELECT count(*) FROM links l WHERE l.a = d.doc_id) AS n_links FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id"""
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit(documents(spark, sf_dir, "lang"), keep=remainder(3) != 1)
     found = language.predict(documents(spark, sf_dir), model)
@@ -90,4 +98,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_jaccard": OP4_SQL}

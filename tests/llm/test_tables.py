@@ -242,6 +242,25 @@ def test_sections_are_judged_apart_at_any_fan_out(spark, sections):
         assert r.verdict == ("block" if r.path.startswith("/en/") else "allow")
 
 
+def test_unruled_urls_are_blocked_without_labels(spark):
+    """A value among blocked values, and an odd section of a host that is blocked nearly whole; not a clean section beside a blocked one."""
+    given = [f"http://h.com/en/x/a{i}" for i in range(60)] + [f"http://h.com/en/y{i}/b" for i in range(3)]
+    given += [f"http://k.com/en/{i}" for i in range(200)] + [f"http://k.com/odd/{i}" for i in range(8)]
+    given += [f"http://m.com/en/{i}" for i in range(50)] + [f"http://m.com/{s}/{i}" for s in ("fr", "de") for i in range(30)]
+    rules = [("block", "h.com", "/en/x/a"), ("block", "k.com", "/en/"), ("block", "m.com", "/en/")]
+    pages = spark.createDataFrame([*enumerate([*given, "http://h.com/en/x/b1", "http://n.com/en/1"])], "page_id long, url string")
+    got = urls.judge(pages, rules).collect()
+    own = {(r.host + r.path): (r.rule, r.verdict) for r in got}
+    assert own["h.com/en/x/b1"] == (None, "block") and own["h.com/en/y1/b"] == (None, "block")
+    assert all(own[f"k.com/odd/{i}"] == (None, "block") for i in range(8))
+    assert all(own[f"m.com/{s}/{i}"] == (None, "allow") for s in ("fr", "de") for i in range(30)) and own["n.com/en/1"] == (None, "allow")
+
+
+def test_urls_is_expressions_only(spark):
+    pages = spark.createDataFrame([(i, f"http://h.com/en/{i}") for i in range(20)], "page_id long, url string")
+    assert not re.search("Python|Pandas|Arrow", urls.judge(pages, catalog.RULES)._jdf.queryExecution().toString())
+
+
 def test_templates_have_the_depth_of_their_paths(spark):
     rows = [(i, f"http://h.io/a/b/c/d/e/{'spam' if i % 2 else 'news'}/{i}") for i in range(200)]
     pages = spark.createDataFrame(rows, "page_id long, url string")
@@ -283,6 +302,35 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0), labels).count() == 0
 
 
+def test_posteriors_are_plain_naive_bayes(spark):
+    rows, _ = mixture(spark)
+    rows = [*rows, (900, "A#B a, a!  b"), (901, None)]
+    domain = {i: "poor" if i % 10 == 0 else "toxic" if i % 10 in (1, 2) else "good" for i in range(0, 300, 2)}
+    labelled = spark.createDataFrame(list(domain.items()), "doc_id long, domain string")
+    telling = ["vile", "a"]
+
+    def features(t):
+        t = t or ""
+        words = [w for w in re.split(r"[\s.,!|]+", t.lower()) if w]
+        marks, capitals = sum(c in mixing._MARKS for c in t), sum("A" <= c <= "Z" for c in t)
+        size = max(1, len(t))
+        return [len(words), np.log1p(len(words)), len(set(words)) / max(1, len(words)), np.log1p(1000 * marks / size), np.log1p(1000 * capitals / size), np.log1p(len(set(words) & set(telling)))]
+
+    x = {i: features(t) for i, t in rows}
+    got, names = mixing.posteriors(mixing.features(spark.createDataFrame(rows, "doc_id long, text string"), telling), labelled)
+    own = {d: np.array([x[i][1:] for i in domain if domain[i] == d]) for d in names}
+    assert names == mixing.DOMAINS
+    for r in got.collect():
+        assert [r.tokens, *(r[c] for c in mixing.FEATURES)] == pytest.approx(x[r.doc_id])
+        logs = []
+        for d in names:
+            mean, spread = own[d].mean(0), np.maximum(own[d].var(0), 0.02)
+            fit = -((np.array(x[r.doc_id][1:]) - mean) ** 2 / (2 * spread) + 0.5 * np.log(spread)).sum() if r.tokens else 0.0
+            logs.append(np.log(len(own[d]) / len(domain)) + fit)
+        e = np.exp(np.array(logs) - max(logs))
+        assert r.p == pytest.approx((e / e.sum()).tolist(), abs=1e-9)
+
+
 def test_mixing_meets_targets_of_rare_domains(spark):
     rows = spark.createDataFrame([(999_900, [1.0, 0.0, 0.0]), (90, [0.0, 1.0, 0.0]), (10, [0.0, 0.0, 1.0])], "tokens long, p array<double>")
     total = 999_900 * 1.01 / 0.97
