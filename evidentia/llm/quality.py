@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidentia.llm import spans
-from evidentia.llm.staging import stage
+from evidentia.llm.staging import release, stage
 from evidentia.llm.toxicity import logistic, sampled
 
 BITS = 17
@@ -221,13 +221,16 @@ def fit(documents: DataFrame, labels: DataFrame, keep=None, sample: int = SAMPLE
     learnt = np.concatenate([index[k] for k in own]), np.concatenate([value[k] for k in own])
     held = {k: (index[k].copy(), value[k].copy()) for k in rest.tolist()}
     del got, index, value
-    pa.default_memory_pool().release_unused()
+    release()
     model = Model(train(*learnt, to, y[own]))
+    del learnt
     if len(rest) and 0 < y[rest].sum() < len(rest):
         flat = model.weights.reshape(-1)
         z = np.array([flat[held[k][0]] @ held[k][1] for k in rest.tolist()], float)
         a, b = logistic(np.stack([z, np.ones(len(z))], 1), y[rest])
         model.curve = (float(a), float(b)) if a > 0 else (1.0, 0.0)
+    del held
+    release()
     return model
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm import spans
-from evidentia.llm.staging import stage, widened
+from evidentia.llm.staging import release, stage, widened
 
 #: Signs of a gram: five of context and the next.
 ORDER = 6
@@ -243,7 +243,7 @@ def fit(documents: DataFrame, labels: DataFrame, keep=None, sample: int = SAMPLE
         return model
     parts = [Model.fit(gram, np.delete(toxic, k, 0).sum(0), np.delete(ordinary, k, 0).sum(0)) for k in range(FOLDS)]
     del gram, toxic, ordinary
-    pa.default_memory_pool().release_unused()
+    release()
     shared = documents.sparkSession.sparkContext.broadcast(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,11 +255,14 @@ def fit(documents: DataFrame, labels: DataFrame, keep=None, sample: int = SAMPLE
                 yield pa.RecordBatch.from_arrays([b.column(1).take(own), *(pa.array(x[:, j]) for j in range(4))], ["y", "a", "b", "c", "d"])
 
     held = rows.select("text", "y", "fold").mapInArrow(run, "y int, a double, b double, c double, d double").toArrow()
-    shared.unpersist()
+    shared.destroy()
+    del parts
     x = np.stack([held[c].to_numpy() for c in "abcd"], 1)
     y = held["y"].to_numpy().astype(float)
     if 0 < y.sum() < len(y):
         model.weights = logistic(shape(x), y, SHRINK)
+    del held, x
+    release()
     return model
 
 
