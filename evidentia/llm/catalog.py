@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import bpe, jaccard, language, mixing, nearest, quality, shards, suffixlm, toxicity, urls
+from evidentia.llm import bpe, jaccard, language, mixing, nearest, pieces, quality, shards, suffixlm, toxicity, urls
 from evidentia.llm.staging import table
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     """Path of a public vocabulary; the file is read by every worker."""
+    import public_tokenizers
+
     return public_tokenizers.path(name)
 
 
@@ -92,8 +93,12 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
 
 
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model")).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_urls, op2_toxicity, op3_bpe, op4_jaccard, op5_language, op6_suffixlm, op7_shards, op8_mixing, op9_quality, op10_nearest]
+    found = [op1_urls, op2_toxicity, op3_bpe, op4_jaccard, op5_language, op6_suffixlm, op7_shards, op8_mixing, op9_quality, op10_nearest, op13_pieces]
     return {f.__name__: f for f in found}
 
 
