@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import bpe, jaccard, language, mixing, nearest, pieces, quality, shards, suffixlm, toxicity, urls
+from evidentia.llm import bpe, dialogue, jaccard, language, mixing, nearest, pieces, quality, ranked, shards, suffixlm, toxicity, urls
 from evidentia.llm.staging import table
 
 
@@ -93,14 +93,35 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
 
 
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+#: All postings joined with all terms of items. For small tables.
+OP11_SQL = r"""WITH words AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+ asked AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+ tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL), sizes AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY ALL),
+ whole AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM sizes), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+ q AS (SELECT item_id, term, count(*) AS r FROM asked GROUP BY ALL),
+ scored AS (SELECT q.item_id, tf.doc_id, CAST(sum(q.r * CAST(floor(1000 * ln((2 * nn + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN df USING (term) JOIN sizes USING (doc_id) CROSS JOIN whole GROUP BY ALL),
+ ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+
+def op12_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return dialogue.repair_all(dialogue.damage(rows), rows)
+
+
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model")).drop("text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_urls, op2_toxicity, op3_bpe, op4_jaccard, op5_language, op6_suffixlm, op7_shards, op8_mixing, op9_quality, op10_nearest, op13_pieces]
+    found = [op1_urls, op2_toxicity, op3_bpe, op4_jaccard, op5_language, op6_suffixlm, op7_shards, op8_mixing, op9_quality, op10_nearest, op11_ranked, op12_dialogue, op13_pieces]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard": OP4_SQL}
+    return {"op4_jaccard": OP4_SQL, "op11_ranked": OP11_SQL}
