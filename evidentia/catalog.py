@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +15,8 @@ from evidentia.functions import text as X
 from evidentia.functions import vectors as V
 from evidentia.operators import answers, audit, chunking, evaluation, jobs, layers, retrieval, structure, validation
 from evidentia.sources import files, manifest
+from evidentia.sources.lake import Check, Foreign, Lake, Transaction, Unique, Violation
+from evidentia.staging import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -408,11 +413,11 @@ def gold_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {S.GOLD}, todo AS (SELECT s.* FROM silver s LEFT JOIN gold g ON g.chunk_id = s.chunk_id AND g.model_version = '2' AND g.chunk_hash = s.chunk_hash WHERE g.chunk_id IS NULL)
-SELECT chunk_id, model_version, chunk_hash, CAST(len(embedding) AS INTEGER) AS dimension FROM gold g WHERE NOT (model_version = '2' AND chunk_id IN (SELECT chunk_id FROM todo))
+SELECT chunk_id, model_version, chunk_hash, CAST(len(embedding) AS INTEGER) AS dimension FROM gold g WHERE chunk_id NOT IN (SELECT chunk_id FROM todo)
 UNION ALL SELECT chunk_id, '2', chunk_hash, 2 FROM todo"""
 )
 def gold_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C12, SC8, SC9, J6, U1, SK5: missing and outdated embeddings made and put in their place."""
+    """C12, SC8, SC9, J6, U1, SK5: missing and outdated embeddings made; they replace those of any version of chunk and model."""
     embed = lambda rows: rows.withColumn("embedding", F.array(F.length("chunk_text").cast("float"), (F.col("chunk_id") % 7).cast("float")))
     built = jobs.build_gold(S.gold_chunks(spark, sf_dir), S.gold(spark, sf_dir), "m", "2", embed)
     return built.table.select("chunk_id", "model_version", "chunk_hash", F.size("embedding").alias("dimension"))
@@ -447,6 +452,127 @@ def vector_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", V.from_text(V.to_text(F.col("embedding"))).cast("array<double>").alias("embedding"))
 
 
+# -- one log for all layers ------------------------------------------------------------------------------------------------
+
+
+def _lake(spark: SparkSession) -> Lake:
+    return Lake(spark, f"{shared_dir(spark)}/lake-{uuid.uuid4().hex}")
+
+
+_NEWER = "CASE WHEN chunk_id % 13 = 0 THEN concat(chunk_text, 'newer') ELSE chunk_text END"
+
+
+@query(
+    f"""WITH {S.GOLD}, silver2 AS (SELECT chunk_id, {_NEWER} AS chunk_text FROM silver),
+ todo AS (SELECT s.chunk_id, sha256(s.chunk_text) AS h FROM silver2 s LEFT JOIN gold g ON g.chunk_id = s.chunk_id AND g.model_version = '2' AND g.chunk_hash = sha256(s.chunk_text) WHERE g.chunk_id IS NULL),
+ gold2 AS (SELECT chunk_id, model_version, chunk_hash FROM gold WHERE chunk_id NOT IN (SELECT chunk_id FROM todo) UNION ALL SELECT chunk_id, '2', h FROM todo)
+SELECT CAST(1 AS BIGINT) AS version, s.chunk_id, g.model_version, g.chunk_hash, g.chunk_hash = s.chunk_hash AS current FROM silver s JOIN gold g ON g.chunk_id = s.chunk_id
+UNION ALL SELECT 2, s.chunk_id, g.model_version, g.chunk_hash, g.chunk_hash = sha256(s.chunk_text) FROM silver2 s JOIN gold2 g ON g.chunk_id = s.chunk_id"""
+)
+def layers_by_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK14: Silver and Gold as of each commit. A build that fails between the two leaves the pair before; the next one changes both."""
+    lake = _lake(spark)
+
+    def first(t: Transaction) -> None:
+        t.write("silver", S.gold_chunks(spark, sf_dir))
+        t.write("gold", S.gold(spark, sf_dir))
+
+    def build(embed: Callable[[DataFrame], DataFrame]) -> Callable[[Transaction], None]:
+        def work(t: Transaction) -> None:
+            text = F.expr(_NEWER)
+            t.write("silver", t.table("silver").withColumns({"chunk_text": text, "chunk_hash": F.sha2(text, 256)}))
+            t.write("gold", jobs.build_gold(t.table("silver"), t.table("gold"), "m", "2", embed).table)
+
+        return work
+
+    def gone(rows: DataFrame) -> DataFrame:
+        raise ConnectionError("the model is gone")
+
+    lake.transact(first, "first build")
+    with contextlib.suppress(ConnectionError):
+        lake.transact(build(gone), "a build that fails")
+    before = lake.snapshot()
+    lake.transact(build(lambda rows: rows.withColumn("embedding", F.array(F.length("chunk_text").cast("float")))), "second build")
+
+    def pair(version: int, s) -> DataFrame:
+        own = s.table("silver").select("chunk_id", F.col("chunk_hash").alias("h"))
+        rows = own.join(s.table("gold"), "chunk_id")
+        return rows.select(F.lit(version).cast("long").alias("version"), "chunk_id", "model_version", "chunk_hash", (F.col("chunk_hash") == F.col("h")).alias("current"))
+
+    now = lake.snapshot()
+    return pair(before.version, before).unionByName(pair(now.version, now))
+
+
+_KEPT_DOCUMENTS = "document_id % 5 <> 0"
+
+
+@query(
+    f"""WITH {S.PAGES}, b AS (SELECT document_id, {', '.join(f'{x} AS {n}' for n, x in _BROKEN.items())} FROM pages), w AS (SELECT * FROM b UNION ALL SELECT * FROM b WHERE document_id % 8 = 3),
+ counts AS (SELECT 'page_number below 1' AS rule, count(*) AS broken FROM w WHERE page_number < 1 UNION ALL SELECT 'page_text is missing', count(*) FROM w WHERE page_text IS NULL
+ UNION ALL SELECT 'page_char_length below 0', count(*) FROM w WHERE page_char_length < 0 UNION ALL SELECT 'page without document', count(*) FROM w WHERE NOT ({_KEPT_DOCUMENTS})
+ UNION ALL SELECT 'page repeats', CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM w GROUP BY document_id, page_number HAVING count(*) > 1))
+SELECT rule, broken FROM counts WHERE broken > 0"""
+)
+def constraints_on_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK15, V15: planted faults of pages, counted by the job that would have written them; nothing is committed."""
+    lake = _lake(spark)
+    pages = S.pages(spark, sf_dir).select("document_id", *[F.expr(x).alias(n) for n, x in _BROKEN.items()])
+    rules = [
+        Check("page_number below 1", "page_number > 0"), Check("page_text is missing", "page_text is not null"), Check("page_char_length below 0", "page_char_length >= 0"),
+        Unique("page repeats", ("document_id", "page_number")), Foreign("page without document", ("document_id",), "documents"),
+    ]
+    found: dict[str, int] = {}
+
+    def work(t: Transaction) -> None:
+        t.write("documents", S.documents(spark, sf_dir).filter(_KEPT_DOCUMENTS).select("document_id", "document_name"), [Unique("document repeats", ("document_id",))])
+        t.write("pages", pages.unionByName(pages.filter("document_id % 8 = 3")), rules)
+
+    try:
+        lake.transact(work, "pages with faults")
+    except Violation as e:
+        found = e.counts
+    if lake.versions():
+        raise AssertionError("pages with faults were committed")
+    return spark.createDataFrame(list(found.items()), "rule string, broken long")
+
+
+@query(
+    f"""WITH {S.DOCUMENTS} SELECT document_name, file_hash, count(*) OVER () = (SELECT count(*) FROM bronze) AS complete FROM (SELECT document_name, 'old' || document_name AS file_hash FROM bronze WHERE document_id % 3 = 0
+ UNION ALL SELECT document_name, sha256(document_name || full_text) FROM bronze WHERE document_id % 3 <> 0)"""
+)
+def racing_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK1: two writers start from one state; each one's documents are stored once, with ids of their own."""
+    lake = _lake(spark)
+    d = S.documents(spark, sf_dir).select("document_id", "document_name", F.sha2(F.concat("document_name", "full_text"), 256).alias("file_hash"))
+    stored = d.filter("document_id % 3 = 0").withColumn("file_hash", F.concat(F.lit("old"), "document_name"))
+    lake.transact(lambda t: t.write("documents", stored), "stored before")
+    both, failed = threading.Barrier(2), []
+
+    def write(rest: int) -> None:
+        first = [True]
+
+        def work(t: Transaction) -> None:
+            new = layers.upsert_documents(t.table("documents"), d.filter(f"document_id % 3 = {rest}").drop("document_id"))
+            if first.pop() if first else False:
+                both.wait(300)
+            t.write("documents", new, [Unique("id repeats", ("document_id",)), Unique("name repeats", ("document_name",))])
+
+        try:
+            lake.transact(work, f"writer {rest}")
+        except BaseException as e:
+            failed.append(e)
+
+    writers = [threading.Thread(target=write, args=(rest,)) for rest in (1, 2)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    if failed:
+        raise failed[0]
+    rows = lake.snapshot().table("documents")
+    return rows.select("document_name", "file_hash", F.lit(rows.select("document_id").distinct().count() == d.count()).alias("complete"))
+
+
 # -- manifest and audit ------------------------------------------------------------------------------------------------
 
 _FIELDS = "document_index, document_id, file_name, official_title, short_title, issuing_body, source_repository, source_url, document_type, legal_status, language, version_or_date, parser_type, enabled"
