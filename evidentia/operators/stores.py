@@ -87,17 +87,18 @@ def store_documents(lake: Lake, documents: DataFrame, pages: DataFrame) -> int:
     return lake.transact(work, "store documents")
 
 
-def _with_ids(chunks: DataFrame) -> DataFrame:
-    """Numbers for chunks that have none, after the largest one, in order of document and chunk."""
+def _with_ids(chunks: DataFrame, stored: DataFrame) -> DataFrame:
+    """Numbers for chunks that have none, after the largest one that is stored, in order of document and chunk."""
     known, new = chunks.filter("chunk_id is not null"), chunks.filter("chunk_id is null").drop("chunk_id")
-    most = known.agg(F.coalesce(F.max("chunk_id"), F.lit(0)).alias("_most"))
+    most = stored.agg(F.coalesce(F.max("chunk_id"), F.lit(0)).alias("_most"))
     new = layers.numbered(new, ["document_id", "chunk_order"], "_n").crossJoin(F.broadcast(most))  # one row
     return known.unionByName(new.withColumn("chunk_id", (F.col("_most") + F.col("_n")).cast("int")).select(*chunks.columns))
 
 
 def _silver(t: Transaction, wanted: DataFrame, rules: dict, **how) -> None:
-    built = jobs.build_silver(wanted, t.table(DOCUMENTS), t.table(PAGES), t.table(CHUNKS), **how)
-    t.write(CHUNKS, _with_ids(fitted(built.table, schemas.SILVER_CHUNKS)), rules[CHUNKS])
+    stored = t.table(CHUNKS)
+    built = jobs.build_silver(wanted, t.table(DOCUMENTS), t.table(PAGES), stored, **how)
+    t.write(CHUNKS, _with_ids(fitted(built.table, schemas.SILVER_CHUNKS), stored), rules[CHUNKS])
     # a rebuilt chunk has a new id; embeddings of the old one go with it
     gone = t.table(EMBEDDINGS).join(t.table(CHUNKS).select("chunk_id"), "chunk_id", "left_semi")
     t.write(EMBEDDINGS, fitted(gone, schemas.GOLD_EMBEDDINGS), rules[EMBEDDINGS])
