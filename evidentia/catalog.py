@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from evidentia import standins as S
 from evidentia.functions import text as X
 from evidentia.functions import vectors as V
-from evidentia.operators import answers, audit, chunking, evaluation, jobs, layers, retrieval, structure, validation
+from evidentia.operators import answers, audit, chunking, evaluation, jobs, layers, lexical, retrieval, structure, validation
 from evidentia.sources import files, manifest
 from evidentia.sources.lake import Check, Foreign, Lake, Transaction, Unique, Violation
 from evidentia.staging import shared_dir
@@ -87,7 +87,7 @@ def inventory_searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every question meets what a search of all chunks by its words finds."""
     b = S.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    return retrieval.top_k_by_words(S.gold_chunks(spark, sf_dir), b, 20)
+    return lexical.top_k_by_words(S.gold_chunks(spark, sf_dir), b, 20)
 
 
 _WORDS = "list_distinct(list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))"
@@ -100,14 +100,14 @@ _RERANKED = f"""{_CANDIDATES}, scored AS (SELECT *, round(len(list_intersect({_W
  reranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY reranker_score DESC, vector_rank) AS INTEGER) AS rerank_rank FROM scored QUALIFY rerank_rank <= 4)"""
 
 
-def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.rerank(_candidates(spark, sf_dir), 4, retrieval.overlap_score(F.col("question"), F.col("chunk_text")))
+def _reranked(candidates: DataFrame) -> DataFrame:
+    return retrieval.rerank(candidates, 4, retrieval.overlap_score(F.col("question"), F.col("chunk_text")))
 
 
 @query(f"WITH {_RERANKED} SELECT question_id, chunk_id, vector_rank, reranker_score, rerank_rank FROM reranked")
 def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates by a score of (question, text); ties keep their order."""
-    return _reranked(spark, sf_dir).select("question_id", "chunk_id", "vector_rank", "reranker_score", "rerank_rank")
+    return _reranked(_candidates(spark, sf_dir)).select("question_id", "chunk_id", "vector_rank", "reranker_score", "rerank_rank")
 
 
 # -- bronze ------------------------------------------------------------------------------------------------------------
@@ -677,7 +677,7 @@ def _placed(chunks: DataFrame) -> DataFrame:
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _placed(_reranked(spark, sf_dir))
+    return _placed(_reranked(_candidates(spark, sf_dir)))
 
 
 @query(f"WITH {_RERANKED} SELECT question_id, count(*) AS n_sources, string_agg({_CONTEXT}, chr(10) || chr(10) ORDER BY rerank_rank) AS context FROM reranked GROUP BY 1")
@@ -692,7 +692,7 @@ _SOURCES = f"""{_RERANKED}, sources AS (SELECT question_id, chunk_id, rerank_ran
 
 def _search(spark: SparkSession, sf_dir: str) -> Callable[[DataFrame, int], DataFrame]:
     chunks = _placed(S.gold_chunks(spark, sf_dir))
-    return lambda questions, k: retrieval.top_k_by_words(chunks, questions, k)
+    return lambda questions, k: lexical.top_k_by_words(chunks, questions, k)
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -798,13 +798,13 @@ _EVAL = f"""{_RERANKED}, q AS (SELECT item_id AS id, lang FROM benchmark JOIN do
  hit AS (SELECT c.question_id AS id, c.chunk_id, c.vector_rank FROM candidates c JOIN q ON q.id = c.question_id AND q.lang = c.lang WHERE c.chunk_id % 5 + 1 <= 3)"""
 
 
-def _eval(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _eval(spark: SparkSession, sf_dir: str, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     d = S.table(spark, sf_dir, "documents").select((F.col("doc_id") - 20).alias("id"), "lang")
     b = S.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"))
     source = F.struct(F.col("lang").alias("section_type"), F.lit(" ANY  source").alias("section_reference"), F.array(F.lit(1), F.lit(2), F.lit(3)).alias("pdf_pages"))
     questions = b.join(d, "id").select("id", F.lit("Corpus.PDF").alias("expected_document"), F.array(source).alias("expected_sources"))
     page = (F.col("chunk_id") % 5 + 1).cast("int")
-    chunks = _candidates(spark, sf_dir).select(
+    chunks = candidates.select(
         F.col("question_id").alias("id"), "chunk_id", "vector_rank", F.lit("corpus").alias("document_name"), F.upper("lang").alias("section_type"), F.lit("any source").alias("section_reference"),
         page.alias("page_start"), page.alias("page_end"),
     )
@@ -814,14 +814,14 @@ def _eval(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query(f"WITH {_EVAL} SELECT id, chunk_id, vector_rank FROM hit")
 def anchor_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J9, F17, X3, X4."""
-    questions, chunks = _eval(spark, sf_dir)
+    questions, chunks = _eval(spark, sf_dir, _candidates(spark, sf_dir))
     return evaluation.hits(chunks, questions, ["id"]).select("id", "chunk_id", "vector_rank")
 
 
 @query(f"WITH {_EVAL} SELECT q.id, min(vector_rank) AS first_rank FROM q LEFT JOIN hit ON hit.id = q.id GROUP BY 1")
 def first_hit_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A13."""
-    questions, chunks = _eval(spark, sf_dir)
+    questions, chunks = _eval(spark, sf_dir, _candidates(spark, sf_dir))
     return evaluation.first_hit_rank(chunks, questions, "vector_rank")
 
 
@@ -832,8 +832,9 @@ _EVALUATED = f"""{_EVAL}, after AS (SELECT h.id, min(r.rerank_rank) AS first FRO
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    questions, chunks = _eval(spark, sf_dir)
-    after = chunks.join(_reranked(spark, sf_dir).select(F.col("question_id").alias("id"), "chunk_id", "rerank_rank"), ["id", "chunk_id"])
+    candidates = _candidates(spark, sf_dir)
+    questions, chunks = _eval(spark, sf_dir, candidates)
+    after = chunks.join(_reranked(candidates).select(F.col("question_id").alias("id"), "chunk_id", "rerank_rank"), ["id", "chunk_id"])
     status = questions.select("id", F.when(F.col("id") % 7 == 3, "error").otherwise("pending").alias("status"))
     rows = evaluation.evaluate(questions, status, chunks, after, 4)
     return rows.select("id", "status", "vector_hit", "vector_top_k_hit", "reranked_hit")
@@ -856,15 +857,16 @@ SELECT id, status, v AS first_vector_hit_rank, r AS first_reranked_hit_rank, CAS
 )
 def evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole run; every seventh question's first candidate has no text, every eleventh expects what no corpus holds."""
-    questions, _ = _eval(spark, sf_dir)
+    candidates = _candidates(spark, sf_dir)
+    questions, _ = _eval(spark, sf_dir, candidates)
     none = F.transform("expected_sources", lambda x: x.withField("section_type", F.lit("none")))
     questions = questions.withColumn("expected_sources", F.when(F.col("id") % 11 == 4, none).otherwise(F.col("expected_sources")))
     page = (F.col("chunk_id") % 5 + 1).cast("int")
     place = {"document_name": F.lit("corpus"), "section_type": F.upper("lang"), "section_reference": F.lit("any source"), "page_start": page, "page_end": page}
     flagged = retrieval.with_searchable_flag(S.gold_chunks(spark, sf_dir), S.gold(spark, sf_dir), "m", "2").withColumns(place)
     blank = F.when(F.expr("question_id % 7 = 3 and vector_rank = 1"), " ").otherwise(F.col("chunk_text"))
-    found = _candidates(spark, sf_dir).withColumns(place).withColumns({"chunk_text": blank, "similarity": 1.0 / F.col("vector_rank")}).withColumnRenamed("question_id", "id")
-    after = _reranked(spark, sf_dir).withColumns(place).withColumnRenamed("question_id", "id")
+    found = candidates.withColumns(place).withColumns({"chunk_text": blank, "similarity": 1.0 / F.col("vector_rank")}).withColumnRenamed("question_id", "id")
+    after = _reranked(candidates).withColumns(place).withColumnRenamed("question_id", "id")
     columns = ["id", "status", "first_vector_hit_rank", "first_reranked_hit_rank", "vector_hit", "vector_top_k_hit", "reranked_hit", "error_stage", "error"]
     return jobs.evaluate(questions, flagged, found, after).select(*columns)
 

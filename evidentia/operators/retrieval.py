@@ -94,21 +94,6 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != ""))
 
 
-def top_k_by_words(chunks: DataFrame, questions: DataFrame, k: int, key: str = "chunk_id", by: str = "question_id") -> DataFrame:
-    """The k chunks (``key``, ``chunk_text``) that hold the most of each question's (``by``, ``question``) words, rare ones first.
-
-    A word weighs ln(1 + chunks / chunks that hold it); equal sums go to the smaller key; a chunk without any of the
-    words is no candidate. Columns of both sides are kept.
-    """
-    asked = questions.select(by, F.explode(words(F.col("question"))).alias("_word"))
-    held = chunks.select(key, F.explode(words(F.col("chunk_text"))).alias("_word")).join(asked.select("_word").distinct(), "_word", "left_semi")
-    weight = held.groupBy("_word").agg(F.count("*").alias("_n")).crossJoin(chunks.agg(F.count("*").alias("_all")))
-    weight = weight.select("_word", F.log1p(F.col("_all") / F.col("_n")).alias("_weight"))
-    pairs = held.join(asked.join(weight, "_word"), "_word").groupBy(by, key).agg(F.round(F.sum("_weight"), DIGITS).alias("_sum"))
-    best = ranked(pairs, by, [F.desc("_sum"), F.col(key)], "vector_rank", k).drop("_sum")
-    return chunks.join(best, key).join(questions, by)
-
-
 def overlap_score(question: Column, text: Column) -> Column:
     """Share of the question's different words that the text holds: the reranker that needs no model."""
     own = words(question)

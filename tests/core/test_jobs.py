@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import providers
 from evidentia.functions import text as X
 from evidentia.functions import vectors as V
-from evidentia.operators import audit, evaluation, jobs, layers, retrieval, structure
+from evidentia.operators import audit, evaluation, jobs, layers, lexical, retrieval, structure
 from evidentia.schemas import EVALUATION, MANIFEST
 from evidentia.sources import files, manifest, sinks
 
@@ -113,7 +113,7 @@ def test_build_gold_guards(spark):
 
 def test_answer_guards(spark):
     chunks = spark.createDataFrame([(1, "d", "red green blue", "t", "r", "n", 1, 2)], "chunk_id int, document_name string, chunk_text string, section_type string, section_reference string, section_title string, page_start int, page_end int")
-    search = lambda q, k: retrieval.top_k_by_words(chunks, q, k)
+    search = lambda q, k: lexical.top_k_by_words(chunks, q, k)
     asked = spark.createDataFrame([(1, "which green"), (2, "nothing known")], "question_id int, question string")
     score = retrieval.overlap_score(F.col("question"), F.col("chunk_text"))
     for sizes in ((20, 0), (0, 1), (3, 4)):
