@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from evidentia import standins as S
 from evidentia.functions import text as X
 from evidentia.functions import vectors as V
-from evidentia.operators import answers, audit, chunking, evaluation, jobs, layers, lexical, retrieval, structure, validation
+from evidentia.operators import answers, audit, chunking, evaluation, jobs, layers, lexical, pivots, retrieval, structure, validation
 from evidentia.sources import files, manifest
 from evidentia.sources.lake import Check, Foreign, Lake, Transaction, Unique, Violation
 from evidentia.staging import shared_dir
@@ -61,7 +61,14 @@ SELECT question_id, chunk_id, similarity, CAST(vector_rank AS INTEGER) AS vector
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact nearest chunks of a model; every 50th vector is a question."""
     chunks = retrieval.searchable(S.gold_chunks(spark, sf_dir), S.gold(spark, sf_dir), "m", "2").select("chunk_id", "embedding")
-    return retrieval.top_k_blocks(chunks, _questions(spark, sf_dir, "vec_id % 50 = 0"), 20)
+    return pivots.search(pivots.index(chunks), _questions(spark, sf_dir, "vec_id % 50 = 0"), 20)[0]
+
+
+@query()
+def knn_blocks_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many blocks of all vectors each question of ``knn_topk_whole`` has to read, and how many its bound passes over."""
+    chunks = S.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return pivots.search(pivots.index(chunks, size=64), _questions(spark, sf_dir, "vec_id % 50 = 0"), 20)[1]
 
 
 @query()
