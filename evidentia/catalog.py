@@ -15,6 +15,7 @@ from evidentia.functions import text as X
 from evidentia.functions import vectors as V
 from evidentia.operators import answers, audit, chunking, evaluation, jobs, layers, lexical, pivots, retrieval, structure, validation
 from evidentia.sources import files, manifest
+from evidentia.sources import pages as paged
 from evidentia.sources.lake import Check, Foreign, Lake, Transaction, Unique, Violation
 from evidentia.staging import shared_dir
 
@@ -178,6 +179,31 @@ def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.pages(spark, sf_dir)
 
 
+def _page_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a file for each document: its pages, parted by form feeds."""
+    folder = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "page_text"))), lambda x: x.page_text), "\f")
+    rows = S.pages(spark, sf_dir).groupBy("document_id").agg(whole.alias("content"))
+    files.write_files(rows.select(F.concat(F.lit("doc_"), "document_id", F.lit(".pdf")).alias("file_name"), "content"), folder).agg(F.sum("length")).collect()
+    return folder
+
+
+@query(f"WITH {S.PAGES} SELECT 'doc_' || document_id || '.pdf' AS file_name, page_number, page_text, CAST(length(page_text) AS INTEGER) AS page_char_length FROM pages")
+def pages_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC3, U5: pages as a data source, over files written from the documents."""
+    source = paged.register(spark).read.format("pages").option("extractor", "evidentia.sources.pages:form_feed").option("bytesPerPartition", 1 << 20)
+    return source.load(_page_files(spark, sf_dir)).drop("path")
+
+
+@query(
+    f"""WITH {S.PAGES}, files AS (SELECT 'doc_' || document_id || '.pdf' AS file_name, string_agg(page_text, chr(12) ORDER BY page_number) AS content FROM pages GROUP BY 1)
+SELECT file_name, CAST(octet_length(encode(content)) AS BIGINT) AS length, sha256(content) AS sha256 FROM files"""
+)
+def hashes_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC2, SC4: the listing of a folder with hashes of the files, read in blocks by the tasks."""
+    return files.list_pdfs(spark, _page_files(spark, sf_dir), with_hash=True).select("file_name", "length", "sha256")
+
+
 @query(f"WITH {S.PAGES} SELECT document_id, string_agg(page_text || chr(10) || chr(10), '' ORDER BY page_number) AS full_text FROM pages GROUP BY 1")
 def full_text_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A17."""

@@ -2,19 +2,44 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from evidentia.sources.blobs import opened, store
+
+
+#: Bytes of a file that are hashed at once.
+BLOCK = 4 << 20
 
 
 def list_pdfs(spark: SparkSession, folder: str, with_hash: bool = False) -> DataFrame:
     """(path, file_name, length[, sha256]) of the files whose name ends in .pdf, case aside; contents are read only to hash."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
-    columns = ["path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "length"]
-    return rows.select(*columns, *([F.sha2("content", 256).alias("sha256")] if with_hash else []))
+    rows = rows.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "length")
+    return hashed(rows) if with_hash else rows
+
+
+def hashed(files: DataFrame, path: str = "path", name: str = "sha256") -> DataFrame:
+    """``files`` with the SHA-256 of each file's bytes, read block by block by the task that has the row, at any size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for p in b.column(b.schema.names.index(path)).to_pylist():
+                sha = hashlib.sha256()
+                with opened(p) as file:
+                    while block := file.read(BLOCK):
+                        sha.update(block)
+                found.append(sha.hexdigest())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], [*b.schema.names, name])
+
+    return files.mapInArrow(run, T.StructType([*files.schema.fields, T.StructField(name, T.StringType())]))
 
 
 def pages(spark: SparkSession, folder: str, extract: Callable[[bytes], list[str]]) -> DataFrame:
@@ -49,8 +74,28 @@ def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_hash(spark: SparkSession, path: str) -> str:
-    """SHA-256 of a small file's bytes as they are."""
-    return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("h")).first().h
+    """SHA-256 of a file's bytes as they are."""
+    return hashed(spark.read.format("binaryFile").load(path).select("path")).first().sha256
+
+
+def write_files(rows: DataFrame, folder: str, name: str = "file_name", content: str = "content") -> DataFrame:
+    """Write each row's text or bytes as a file; (name, path, length). A task that runs again writes the same files again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, base = store(folder)
+        where.create_dir(base, recursive=True)
+        for b in batches:
+            names, paths, sizes = b.column(0).to_pylist(), [], []
+            for n, value in zip(names, b.column(1), strict=True):
+                data = value.as_py() or b""
+                data = data.encode() if isinstance(data, str) else data
+                with where.open_output_stream(f"{base}/{n}") as out:
+                    out.write(data)
+                paths.append(f"{folder}/{n}")
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], [name, "path", "length"])
+
+    return rows.select(F.col(name).cast("string"), content).mapInArrow(run, f"{name} string, path string, length long")
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
