@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidentia import standins as S
@@ -390,13 +391,20 @@ def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.chunk_counts(S.documents(spark, sf_dir), S.silver(spark, sf_dir).filter("document_id % 5 != 0"))
 
 
-_RANGES = "(VALUES (1, 1, 1), (2, NULL, NULL), (3, 1, NULL), (4, NULL, 2), (5, 0, 3), (6, 3, 2), (7, 2, 5), (8, -1, -1)) AS t(chunk_id, page_start, page_end)"
+_RANGES = """(SELECT doc_id AS chunk_id, CAST(CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE length(text) % 9 + 1 END AS INT) AS page_start,
+ CAST(CASE doc_id % 5 WHEN 0 THEN NULL ELSE length(text) % 9 + doc_id % 5 - 1 END AS INT) AS page_end FROM documents) AS t"""
 
 
-@query(f"SELECT * FROM {_RANGES} WHERE NOT coalesce((page_start IS NULL AND page_end IS NULL) OR (page_start > 0 AND page_end >= page_start), false)")
+def _over(spark: SparkSession, sf_dir: str, rows: str) -> DataFrame:
+    """Rows that a rule makes of the documents."""
+    S.table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
+    return spark.sql(f"SELECT * FROM {rows}")
+
+
+@query(f"SELECT chunk_id, page_start, page_end FROM {_RANGES} WHERE NOT ((page_start IS NULL AND page_end IS NULL) OR coalesce(page_start > 0 AND page_end >= page_start, false))")
 def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V15, F10."""
-    return validation.bad_page_ranges(spark.sql(f"SELECT * FROM {_RANGES}"))
+    """Ranges with missing ends, in the wrong order and from 0, planted by the document's number."""
+    return validation.bad_page_ranges(_over(spark, sf_dir, _RANGES))
 
 
 _STORED_CHUNKS = f"""{S.chunk_cte(S.SIZE, S.OVERLAP)}, stored AS (SELECT * REPLACE (CASE WHEN document_id % 8 = 0 AND chunk_order = 1 THEN 'other' ELSE chunk_text END AS chunk_text) FROM chunks WHERE document_id % 8 <> 4 OR chunk_order > 1),
@@ -608,18 +616,11 @@ def racing_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- manifest and audit ------------------------------------------------------------------------------------------------
 
-_FIELDS = "document_index, document_id, file_name, official_title, short_title, issuing_body, source_repository, source_url, document_type, legal_status, language, version_or_date, parser_type, enabled"
-_ROWS = [
-    (0, "a-one", "a.pdf", "eu_regulation", "s", True),
-    (1, "B two", "b.pdf", "generic", "s", True),
-    (2, "c", "dir/c.pdf", "generic", " ", False),
-    (3, "A-ONE", "A.PDF", "generic", "MANUAL_REVIEW_REQUIRED", True),
-    (4, "d.x_1", "d.txt", "table_layout", "s", None),
-    (5, "e", "e.pdf", "table_layout", "s", False),
-    (6, "f", "f.pdf", "table_layout", "s", True),
-]
-_VALUES = ", ".join(f"({i}, '{d}', '{f}', 't', 't', 'b', 'r', 'u', 'k', '{s}', 'en', 'v', '{p}', {str(e).lower() if e is not None else 'CAST(NULL AS BOOLEAN)'})" for i, d, f, p, s, e in _ROWS)
-_MANIFEST = f"(VALUES {_VALUES}) AS m({_FIELDS})"
+#: Every document in a manifest with faults: ids that are no slugs or repeat, names that are no PDF base names or repeat, blank and missing fields.
+_MANIFEST = """(SELECT CAST(doc_id AS INT) AS document_index, CASE WHEN doc_id % 13 = 5 THEN concat('doc ', doc_id) WHEN doc_id % 17 = 6 THEN concat('Doc_', doc_id - 1) ELSE concat('doc_', doc_id) END AS document_id,
+ CASE WHEN doc_id % 7 = 4 THEN concat('dir/doc_', doc_id, '.pdf') WHEN doc_id % 9 = 2 THEN concat('doc_', doc_id, '.txt') WHEN doc_id % 10 = 9 THEN concat('doc_', doc_id - 1, '.PDF') ELSE concat('doc_', doc_id, '.pdf') END AS file_name,
+ 't' AS official_title, 't' AS short_title, source AS issuing_body, 'r' AS source_repository, 'u' AS source_url, 'k' AS document_type, CASE WHEN doc_id % 8 = 1 THEN ' ' ELSE 'in force' END AS legal_status, lang AS language,
+ 'v' AS version_or_date, CASE doc_id % 3 WHEN 0 THEN 'generic' WHEN 1 THEN 'eu_regulation' ELSE 'edpb_opinion' END AS parser_type, CASE WHEN doc_id % 6 = 1 THEN NULL ELSE doc_id % 3 <> 0 END AS enabled FROM documents) AS m"""
 
 
 @query(
@@ -634,16 +635,22 @@ UNION ALL SELECT document_index, 'file_name repeats that of document ' || b FROM
 )
 def manifest_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C18, A8, R11."""
-    return manifest.violations(spark.sql(f"SELECT * FROM {_MANIFEST}"))
+    return manifest.violations(_over(spark, sf_dir, _MANIFEST))
 
 
-@query(f"SELECT CASE document_id WHEN 'f' THEN 0 ELSE 1 END AS position, document_id, parser_type FROM {_MANIFEST} WHERE document_id IN ('f', 'a-one')")
+@query(
+    f"""SELECT CAST(NULL AS INTEGER) AS position, document_id, parser_type FROM {_MANIFEST} WHERE enabled
+UNION ALL SELECT CASE document_id WHEN 'doc_8' THEN 0 WHEN 'doc_2' THEN 1 ELSE 2 END, document_id, parser_type FROM {_MANIFEST} WHERE document_id IN ('doc_8', 'doc_2', 'doc_14')"""
+)
 def manifest_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C19, J8, W11, F13."""
-    return manifest.select(spark.sql(f"SELECT * FROM {_MANIFEST}"), ["f", "a-one", "f"]).select("position", "document_id", "parser_type")
+    """All enabled documents, and given ones in the order asked for, each once."""
+    own = _over(spark, sf_dir, _MANIFEST)
+    every = manifest.select(own, all_enabled=True).withColumn("position", F.lit(None).cast("int"))
+    some = manifest.select(own, ["doc_8", "doc_2", "doc_8", "doc_14"])
+    return every.select("position", "document_id", "parser_type").unionByName(some.select("position", "document_id", "parser_type"))
 
 
-_FILES = "(VALUES ('A.pdf'), ('b.pdf'), ('f.pdf'), ('other.PDF')) AS f(file_name)"
+_FILES = "(SELECT concat('doc_', doc_id, '.pdf') AS file_name FROM documents) AS f"
 
 
 @query(
@@ -651,8 +658,8 @@ _FILES = "(VALUES ('A.pdf'), ('b.pdf'), ('f.pdf'), ('other.PDF')) AS f(file_name
 UNION ALL SELECT file_name, 'unknown' FROM {_FILES} WHERE lower(file_name) NOT IN (SELECT lower(file_name) FROM {_MANIFEST})"""
 )
 def file_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J7, SC2."""
-    return manifest.reconcile(spark.sql(f"SELECT * FROM {_MANIFEST}"), spark.sql(f"SELECT * FROM {_FILES}"))
+    """J7, SC2, 2.8: the manifest against the listing of a folder."""
+    return manifest.reconcile(_over(spark, sf_dir, _MANIFEST), files.list_pdfs(spark, _page_files(spark, sf_dir)))
 
 
 @query(
@@ -767,7 +774,8 @@ def citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ROUTES = [("citations", ["citation", "source markers"]), ("memory", ["out of memory"]), ("model", ["timed out", "offline"])]
-_MESSAGES = "(VALUES (1, 'Bad CITATION in answer'), (2, 'device out of memory'), (3, 'request timed out, no source markers'), (4, 'Offline'), (5, 'else'), (6, '')) AS t(id, message)"
+_MESSAGES = """(SELECT doc_id AS id, concat(substr(text, 1, 40), CASE doc_id % 6 WHEN 0 THEN ' bad CITATION in answer' WHEN 1 THEN ' device out of Memory' WHEN 2 THEN ' request timed out, no source markers'
+ WHEN 3 THEN ' Offline' WHEN 4 THEN ' else' ELSE '' END) AS message FROM documents) AS t"""
 
 
 @query(
@@ -776,7 +784,7 @@ _MESSAGES = "(VALUES (1, 'Bad CITATION in answer'), (2, 'device out of memory'),
 )
 def error_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F18."""
-    return spark.sql(f"SELECT * FROM {_MESSAGES}").select("id", X.route(F.col("message"), _ROUTES, "other").alias("route"))
+    return _over(spark, sf_dir, _MESSAGES).select("id", X.route(F.col("message"), _ROUTES, "other").alias("route"))
 
 
 @query(
@@ -789,13 +797,13 @@ def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", X.html(F.concat("text", F.lit(" <a href=\"x\">'&'</a> [S12]"))).alias("html"))
 
 
-_CELLS = "(VALUES (1, '=1+1'), (2, '  +a'), (3, '-b'), (4, ' @c'), (5, 'd=e'), (6, ''), (7, NULL)) AS t(id, cell)"
+_CELLS = """(SELECT doc_id AS id, CASE WHEN doc_id % 7 < 6 THEN concat(CASE doc_id % 7 WHEN 0 THEN '=' WHEN 1 THEN '  +' WHEN 2 THEN '-' WHEN 3 THEN ' @' WHEN 4 THEN 'x=' ELSE '' END, substr(text, 1, 30)) END AS cell FROM documents) AS t"""
 
 
-@query(f"SELECT id, CASE WHEN regexp_matches(ltrim(cell), '^[=+\\-@]') THEN '''' || cell ELSE cell END AS cell FROM {_CELLS}")
+@query(f"SELECT id, CASE WHEN regexp_matches(regexp_replace(cell, '\\s', '', 'g'), '^[=+\\-@]') THEN '''' || cell ELSE cell END AS cell FROM {_CELLS}")
 def spreadsheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SK9."""
-    return spark.sql(f"SELECT * FROM {_CELLS}").select("id", X.spreadsheet_safe(F.col("cell")).alias("cell"))
+    return _over(spark, sf_dir, _CELLS).select("id", X.spreadsheet_safe(F.col("cell")).alias("cell"))
 
 
 @query("SELECT doc_id, CASE WHEN length(t) > 700 THEN substr(t, 1, 700) || '...' ELSE t END AS preview FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)")
@@ -811,17 +819,18 @@ def redacted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", X.redact(F.col("text"), "the").alias("text"), X.query_with_instruction(F.concat(F.lit(" "), "source", F.lit(" ")), "find").alias("query"))
 
 
-_SPANS = "(VALUES (1, 'n1', 'Article 6', 3, 3), (2, 'n2', '', 3, 5), (3, 'n3', NULL, NULL, 2), (4, 'n1', 'x', 1, 2)) AS t(id, document_name, section_reference, page_start, page_end)"
+_SPANS = """(SELECT doc_id AS id, source AS document_name, CASE doc_id % 3 WHEN 0 THEN concat('Article ', doc_id % 40) WHEN 1 THEN '' END AS section_reference,
+ CAST(CASE WHEN doc_id % 11 <> 3 THEN doc_id % 5 + 1 END AS INT) AS page_start, CAST(CASE WHEN doc_id % 13 <> 4 THEN doc_id % 5 + 1 + doc_id % 2 END AS INT) AS page_end FROM documents) AS t"""
 
 
 @query(
-    f"""SELECT id, CASE document_name WHEN 'n1' THEN 'Name One' ELSE document_name END || ' — ' || coalesce(nullif(section_reference, ''), 'unknown section') || ' — page(s) ' ||
+    f"""SELECT id, CASE document_name WHEN 'src1' THEN 'Name One' WHEN 'src2' THEN 'Name Two' ELSE document_name END || ' — ' || coalesce(nullif(section_reference, ''), 'unknown section') || ' — page(s) ' ||
  CASE WHEN page_start IS NULL OR page_end IS NULL THEN 'unknown' WHEN page_start = page_end THEN CAST(page_start AS VARCHAR) ELSE page_start || '-' || page_end END AS label FROM {_SPANS}"""
 )
 def source_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X9-X11, J10."""
-    rows = spark.sql(f"SELECT * FROM {_SPANS}")
-    return rows.select("id", X.source_label(X.label(F.col("document_name"), {"n1": "Name One"}), F.col("section_reference"), F.col("page_start"), F.col("page_end")).alias("label"))
+    rows = _over(spark, sf_dir, _SPANS)
+    return rows.select("id", X.source_label(X.label(F.col("document_name"), {"src1": "Name One", "src2": "Name Two"}), F.col("section_reference"), F.col("page_start"), F.col("page_end")).alias("label"))
 
 
 # -- evaluation --------------------------------------------------------------------------------------------------------
@@ -965,34 +974,55 @@ def candidate_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.candidate_violations(spark.sql(_FOUND_CHUNKS), 27, "score")
 
 
-OPINION = """Opinion on models
-Executive summary
-In short.
-Table of contents
-1
-Introduction ........ 3
-1.1
-Scope of the
-opinion ..... 4
-2
-Conclusion .... 5
-3.3.2.1
-Not a heading
-1 Introduction
-Text of the introduction.
-2 Conclusion
-Out of order, so still the introduction.
-1.1 Scope of the opinion
-Scope text.
-2 Conclusion
-The end."""
+_N_SECTIONS = "(1 + document_id % 4)"
+_REFERENCE = "CASE i WHEN 1 THEN '1' WHEN 2 THEN '1.1' WHEN 3 THEN '2' ELSE '2.1' END"
+_TITLE = "CASE i WHEN 1 THEN concat('Introduction to ', document_id) ELSE concat('Heading of part ', i) END"
+#: Lines of an opinion made of each document's own: (part, i, j) orders them.
+_OPINION = f"""SELECT document_id, 0 AS part, 0 AS i, 0 AS j, concat('Opinion on ', document_id) AS text FROM docs
+ UNION ALL SELECT document_id, 1, 0, 0, 'Executive summary' FROM docs UNION ALL SELECT document_id, 1, 1, line_no, concat('- ', text) FROM records WHERE line_no % 5 = 4
+ UNION ALL SELECT document_id, 2, 0, 0, 'Table of Contents' FROM docs UNION ALL SELECT document_id, 3, i, 0, {_REFERENCE} FROM sections
+ UNION ALL SELECT document_id, 3, i, 1, CASE i WHEN 1 THEN concat({_TITLE}, ' ........ 3') ELSE 'Heading of' END FROM sections UNION ALL SELECT document_id, 3, i, 2, concat('part ', i, ' ..... ', i + 3) FROM sections WHERE i > 1
+ UNION ALL SELECT document_id, 3, 9, 0, '3.3.2.1' FROM docs UNION ALL SELECT document_id, 3, 9, 1, 'Not a heading' FROM docs
+ UNION ALL SELECT document_id, 4, i, 0, concat({_REFERENCE}, ' ', {_TITLE}) FROM sections UNION ALL SELECT document_id, 4, 1, 1, '2 Out of order' FROM docs WHERE document_id % 4 >= 2
+ UNION ALL SELECT document_id, 4, CAST(line_no % {_N_SECTIONS} AS INT) + 1, line_no + 1, concat('- ', text) FROM records WHERE line_no % 5 <> 4"""
+
+
+def _opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of opinions."""
+    structure.line_records(S.pages(spark, sf_dir)).createOrReplaceTempView("records")
+    S.documents(spark, sf_dir).select("document_id").createOrReplaceTempView("docs")
+    spark.sql(f"SELECT document_id, explode(sequence(1, {_N_SECTIONS})) AS i FROM docs").createOrReplaceTempView("sections")
+    number = F.row_number().over(W.partitionBy("document_id").orderBy("part", "i", "j"))
+    return spark.sql(_OPINION).select("document_id", number.alias("line_no"), F.lit(1).alias("page_number"), "text")
+
+
+_OPINION_SECTIONS = f"""{S.RECORDS}, docs AS (SELECT CAST(doc_id AS INTEGER) AS document_id FROM documents), sections AS (SELECT document_id, CAST(unnest(range(1, {_N_SECTIONS} + 1)) AS INTEGER) AS i FROM docs),
+ own AS (SELECT document_id, CASE WHEN line_no % 5 = 4 THEN 0 ELSE line_no % {_N_SECTIONS} + 1 END AS i, count(*) AS n FROM records GROUP BY ALL),
+ counts AS (SELECT document_id, 'front_matter' AS section_type, 'Front matter' AS section_reference, CAST(NULL AS VARCHAR) AS section_title, 1 AS lines FROM docs
+ UNION ALL SELECT d.document_id, 'executive_summary', 'Executive summary', 'Executive summary', 1 + coalesce(n, 0) FROM docs d LEFT JOIN own o ON o.document_id = d.document_id AND o.i = 0
+ UNION ALL SELECT document_id, 'table_of_contents', 'Table of contents', 'Table of contents', 5 + 3 * ({_N_SECTIONS} - 1) FROM docs
+ UNION ALL SELECT s.document_id, 'opinion_section', concat('Section ', {_REFERENCE.replace("CASE i", "CASE s.i")}), {_TITLE.replace("i WHEN", "s.i WHEN").replace("document_id", "s.document_id").replace("part ', i", "part ', s.i")}, 1 + coalesce(n, 0) + CASE WHEN s.i = 1 AND s.document_id % 4 >= 2 THEN 1 ELSE 0 END
+ FROM sections s LEFT JOIN own o ON o.document_id = s.document_id AND o.i = s.i)"""
+
+
+@query(f"WITH {_OPINION_SECTIONS} SELECT document_id, section_type, section_reference, section_title, CAST(lines AS INTEGER) AS lines FROM counts")
+def opinion_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as an opinion with contents, titles over two lines and headings out of order."""
+    rows = structure.parse_opinion(_opinions(spark, sf_dir))
+    return rows.groupBy("document_id", "section_type", "section_reference", "section_title").agg(F.count("*").cast("int").alias("lines"))
 
 
 @query(
-    """SELECT 1 AS document_id, * FROM (VALUES ('front_matter', 'Front matter', 1), ('executive_summary', 'Executive summary', 2), ('table_of_contents', 'Table of contents', 10), ('opinion_section', 'Section 1', 4), ('opinion_section', 'Section 1.1', 2), ('opinion_section', 'Section 2', 2)) AS t(section_type, section_reference, lines)"""
+    f"""WITH RECURSIVE {S.ANNOTATED}, {_OPINION_SECTIONS.removeprefix(S.RECORDS + ", ")}
+SELECT document_id, section_type, section_reference, CAST(lines AS INTEGER) AS lines FROM counts WHERE document_id % 3 = 2
+UNION ALL SELECT document_id, section_type, section_reference, CAST(count(*) AS INTEGER) FROM annotated WHERE document_id % 3 = 1 GROUP BY ALL
+UNION ALL SELECT document_id, 'document', 'Full document', CAST(count(*) AS INTEGER) FROM records WHERE document_id % 3 = 0 GROUP BY ALL"""
 )
-def opinion_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C3, C4, W9, W10, R6-R9, X6, X17."""
-    pages = spark.createDataFrame([(1, 1, OPINION)], "document_id int, page_number int, page_text string")
-    rows = structure.parse_opinion(structure.line_records(pages))
-    return rows.groupBy("document_id", "section_type", "section_reference").agg(F.count("*").cast("int").alias("lines"))
+def parser_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document by the parser of its own type, all three in one build."""
+    kind = F.element_at(F.array(F.lit(structure.GENERIC), F.lit(structure.REGULATION), F.lit(structure.OPINION)), (F.col("document_id") % 3 + 1).cast("int"))
+    types = S.documents(spark, sf_dir).select("document_id", kind.alias("parser_type"))
+    columns = ["document_id", "line_no", "page_number", "text"]
+    rows = [r.select(*columns).filter(f"document_id % 3 = {k}") for k, r in enumerate((structure.line_records(S.pages(spark, sf_dir)), S.marked(spark, sf_dir), _opinions(spark, sf_dir)))]
+    parsed = structure.parse(rows[0].unionByName(rows[1]).unionByName(rows[2]), types)
+    return parsed.groupBy("document_id", "section_type", "section_reference").agg(F.count("*").cast("int").alias("lines"))

@@ -7,10 +7,13 @@ lines; annotated lines add section_type, section_reference and section_title.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidentia.functions.text import lines, squeeze
 
@@ -102,7 +105,7 @@ def _annotated(rows: DataFrame, meta: Column) -> DataFrame:
 
 _NUMBER = r"\A[0-9]+(?:\.[0-9]+){0,2}\z"
 _LEADER = r"\.{3,}\s*[0-9]+\s*\z"
-#: Lines of a heading in the table of contents, at most.
+#: Fixed value: lines of a heading in the table of contents, at most.
 TITLE_LINES = 6
 
 
@@ -142,6 +145,21 @@ def contents(records: DataFrame) -> DataFrame:
     return docs.select(DOC, "body_start", F.transform("entries", lambda x: F.struct(x.reference.alias("reference"), x.title.alias("title"))).alias("entries"), problem.alias("problem"))
 
 
+def _taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of numbered headings that follow the order of a document's entries, and the entries' places."""
+    for b in batches:
+        docs, at_lines, places = [], [], []
+        for doc, lines, numbers, references in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            at = 0
+            for line, number in zip(lines, numbers, strict=True):
+                if at < len(references or ()) and references[at] == number:
+                    docs.append(doc)
+                    at_lines.append(line)
+                    places.append(at)
+                    at += 1
+        yield pa.RecordBatch.from_arrays([pa.array(docs, b.schema.types[0]), pa.array(at_lines, pa.int32()), pa.array(places, pa.int32())], [DOC, "line_no", "at"])
+
+
 def parse_opinion(records: DataFrame, strict: bool = True) -> DataFrame:
     """Numbered sections of the body, in the order of the table of contents and with its titles.
 
@@ -156,18 +174,12 @@ def parse_opinion(records: DataFrame, strict: bool = True) -> DataFrame:
     rows = records.join(found.select(DOC, "body_start", "entries"), DOC)
     number = F.nullif(F.regexp_extract("text", r"\A([0-9]+(?:\.[0-9]+){0,2})\s+(.+)\z", 1), F.lit(""))
     rows = rows.withColumn("number", F.when(F.col("line_no") >= F.col("body_start"), number))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<line_no: int, at: int>>").alias("taken"))
-    fold = F.aggregate(
-        F.array_sort(F.collect_list(F.when(F.col("number").isNotNull(), F.struct("line_no", "number")))),
-        F.struct(start.at.alias("at"), start.taken.alias("taken"), F.first("entries").alias("entries")),
-        lambda a, x: F.when(
-            (a.at < F.size(a.entries)) & (F.get(a.entries, a.at).reference == x.number),
-            F.struct((a.at + 1).alias("at"), F.concat(a.taken, F.array(F.struct(x.line_no.alias("line_no"), a.at.alias("at")))).alias("taken"), a.entries.alias("entries")),
-        ).otherwise(a),
-        lambda a: F.transform(a.taken, lambda t: F.struct(t.line_no.alias("line_no"), F.get(a.entries, t.at).alias("entry"))),
-    )
-    taken = rows.groupBy(DOC).agg(fold.alias("t")).select(DOC, F.explode("t").alias("t")).select(DOC, "t.line_no", "t.entry")
-    rows = rows.drop("entries").join(taken, [DOC, "line_no"], "left")
+    markers = F.array_sort(F.collect_list(F.when(F.col("number").isNotNull(), F.struct("line_no", "number"))))
+    told = rows.groupBy(DOC).agg(markers.alias("m"), F.first("entries").alias("e"))
+    told = told.select(DOC, F.col("m.line_no").alias("lines"), F.col("m.number").alias("numbers"), F.col("e.reference").alias("references"))
+    taken = told.mapInArrow(_taken, T.StructType([rows.schema[DOC], rows.schema["line_no"], T.StructField("at", T.IntegerType())]))
+    entries = found.select(DOC, F.posexplode("entries").alias("at", "entry"))
+    rows = rows.drop("entries").join(taken.join(entries, [DOC, "at"]).drop("at"), [DOC, "line_no"], "left")
     low = F.lower("text")
     named = lambda kind, name: _meta(kind, F.lit(name), F.lit(name))
     marker = (
