@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidentia import standins as S
+from evidentia.functions import replies as R
 from evidentia.functions import text as X
 from evidentia.functions import vectors as V
 from evidentia.operators import answers, audit, chunking, evaluation, jobs, layers, lexical, pivots, retrieval, structure, validation
@@ -66,6 +67,16 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.search(pivots.index(chunks), _questions(spark, sf_dir, "vec_id % 50 = 0"), 20)[0]
 
 
+_EVIDENCE = """SELECT doc_id AS chunk_id, CAST(doc_id AS INT) AS document_id, concat('doc_', doc_id) AS document_name, CAST(doc_id % 4 + 1 AS INT) AS chunk_order, text AS chunk_text, lang AS section_type,
+ source AS section_reference, CASE WHEN doc_id % 3 = 0 THEN 'title' END AS section_title, CAST(doc_id % 5 + 1 AS INT) AS page_start, CAST(doc_id % 5 + 2 AS INT) AS page_end, 'v1' AS chunking_version FROM documents"""
+
+
+@query(f"SELECT question_id, {', '.join(f'e.{c}' for c in retrieval.EVIDENCE[:11])}, round(1 - similarity, 6) AS cosine_distance, similarity AS vector_similarity, vector_rank FROM ({_knn_sql('q.vec_id % 50 = 0', 20)}) k JOIN ({_EVIDENCE}) e ON e.chunk_id = k.chunk_id")
+def knn_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieved chunks with all fourteen columns of evidence."""
+    return retrieval.evidence_rows(knn_topk(spark, sf_dir), _over(spark, sf_dir, f"({_EVIDENCE}) AS e"))
+
+
 @query()
 def knn_blocks_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many blocks of all vectors each question of ``knn_topk_whole`` has to read, and how many its bound passes over."""
@@ -493,6 +504,66 @@ def vector_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", V.from_text(V.to_text(F.col("embedding"))).cast("array<double>").alias("embedding"))
 
 
+_PREVIEWS = "(SELECT concat('doc_', doc_id % 50) AS document_name, CAST(doc_id AS INT) AS chunk_order, substr(text, 1, 60) AS preview FROM documents) AS t"
+
+
+@query(f"SELECT row_number() OVER (ORDER BY document_name, chunk_order) AS position, * FROM {_PREVIEWS}")
+def ordered_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4: a report in order of two columns, with the place of each row."""
+    return validation.report(_over(spark, sf_dir, _PREVIEWS), ["document_name", "chunk_order"]).withColumn("position", F.col("position").cast("long"))
+
+
+# -- guarded reads of JSON ---------------------------------------------------------------------------------------------
+
+_REPLIES = """(SELECT doc_id AS id, CASE doc_id % 9 WHEN 0 THEN 'no json {' WHEN 1 THEN '{"data": []}' WHEN 2 THEN '{"choices": []}' WHEN 3 THEN '{"choices": [{"message": "text"}]}' WHEN 4 THEN '{"choices": [{"message": {"content": "  "}}]}'
+ WHEN 5 THEN '{"choices": [{"message": {"content": 5}}]}' WHEN 6 THEN '[1]' ELSE concat('{"choices": [{"message": {"content": " answer ', doc_id, ' of ', source, ' "}}, {"x": 1}]}') END AS reply FROM documents) AS t"""
+
+
+@query(
+    f"""WITH r AS (SELECT id, CASE WHEN json_valid(reply) THEN CAST(reply AS JSON) END AS j FROM {_REPLIES}), v AS (SELECT id, j, json_type(j, '$.choices') AS c, json_array_length(j, '$.choices') AS n, json_type(j, '$.choices[0].message') AS m,
+ json_type(j, '$.choices[0].message.content') AS k, trim(j ->> '$.choices[0].message.content') AS answer FROM r),
+ p AS (SELECT id, answer, CASE WHEN j IS NULL THEN 'reply is no JSON' WHEN c IS DISTINCT FROM 'ARRAY' OR n = 0 THEN 'reply has no choices' WHEN m IS DISTINCT FROM 'OBJECT' THEN 'first choice has no message' WHEN k IS DISTINCT FROM 'VARCHAR' OR answer = '' THEN 'answer is empty' END AS problem FROM v)
+SELECT id, CASE WHEN problem IS NULL THEN answer END AS answer, problem FROM p"""
+)
+def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-1, U3: answers of replies, and what is wrong with the others."""
+    return _over(spark, sf_dir, _REPLIES).select("id", R.completion(F.col("reply")).alias("r")).select("id", "r.*")
+
+
+_VECTOR_REPLIES = """(SELECT doc_id AS id, CASE doc_id % 8 WHEN 0 THEN '{"data": {}}' WHEN 1 THEN '{"data": [{"index": 0, "embedding": [1]}]}' WHEN 2 THEN '{"data": [{"index": 1, "embedding": [1]}, {"index": 1, "embedding": [2]}]}'
+ WHEN 3 THEN '{"data": [{"index": 1, "embedding": [1]}, {"index": 0, "embedding": ["2"]}]}' WHEN 4 THEN '{"data": [1, 2]}' ELSE concat('{"data": [{"index": 1, "embedding": [', doc_id, ', 0.5]}, {"index": 0, "embedding": [1, -2]}]}') END AS reply FROM documents) AS t"""
+
+
+@query(
+    f"""SELECT id, CASE WHEN id % 8 > 4 THEN '1.0,-2.0;' || CAST(CAST(id AS DOUBLE) AS VARCHAR) || ',0.5' END AS vectors, CASE id % 8 WHEN 0 THEN 'reply has no list of data' WHEN 1 THEN 'reply has another number of embeddings' WHEN 2 THEN 'indices aren''t 0 to n - 1'
+ WHEN 3 THEN 'an embedding is no list of numbers' WHEN 4 THEN 'indices aren''t 0 to n - 1' END AS problem FROM {_VECTOR_REPLIES}"""
+)
+def model_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-1, T5: vectors of replies in the order of their texts, and what is wrong with the others."""
+    rows = _over(spark, sf_dir, _VECTOR_REPLIES).select("id", R.embeddings(F.col("reply"), F.lit(2)).alias("r"))
+    text = F.array_join(F.transform("r.vectors", lambda v: F.array_join(F.transform(v, lambda x: x.cast("string")), ",")), ";")
+    return rows.select("id", text.alias("vectors"), "r.problem")
+
+
+#: Manifests of a source's documents, a hundred ids each, of documents with missing and wrong fields.
+_MANIFEST_PARTS = """(SELECT doc_id, concat(source, '_', CAST(floor(doc_id / 100) AS INT)) AS source, CASE doc_id % 10 WHEN 0 THEN '5' WHEN 1 THEN concat('{"document_id": "d', doc_id, '", "enabled": true}') ELSE concat('{"document_id": ', CASE doc_id % 10 WHEN 2 THEN '7' ELSE concat('"d', doc_id, '"') END,
+ ', "file_name": "', CASE doc_id % 10 WHEN 3 THEN ' ' ELSE 'f.pdf' END, '", "official_title": "t", "short_title": "t", "issuing_body": "b", "source_repository": "r", "source_url": "u", "document_type": "k", "legal_status": "s", "language": "',
+ lang, '", "version_or_date": "v", "parser_type": "p", "enabled": ', CASE doc_id % 10 WHEN 4 THEN '"yes"' WHEN 5 THEN 'null' ELSE 'true' END, '}') END AS part FROM documents) AS t"""
+
+
+@query(
+    f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place FROM {_MANIFEST_PARTS}), fields AS (SELECT unnest(['file_name', 'official_title', 'short_title', 'issuing_body', 'source_repository', 'source_url', 'document_type', 'legal_status', 'language', 'version_or_date', 'parser_type']) AS f)
+SELECT source AS name, CAST(place AS INTEGER) AS document_index, CASE doc_id % 10 WHEN 0 THEN 'document must be an object' WHEN 2 THEN 'document_id must be a text' WHEN 3 THEN 'file_name must be a text' ELSE 'enabled must be true or false' END AS problem FROM n WHERE doc_id % 10 IN (0, 2, 3, 4, 5)
+UNION ALL SELECT source, CAST(place AS INTEGER), f || ' is missing' FROM n, fields WHERE doc_id % 10 = 1
+UNION ALL SELECT DISTINCT source, CAST(NULL AS INTEGER), 'corpus_version must be a text' FROM n UNION ALL SELECT 'bad', NULL, 'manifest is no JSON' UNION ALL SELECT 'list', NULL, 'manifest must be an object'"""
+)
+def manifest_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC1, J-1, C18: manifests with every fault of their form, each told in a row of its own."""
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "part"))), lambda x: x["part"]), ",")
+    texts = _over(spark, sf_dir, _MANIFEST_PARTS).groupBy(F.col("source").alias("name")).agg(F.concat(F.lit('{"schema_version": "1", "corpus_id": "c", "corpus_version": 3, "documents": ['), parts, F.lit("]}")).alias("text"))
+    return manifest.checked(texts.union(spark.createDataFrame([("bad", "{"), ("list", "[1]")], "name string, text string")))[1]
+
+
 # -- one log for all layers ------------------------------------------------------------------------------------------------
 
 
@@ -720,6 +791,16 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _placed(_reranked(_candidates(spark, sf_dir)))
 
 
+@query(
+    f"""WITH {_RERANKED}, c AS (SELECT question_id, any_value(question) AS question, string_agg({_CONTEXT}, chr(10) || chr(10) ORDER BY rerank_rank) AS context, string_agg('[S' || rerank_rank || ']', ', ' ORDER BY rerank_rank) AS allowed FROM reranked GROUP BY 1)
+SELECT question_id, 'Question:' || chr(10) || trim(question) || chr(10) || chr(10) || 'Source passages:' || chr(10) || context || chr(10) || chr(10) || 'Allowed citation markers: ' || allowed || chr(10)
+ || 'Cite with these markers only, at least one for each paragraph, and answer no other question.' AS prompt FROM c"""
+)
+def answer_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole prompt of each question, with the markers that it allows."""
+    return answers.prompts(_sources(spark, sf_dir)).select("question_id", "prompt")
+
+
 @query(f"WITH {_RERANKED} SELECT question_id, count(*) AS n_sources, string_agg({_CONTEXT}, chr(10) || chr(10) ORDER BY rerank_rank) AS context FROM reranked GROUP BY 1")
 def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C15, X9, X10, X12, A16."""

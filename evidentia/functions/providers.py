@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,7 +26,10 @@ def offline_embed(texts: list[str], dimension: int) -> np.ndarray:
 
 
 def embed(df: DataFrame, text: str, dimension: int, model: Callable[[list[str]], np.ndarray] | None = None, batch: int = 64, column: str = "embedding") -> DataFrame:
-    """``df`` with embeddings of ``text``, asked for in batches; a reply of another shape, or not finite, is an error."""
+    """``df`` with embeddings of ``text``, asked for in batches; a reply of another shape, or not finite, is an error.
+
+    model: texts to vectors in their order, or to a service's reply (see ``reply_vectors``) in any order.
+    """
     schema = T.StructType([*df.schema.fields, T.StructField(column, T.ArrayType(T.FloatType(), False))])
     place = df.columns.index(text)
 
@@ -33,7 +37,7 @@ def embed(df: DataFrame, text: str, dimension: int, model: Callable[[list[str]],
         ask = model or (lambda t: offline_embed(t, dimension))
         for b in batches:
             texts = [t or "" for t in b.column(place).to_pylist()]
-            parts = [np.asarray(ask(texts[i : i + batch]), np.float32) for i in range(0, len(texts), batch)]
+            parts = [reply_vectors(ask(own), len(own)) for own in (texts[i : i + batch] for i in range(0, len(texts), batch))]
             got = np.concatenate(parts) if parts else np.zeros((0, dimension), np.float32)
             if got.shape != (len(texts), dimension) or not np.isfinite(got).all():
                 raise ValueError(f"the model's reply has the shape {got.shape} or elements that aren't finite")
@@ -52,6 +56,21 @@ def in_order(items: list[tuple[int, list[float]]], n: int) -> list[list[float]]:
     return [v for _, v in items]
 
 
+def reply_vectors(reply, n: int) -> np.ndarray:
+    """Vectors of a model's reply to ``n`` texts: an array, or a service's JSON text or object with ``data``, a list of
+    (index, embedding) in any order. Anything else is an error."""
+    if isinstance(reply, (str, bytes)):
+        reply = json.loads(reply)
+    if isinstance(reply, dict):
+        data = reply.get("data")
+        if not isinstance(data, list) or not all(isinstance(x, dict) and type(x.get("index")) is int and "embedding" in x for x in data):
+            raise ValueError("the reply has no list of data with index and embedding")
+        if len(data) != n:
+            raise ValueError(f"the reply has {len(data)} embeddings for {n} texts")
+        reply = in_order([(x["index"], x["embedding"]) for x in data], n)
+    return np.asarray(reply, np.float32)
+
+
 def embed_question(question: str, dimension: int, model: Callable[[list[str]], np.ndarray] | None = None) -> list[float]:
     """The vector of one question; anything but exactly one finite vector is an error."""
     got = np.asarray((model or (lambda t: offline_embed(t, dimension)))([question]), np.float64)

@@ -89,6 +89,19 @@ def _against(chunks: DataFrame, asked: DataFrame, k: int, key: str, vector: str,
     return chunks.select(key, vector).mapInArrow(run, f"{by} {kinds[by]}, {key} {kinds[key]}, similarity double")
 
 
+#: The columns of a piece of evidence, in order.
+EVIDENCE = [
+    "chunk_id", "document_id", "document_name", "chunk_order", "chunk_text", "section_type", "section_reference", "section_title", "page_start", "page_end",
+    "chunking_version", "cosine_distance", "vector_similarity", "vector_rank",
+]
+
+
+def evidence_rows(best: DataFrame, chunks: DataFrame, by: str = "question_id", key: str = "chunk_id") -> DataFrame:
+    """(by, the columns of evidence) of retrieved chunks (by, key, similarity, vector_rank); chunks have the others."""
+    own = best.select(by, key, F.col("similarity").alias("vector_similarity"), F.round(1 - F.col("similarity"), DIGITS).alias("cosine_distance"), "vector_rank")
+    return own.join(chunks, key).select(by, *EVIDENCE)
+
+
 def words(text: Column) -> Column:
     """The different words of a text, in lower case."""
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != ""))

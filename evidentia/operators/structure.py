@@ -197,9 +197,22 @@ def parse_generic(records: DataFrame) -> DataFrame:
     return _annotated(records, _meta("document", F.lit("Full document"), F.lit(None).cast("string")))
 
 
-def parse(records: DataFrame, documents: DataFrame) -> DataFrame:
-    """Every document by its own parser; documents has (document_id, parser_type). An unknown parser raises ValueError before
-    any work; records are read once for each parser that occurs."""
+#: Documents that were stored before manifests named a parser.
+BY_NAME = {"eu_ai_act_2024_1689": REGULATION, "gdpr_2016_679": REGULATION, "edpb_opinion_202428_ai-models_en": OPINION}
+
+
+def dispatched(documents: DataFrame, by_name: dict[str, str] = BY_NAME) -> DataFrame:
+    """(document_id, parser_type): the type given; without one, that of the document's name, or else the generic one."""
+    given = F.col("parser_type") if "parser_type" in documents.columns else F.lit(None).cast("string")
+    known = F.coalesce(*[F.when(F.col("document_name") == n, kind) for n, kind in by_name.items()]) if "document_name" in documents.columns else F.lit(None)
+    return documents.select(DOC, F.coalesce(given, known, F.lit(GENERIC)).alias("parser_type"))
+
+
+def parse(records: DataFrame, documents: DataFrame, by_name: dict[str, str] = BY_NAME) -> DataFrame:
+    """Every document by its own parser; documents has (document_id, parser_type, document_name), where either of the last two may
+    be missing (see ``dispatched``). An unknown parser raises ValueError before any work; records are read once for each
+    parser that occurs."""
+    documents = dispatched(documents, by_name)
     wanted = [r.parser_type for r in documents.select("parser_type").distinct().limit(len(PARSERS) + 1).collect()]
     if unknown := sorted(str(w) for w in wanted if w not in PARSERS):
         raise ValueError(f"no such parser: {', '.join(unknown)}")

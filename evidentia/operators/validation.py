@@ -91,3 +91,10 @@ def bad_embeddings(gold: DataFrame, dimension: int) -> DataFrame:
 
     wrong = any_of([F.col(c).isNull() | ~F.col(c).rlike(LOWER_HASH) for c in ("chunk_hash", "embedding_input_hash")])
     return gold.filter(wrong | (F.col("embedding_dimension") != dimension) | ~usable(F.col("embedding"), dimension))
+
+
+def report(rows: DataFrame, order: list[str], position: str = "position") -> DataFrame:
+    """``rows`` as a report: numbered and sorted by several columns, without one task for all rows."""
+    from evidentia.operators.layers import numbered
+
+    return numbered(rows, order, position).orderBy(position)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.functions import replies as R
 from evidentia.schemas import MANIFEST, MANIFEST_DOCUMENT
 
 #: Fixed value: the form of a document's stable id.
@@ -16,6 +17,39 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).json(path, multiLine=True, mode="FAILFAST")
 
 
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(name, text) of manifests as they are, one row for each file of the path; a path without any raises FileNotFoundError."""
+    rows = spark.read.option("wholetext", True).option("ignoreMissingFiles", False).text(path).select(F.input_file_name().alias("name"), F.col("value").alias("text"))
+    if rows.isEmpty():
+        raise FileNotFoundError(f"no manifest in {path}")
+    return rows
+
+
+def checked(texts: DataFrame, name: str = "name", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Documents of manifests that may be malformed, and what is wrong with each: a row for each fault, and no error.
+
+    Documents have (name, document_index, the fields of a document) and are whole: each has all fields, of the right kind.
+    Faults have (name, document_index, problem); the index is null where the manifest itself is at fault.
+    """
+    own = texts.select(F.col(name).alias("name"), R.parsed(F.col(text)).alias("v"))
+    fields = [f.name for f in MANIFEST_DOCUMENT.fields if f.name != "enabled"]
+    documents = R.list_at(F.col("v"), "$.documents")
+    whole = [F.when(R.text_at(F.col("v"), f"$.{c}").isNull(), f"{c} must be a text") for c in ("schema_version", "corpus_id", "corpus_version")]
+    whole.append(F.when(F.coalesce(F.size(documents), F.lit(0)) <= 0, "documents must be a list that isn't empty"))
+    unreadable = F.when(F.col("v").isNull(), F.array(F.lit("manifest is no JSON"))).when(R.kind(F.col("v")) != "OBJECT", F.array(F.lit("manifest must be an object")))
+    faults = own.select("name", F.lit(None).cast("int").alias("document_index"), F.explode(F.coalesce(unreadable, F.array_compact(F.array(*whole)))).alias("problem"))
+    rows = own.select("name", F.posexplode(documents).alias("document_index", "d"))
+    is_object = F.coalesce(R.kind(F.col("d")) == "OBJECT", F.lit(False))
+    read = [R.text_at(F.col("d"), f"$.{c}").alias(c) for c in fields] + [R.of_kind(F.col("d"), "$.enabled", "BOOLEAN", "boolean").alias("enabled")]
+    missing = [F.when(R.at(F.col("d"), f"$.{c}").isNull(), f"{c} is missing") for c in [*fields, "enabled"]]
+    wrong = [F.when(R.at(F.col("d"), f"$.{c}").isNotNull() & F.col(c).isNull(), f"{c} must be {'true or false' if c == 'enabled' else 'a text'}") for c in [*fields, "enabled"]]
+    rows = rows.select("name", "document_index", "d", is_object.alias("ok"), *read)
+    problems = F.when(F.col("ok"), F.array_compact(F.array(*missing, *wrong))).otherwise(F.array(F.lit("document must be an object")))
+    rows = rows.withColumn("problems", problems)
+    faults = faults.unionByName(rows.select("name", "document_index", F.explode("problems").alias("problem")))
+    return rows.filter(F.size("problems") == 0).select("name", "document_index", *fields, "enabled"), faults
+
+
 def corpus_violations(raw: DataFrame) -> DataFrame:
     """(problem) of the manifest as a whole: its own fields, and documents that are missing or none."""
     checks = [F.when(F.col(c).isNull() | (F.trim(c) == ""), f"{c} must be a text") for c in ("schema_version", "corpus_id", "corpus_version")]
