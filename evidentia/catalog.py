@@ -15,11 +15,11 @@ from evidentia import standins as S
 from evidentia.functions import replies as R
 from evidentia.functions import text as X
 from evidentia.functions import vectors as V
-from evidentia.operators import answers, audit, chunking, evaluation, jobs, layers, lexical, pivots, retrieval, structure, validation
+from evidentia.operators import answers, audit, chunking, evaluation, hashtree, jobs, layers, lexical, pivots, retrieval, structure, validation
 from evidentia.sources import files, manifest
 from evidentia.sources import pages as paged
 from evidentia.sources.lake import Check, Foreign, Lake, Transaction, Unique, Violation
-from evidentia.staging import shared_dir
+from evidentia.staging import shared_dir, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -439,6 +439,47 @@ def chunk_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _silver(spark, sf_dir).status.select("document_id", "status")
 
 
+_NEW_PAGES = "document_id % 5 = 0"
+
+
+def _rebuilt(spark: SparkSession, sf_dir: str) -> tuple[jobs.Built, DataFrame, jobs.Built]:
+    """A first build, its chunks with faults, and a second build that knows the first one's trees and has some new pages."""
+    lines = S.marked(spark, sf_dir)
+    page = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x.text), "\n")
+    pages = stage(lines.groupBy("document_id", "page_number").agg(page.alias("page_text")), "pages")
+    documents = S.documents(spark, sf_dir).select("document_id", "document_name").join(pages.groupBy("document_id").agg(F.count("*").cast("int").alias("page_count")), "document_id")
+    wanted = documents.select("document_name", F.lit(structure.REGULATION).alias("parser_type"))
+    first = jobs.build_silver(wanted, documents, pages, chunking.chunks(structure.parse_generic(structure.line_records(pages.limit(0)))), S.SIZE, S.OVERLAP)
+    stored = stage(first.table, "stored").filter("document_id % 8 != 4 or chunk_order > 1")
+    stored = stored.withColumn("chunk_text", F.when(F.expr("document_id % 8 = 0 and chunk_order = 1"), "other").otherwise(F.col("chunk_text")))
+    newer = pages.withColumn("page_text", F.when(F.expr(_NEW_PAGES), F.concat("page_text", F.lit("\nOne more line"))).otherwise(F.col("page_text")))
+    return first, stored, jobs.build_silver(wanted, documents, newer, stored, S.SIZE, S.OVERLAP, trees=stage(first.trees, "trees"))
+
+
+@query(
+    f"""WITH {S.RECORDS} SELECT document_id, CASE WHEN document_id % 8 IN (0, 4) OR {_NEW_PAGES} THEN 'rebuilt' ELSE 'unchanged' END AS status, document_id % 8 IN (0, 4) OR {_NEW_PAGES} AS parsed
+FROM (SELECT DISTINCT document_id FROM records)"""
+)
+def unchanged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose pages and stored chunks are those of the last build aren't parsed again."""
+    _, _, second = _rebuilt(spark, sf_dir)
+    parsed = second.rows.select("document_id").distinct().withColumn("parsed", F.lit(True))
+    return second.status.join(parsed, "document_id", "left").select("document_id", "status", F.coalesce("parsed", F.lit(False)).alias("parsed"))
+
+
+@query(
+    f"""WITH RECURSIVE {_STORED_CHUNKS}, sides AS (SELECT 'o' AS side, document_id, section_type, section_reference, section_title, list((chunk_order, chunk_text) ORDER BY chunk_order) AS c FROM stored GROUP BY ALL
+ UNION ALL SELECT 'n', document_id, section_type, section_reference, section_title, list((chunk_order, chunk_text) ORDER BY chunk_order) FROM chunks GROUP BY ALL),
+ both_sides AS (SELECT document_id, section_type, section_reference, section_title, any_value(c) FILTER (side = 'o') AS o, any_value(c) FILTER (side = 'n') AS n FROM sides GROUP BY 1, 2, 3, 4)
+SELECT document_id, section_type, section_reference, section_title, CASE WHEN o IS NULL THEN 'added' WHEN n IS NULL THEN 'removed' ELSE 'changed' END AS change FROM both_sides WHERE o IS DISTINCT FROM n"""
+)
+def changed_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the roots of differing documents down to the sections that differ."""
+    chunks = stage(S.silver(spark, sf_dir), "silver")
+    stored = chunks.withColumn("chunk_text", F.when(F.expr("document_id % 8 = 0 and chunk_order = 1"), "other").otherwise(F.col("chunk_text"))).filter("document_id % 8 != 4 or chunk_order > 1")
+    return hashtree.changed_sections(hashtree.tree(stored, jobs.COMPARED), hashtree.tree(chunks, jobs.COMPARED))
+
+
 @query(f"WITH RECURSIVE {_STORED_CHUNKS} SELECT document_id, chunk_order, chunk_text, section_reference FROM chunks")
 def silver_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C11, SK4: the chunk table's next version."""
