@@ -11,13 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evidentia import schemas
 from evidentia import standins as S
+from evidentia.functions import providers
 from evidentia.functions import replies as R
 from evidentia.functions import text as X
 from evidentia.functions import vectors as V
-from evidentia.operators import answers, audit, chunking, evaluation, hashtree, jobs, layers, lexical, pivots, retrieval, structure, validation
+from evidentia.operators import answers, audit, chunking, evaluation, hashtree, ingestion, jobs, layers, lexical, pivots, retrieval, structure, validation
 from evidentia.sources import files, manifest
 from evidentia.sources import pages as paged
+from evidentia.sources import sinks
 from evidentia.sources.lake import Check, Foreign, Lake, Transaction, Unique, Violation
 from evidentia.staging import shared_dir, stage
 
@@ -407,8 +410,9 @@ _RANGES = """(SELECT doc_id AS chunk_id, CAST(CASE doc_id % 7 WHEN 0 THEN NULL W
 
 
 def _over(spark: SparkSession, sf_dir: str, rows: str) -> DataFrame:
-    """Rows that a rule makes of the documents."""
-    S.table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
+    """Rows that a rule makes of the tables."""
+    for name in ("documents", "benchmark"):
+        S.table(spark, sf_dir, name).createOrReplaceTempView(name)
     return spark.sql(f"SELECT * FROM {rows}")
 
 
@@ -1148,3 +1152,141 @@ def parser_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [r.select(*columns).filter(f"document_id % 3 = {k}") for k, r in enumerate((structure.line_records(S.pages(spark, sf_dir)), S.marked(spark, sf_dir), _opinions(spark, sf_dir)))]
     parsed = structure.parse(rows[0].unionByName(rows[1]).unionByName(rows[2]), types)
     return parsed.groupBy("document_id", "section_type", "section_reference").agg(F.count("*").cast("int").alias("lines"))
+
+
+# -- files, models and formats, there and back -----------------------------------------------------------------------------
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}-{name}"
+
+
+@query("SELECT 'q' || item_id AS question_id, text AS question FROM benchmark")
+def questions_of_a_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC12: questions written as lines of JSON, and read with their guards."""
+    path = _place(spark, "questions")
+    S.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("q"), "item_id").alias("question_id"), F.col("text").alias("question")).write.json(path)
+    return files.read_questions(spark, path)
+
+
+@query(
+    """SELECT 'q' || item_id AS id, text AS question, 'k' || item_id % 3 AS document_key, 'Document ' || item_id % 3 AS expected_document, 'article' AS section_type, 'Article ' || item_id AS section_reference, item_id % 7 + 1 AS page FROM benchmark"""
+)
+def questions_of_an_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC10: an evaluation file of all questions, with documents by key and expected sources."""
+    path = _place(spark, "evaluation")
+    source = F.struct(F.lit("article").alias("section_type"), F.concat(F.lit("Article "), "item_id").alias("section_reference"), F.array((F.col("item_id") % 7 + 1).cast("int")).alias("pdf_pages"))
+    key = F.concat(F.lit("k"), F.col("item_id") % 3)
+    rows = S.table(spark, sf_dir, "benchmark").select(F.struct(F.concat(F.lit("q"), "item_id").alias("id"), key.alias("document_key"), F.col("text").alias("question"), F.array(source).alias("expected_sources")).alias("q"))
+    documents = F.create_map(*[x for k in range(3) for x in (F.lit(f"k{k}"), F.struct(F.lit(f"Document {k}").alias("document_name")))])
+    whole = rows.agg(F.collect_list("q").alias("questions")).select(F.lit("1.0").alias("schema_version"), F.lit("d").alias("dataset_id"), F.lit("1").alias("version"), documents.alias("documents"), "questions")  # questions are few
+    whole.write.json(path)
+    read = files.read_evaluation(spark, path).select("*", F.explode("expected_sources").alias("s"))
+    return read.select("id", "question", "document_key", "expected_document", "s.section_type", "s.section_reference", F.col("s.pdf_pages")[0].cast("long").alias("page"))
+
+
+_SUMMARY_ROWS = "(SELECT concat('q', item_id) AS id, 'completed' AS status, CASE item_id % 4 WHEN 0 THEN concat('=', substr(text, 1, 20)) WHEN 1 THEN concat('a \"quoted\", ', chr(10), 'line ', item_id) ELSE concat('x ', item_id) END AS question, item_id % 3 = 0 AS vector_hit FROM benchmark) AS t"
+
+
+@query(f"SELECT id, status, CASE WHEN question LIKE '=%' THEN '''' || question ELSE question END AS question, CAST(vector_hit AS VARCHAR) AS vector_hit, CAST(NULL AS VARCHAR) AS error FROM {_SUMMARY_ROWS}")
+def summary_of_a_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK9: a summary of all questions for spreadsheets, as one file with a byte order mark, quotes and line breaks, read back."""
+    path = _place(spark, "summary.csv")
+    sinks.write_summary(_over(spark, sf_dir, _SUMMARY_ROWS), path)
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return rows.select(F.col(rows.columns[0]).alias("id"), "status", "question", "vector_hit", "error")
+
+
+@query("SELECT lang, count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS characters FROM documents GROUP BY 1")
+def report_of_a_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK8: a report as one JSON file, renamed over an older one, read back."""
+    path = _place(spark, "report.json")
+    found = S.table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("documents"), F.sum(F.length("text")).alias("characters"))
+    sinks.write_report(spark, {"languages": "none yet"}, path)
+    sinks.write_report(spark, {"languages": [r.asDict() for r in found.collect()]}, path)
+    kind = "languages array<struct<lang: string, documents: bigint, characters: bigint>>"
+    return spark.read.schema(kind).json(path, multiLine=True).select(F.explode("languages").alias("x")).select("x.*")
+
+
+@query(f"WITH {S.DOCUMENTS} SELECT document_id, document_name, source_name, CAST(NULL AS VARCHAR) AS source_url, page_count FROM bronze")
+def evolved_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK16: rows of an older schema, written and read in the present one."""
+    path = _place(spark, "documents")
+    S.documents(spark, sf_dir).drop("file_type").write.parquet(path)
+    return sinks.evolved(spark.read.parquet(path), schemas.BRONZE_DOCUMENTS).select("document_id", "document_name", "source_name", "source_url", "page_count")
+
+
+@query(
+    f"""WITH {S.DOCUMENTS}, {S.PAGES} SELECT document_name, file_name, file_hash, string_agg(page_text || chr(10) || chr(10), '' ORDER BY page_number) AS full_text, CAST(count(*) AS INTEGER) AS page_count
+FROM bronze b JOIN pages p ON p.document_id = b.document_id GROUP BY document_name, file_name, file_hash"""
+)
+def prepared_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the hash of their file, their text and number of pages; none may lack any of them."""
+    d = S.documents(spark, sf_dir)
+    own = ingestion.prepared(d.select("document_id", "document_name", "file_name"), S.pages(spark, sf_dir), d.select("file_name", F.col("file_hash").alias("sha256")))
+    return own.select("document_name", "file_name", "file_hash", "full_text", "page_count")
+
+
+@query(f"WITH {S.DOCUMENTS} SELECT document_id, document_name FROM bronze WHERE document_id % 4 = 1")
+def documents_stored_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC6: the stored row of each wanted name, of which others are stored twice."""
+    d = S.documents(spark, sf_dir).select("document_id", "document_name")
+    return ingestion.exactly_one(d.filter("document_id % 4 = 1"), d.unionByName(d.filter("document_id % 4 = 2")))
+
+
+@query(f"WITH {_RERANKED} SELECT question_id, chunk_id FROM reranked WHERE question_id % 3 = 0 AND rerank_rank = 2")
+def sources_beyond_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that were no candidates; the second one of every third question is taken from the candidates."""
+    candidates = stage(_candidates(spark, sf_dir), "candidates")
+    after = stage(_reranked(candidates), "reranked")
+    gone = after.filter("question_id % 3 = 0 and rerank_rank = 2").select("question_id", "chunk_id")
+    keys = ["question_id", "chunk_id"]
+    return ingestion.not_contained(after, candidates.join(gone, keys, "left_anti"), keys).select(*keys)
+
+
+@query("SELECT doc_id, CAST(length(text) AS DOUBLE) AS n, CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS e FROM documents")
+def embedded_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of a model that is asked in batches and replies in the reverse order."""
+
+    def model(texts: list[str]) -> dict:
+        return {"data": [{"index": i, "embedding": [len(t), t.count("e")]} for i, t in reversed(list(enumerate(texts)))]}
+
+    rows = providers.embed(S.table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 2, model, batch=7)
+    return rows.select("doc_id", F.col("embedding")[0].cast("double").alias("n"), F.col("embedding")[1].cast("double").alias("e"))
+
+
+@query(f"WITH {_CANDIDATES} SELECT question_id, chunk_id, CAST(length(question) * 1000 + length(chunk_text) % 1000 AS DOUBLE) AS reranker_score FROM candidates")
+def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a model that is asked for pairs in batches."""
+    model = lambda pairs: [len(q) * 1000.0 + len(t) % 1000 for q, t in pairs]
+    return providers.score_pairs(_candidates(spark, sf_dir), model).select("question_id", "chunk_id", "reranker_score")
+
+
+@query("SELECT item_id, 'Answer to ' || length(text) || ' [S1]' AS answer FROM benchmark")
+def generated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a model that is asked for prompts in batches."""
+    prompts = S.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("prompt"))
+    return providers.generate(prompts, lambda texts: [f"Answer to {len(t)} [S1]" for t in texts], batch=9).select("item_id", "answer")
+
+
+@query(f"SELECT e.vec_id, {_COSINE.format(a='e.embedding', b='f.embedding')} AS similarity FROM embeddings e JOIN embeddings f ON f.vec_id = e.vec_id + 1")
+def strict_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2: similarities of neighbours; a vector that is missing, zero or of another dimension would stop it."""
+    e = S.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    f = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.join(f, "vec_id").select("vec_id", F.round(V.strict_cosine(F.col("embedding"), F.col("other")), 6).alias("similarity"))
+
+
+@query(
+    """WITH t AS (SELECT doc_id, length(text) AS n, TIMESTAMP '2024-02-28 23:59:00' + to_seconds(doc_id * 61) AS moment FROM documents)
+SELECT doc_id, round(n / 7.0, 4) AS seconds, printf('%.4f', n / 8.0) AS digits, CASE WHEN doc_id % 5 = 0 THEN 'n/a' ELSE printf('%.1f%%', 100 * (doc_id % 8) / 8.0) END AS share, strftime(moment, '%Y%m%dT%H%M%SZ') || '_' || doc_id AS run,
+ strftime(moment, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS at_text FROM t"""
+)
+def formatted_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timings, shares, run names and times as texts."""
+    at = F.expr("timestamp '2024-02-28 23:59:00' + make_interval(0, 0, 0, 0, 0, 0, doc_id * 61)")
+    n = F.length("text")
+    share = F.when(F.col("doc_id") % 5 != 0, (F.col("doc_id") % 8) / 8.0)
+    return S.table(spark, sf_dir, "documents").select(
+        "doc_id", X.seconds(n / 7.0).alias("seconds"), X.four_digits(n / 8.0).alias("digits"), X.percent(share).alias("share"), X.run_id(at, F.col("doc_id").cast("string")).alias("run"), X.utc_text(at).alias("at_text")
+    )
