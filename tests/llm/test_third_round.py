@@ -293,3 +293,35 @@ def test_layers_are_shared():
     for s in sorted(["uaua", "uauA", "uax", "uaua"]):
         trie.layer(s)
     assert trie.n == 6
+
+
+# -- the index of nearest neighbours, and the entry ------------------------------------------------------------------------
+def test_the_index_finds_nine_of_ten(spark, monkeypatch):
+    """10,000 vectors, of which a query reads a share only."""
+    import numpy as np
+
+    from evidentia.llm import nearest
+
+    monkeypatch.setattr(nearest, "LEAST", 0)
+    x = np.random.default_rng(2).normal(size=(10_000, 16)).astype(np.float32)
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got: dict[int, set[int]] = {}
+    for r in nearest.search(vectors, vectors.filter("vec_id % 100 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    wide, found = x.astype(np.float64), 0
+    for q in range(0, 10_000, 100):
+        d = ((wide - wide[q]) ** 2).sum(1)
+        d[q] = np.inf
+        found += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert found >= 0.9 * 1_000, found
+
+
+def test_entry_without_the_vocabularies():
+    """A machine without the package of vocabularies has all queries; only those that encode stop when they run."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; q = e.queries(); assert 'knn_topk' in q and 'op3_bpe' in q and 'pipeline' in q; e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
