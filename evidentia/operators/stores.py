@@ -41,7 +41,7 @@ def constraints(dimension: int = 1024) -> dict[str, list[Constraint]]:
             Foreign("page without document", ("document_id",), DOCUMENTS),
         ],
         CHUNKS: [
-            *_present("chunk_id", "document_id", "chunk_order", "chunk_text"),
+            *_present("chunk_id", "document_id", "document_name", "chunk_order", "chunk_text"),
             Check("page range", "(page_start is null and page_end is null) or coalesce(page_start > 0 and page_end >= page_start, false)"),
             Unique("chunk_id repeats", ("chunk_id",)), Unique("chunk_order repeats", ("document_id", "chunk_order")),
             Foreign("chunk without document", ("document_id",), DOCUMENTS),
@@ -98,7 +98,10 @@ def _with_ids(chunks: DataFrame, stored: DataFrame) -> DataFrame:
 def _silver(t: Transaction, wanted: DataFrame, rules: dict, **how) -> None:
     stored = t.table(CHUNKS)
     built = jobs.build_silver(wanted, t.table(DOCUMENTS), t.table(PAGES), stored, **how)
-    t.write(CHUNKS, _with_ids(fitted(built.table, schemas.SILVER_CHUNKS), stored), rules[CHUNKS])
+    names = t.table(DOCUMENTS).select("document_id", F.col("document_name").alias("_name"))
+    table = fitted(built.table, schemas.SILVER_CHUNKS).join(names, "document_id", "left")
+    table = table.withColumns({"document_name": F.coalesce("document_name", "_name"), "created_at": F.coalesce("created_at", F.localtimestamp())})
+    t.write(CHUNKS, _with_ids(fitted(table, schemas.SILVER_CHUNKS), stored), rules[CHUNKS])
     # a rebuilt chunk has a new id; embeddings of the old one go with it
     gone = t.table(EMBEDDINGS).join(t.table(CHUNKS).select("chunk_id"), "chunk_id", "left_semi")
     t.write(EMBEDDINGS, fitted(gone, schemas.GOLD_EMBEDDINGS), rules[EMBEDDINGS])
