@@ -2,8 +2,8 @@
 
 Per language, a suffix automaton of labelled text gives the longest match of what follows at any place. A text is parsed
 into such longest phrases, across words, against every language; the language that needs the fewest phrases, normalised by
-the logarithm of its text's length and the length of the text, wins. Long texts are parsed in pieces, all pieces of a block
-of texts at a time.
+the logarithm of its text's length and the length of the text, wins. Texts are parsed in pieces, all pieces of a block of
+texts at a time, with the results of texts parsed whole.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so is every text if nothing can be learnt
 from; equal rates go to the language that sorts first; labels that are null are left out; whole texts are used.
@@ -28,7 +28,7 @@ from evidentia.llm.toxicity import by_hash
 #: Labelled rows of each language that are learnt from, about at most, and bytes of them (in order of a hash of the id).
 SAMPLE = 300
 BYTES = 60_000
-#: Bytes of a piece; a phrase ends with its piece.
+#: Bytes of a piece of a text that is parsed beside others; phrases go on over its border.
 PIECE = 256
 #: Where the number of phrases lies in a table's entry, above the state.
 COST = 28
@@ -104,7 +104,10 @@ class Model:
     def phrases(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Longest phrases that each text is parsed into against each language; texts lie one after another in ``data``.
 
-        Texts are cut into pieces of PIECE bytes, and the pieces of all of them are parsed together, sign by sign.
+        Texts are cut into pieces of PIECE bytes, and the pieces of all of them are parsed together, sign by sign, as if each
+        began anew. Then each piece is parsed again from the state in which the piece before it has ended, until both
+        parses agree, mostly after a few signs; where they never do, the next piece is parsed again, too. So phrases go on
+        over the borders of pieces, and the numbers are those of the texts parsed whole.
         """
         begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         pieces = -(-(ends - begins) // PIECE)
@@ -120,14 +123,36 @@ class Model:
         at = start[:, None] + np.arange(PIECE)
         matrix = np.where(np.arange(PIECE) < size[:, None], sign[np.minimum(at, len(sign) - 1)], beyond).T.astype(np.int32)
         matrix = np.ascontiguousarray(matrix)
+        final_piece = np.append(text[1:] != text[:-1], True)
+        states, counts = np.empty(matrix.shape, np.int32), np.empty(matrix.shape, np.int16)
         for k, table in enumerate(self.tables):
             flat, width = table.reshape(-1), np.int64(table.shape[1])
-            state, count = np.zeros(len(text), np.int64), np.zeros(len(text), np.int32)
-            for signs in matrix:
+            state, count = np.zeros(len(text), np.int64), np.zeros(len(text), np.int16)
+            for j, signs in enumerate(matrix):
                 found = flat[state * width + signs]
-                count += found >> COST
+                count += (found >> COST).astype(np.int16)
                 state = (found & STATE).astype(np.int64)
-            out[:, k] = np.bincount(text, count + (state > 0), len(ends))
+                states[j], counts[j] = state, count
+            anew = count.astype(np.int64)  # of each piece begun anew
+            total, last = anew.copy(), state
+            todo = np.flatnonzero(~final_piece & (last > 0)) + 1
+            while len(todo):
+                rows, own, n, before = todo, last[todo - 1], np.zeros(len(todo), np.int64), last[todo].copy()
+                for j, signs in enumerate(matrix):
+                    found = flat[own * width + signs[rows]]
+                    n += found >> COST
+                    own = (found & STATE).astype(np.int64)
+                    agree = own == states[j, rows]
+                    if agree.any():
+                        same = rows[agree]
+                        total[same], last[same] = n[agree] + anew[same] - counts[j, same], states[-1, same]
+                        rows, own, n = rows[~agree], own[~agree], n[~agree]
+                        if not len(rows):
+                            break
+                total[rows], last[rows] = n, own
+                changed = todo[(last[todo] != before) & ~final_piece[todo]]
+                todo = changed + 1
+            out[:, k] = np.bincount(text, total, len(ends)) + np.bincount(text[final_piece], last[final_piece] > 0, len(ends))
         return out
 
     def rates(self, column: pa.Array) -> np.ndarray:

@@ -147,27 +147,27 @@ def test_suffix_automaton_matches_substrings():
             assert (state >= 0) == ("".join(chr(96 + c) for c in s) in text)
 
 
-def plain_phrases(text, learnt, piece):
+def plain_phrases(own, learnt):
     n = 0
-    for at in range(0, len(text), piece):
-        own = text[at : at + piece]
-        while own:
-            k = 1
-            while k < len(own) and own[: k + 1] in learnt:
-                k += 1
-            n, own = n + 1, own[k:]
+    while own:
+        k = 1
+        while k < len(own) and own[: k + 1] in learnt:
+            k += 1
+        n, own = n + 1, own[k:]
     return n
 
 
-def test_phrases_are_the_longest_matches_across_words():
+@pytest.mark.parametrize("piece", [1, 2, 7, 256])
+def test_phrases_are_the_longest_matches_across_words(monkeypatch, piece):
+    monkeypatch.setattr(language, "PIECE", piece)
     rnd = random.Random(11)
     learnt = {k: noise(rnd, 80, s).encode() for k, s in {"aa": ["ta", "re"], "bb": ["ta", "ko"]}.items()}
     model = language.Model.fit(learnt)
-    texts = [noise(rnd, rnd.randint(0, 120), ["ta", "re", "ko", "x\u00e9"]) for _ in range(30)] + [None, "", "z" * 700]
+    texts = [noise(rnd, rnd.randint(0, 120), ["ta", "re", "ko", "x\u00e9"]) for _ in range(30)] + [None, "", "z" * 700, learnt["aa"].decode() * 3]
     got = model.rates(pa.array(texts))
     for t, rates in zip(texts, got, strict=True):
         data = (t or "").encode() + b" "
-        want = [plain_phrases(data, learnt[k], language.PIECE) * np.log2(len(learnt[k]) + 1) / len(data) for k in ("aa", "bb")]
+        want = [plain_phrases(data, learnt[k]) * np.log2(len(learnt[k]) + 1) / len(data) for k in ("aa", "bb")]
         assert rates == pytest.approx(want)
 
 
