@@ -4,9 +4,10 @@ Rows are ordered by (hash of the text, doc_id, a number), so equal texts lie tog
 shards of near equal bytes are found by counting, exactly and across all partitions, the bytes and rows below sampled
 candidate keys; candidates are refined between the two nearest ones of every target until the splitter meets the
 tolerance or no key lies between. Only the shards' own splitters are sought, so what is probed doesn't grow with the rows.
-Rows are exchanged once, to their shard and, by a hash of the whole key, one of its parts of bounded size; a part's rows
-are sorted and numbered from the exact number of rows in the parts before it, so slots have no gaps. A splitter that
-misses the tolerance after all rounds is reported by a warning.
+Rows are exchanged once, to their shard and one of its parts, a range of keys of bounded size; a part's rows are sorted and
+numbered from the exact number of rows in the parts before it, so slots have no gaps and follow the order of keys: equal
+texts of a shard lie together. Bounds of parts are every EVERY-th key of a sample, taken on the executors; they only deal
+out the work, so they needn't be exact. A splitter that misses the tolerance after all rounds is reported by a warning.
 
 The law is ``bytes``: sizes of shards differ by little. A boundary is moved to the start of a group of equal texts if that
 costs no more than SNAP of a shard's size, so only groups larger than that are ever divided.
@@ -39,6 +40,8 @@ PART_ROWS = 250_000
 PART_BYTES = 1 << 28
 #: Parts of a shard, at least; a row for each is broadcast.
 PARTS = 8
+#: Sampled keys for each part.
+EVERY = 24
 #: Sampled candidates for each splitter in a round.
 PROBES = 24
 ROUNDS = 12
@@ -149,6 +152,18 @@ def splitters(keys: DataFrame, n: int) -> list[Key | None]:
     return sorted(out, key=lambda k: (k is not None, k))
 
 
+def _part_bounds(keys: DataFrame, share: float, parts: int) -> list[Key]:
+    """Every EVERY-th key of a sample of all keys, in order: one for each of about ``parts`` parts.
+
+    The sample is sorted in ranges of the hash's first bits, so no task sees more of it than a range's share.
+    """
+    bits = min(8, max(0, (parts // 16).bit_length() - 1))  # a range has 16 parts at least
+    some = keys.select(*KEY).filter(F.pmod(F.xxhash64("seq", F.lit(77)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    ranges = W.partitionBy(F.shiftright("h", 64 - bits) if bits else F.lit(0)).orderBy(*KEY)
+    got = some.withColumn("_n", F.row_number().over(ranges)).filter(F.col("_n") % EVERY == 0).select(*KEY).toArrow()
+    return sorted(tuple(_LEAST if v is None else v for v in r.values()) for r in got.to_pylist())
+
+
 def shard(df: DataFrame, n: int = 16, text: str = "text", key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
     """``key``, the columns ``carry`` (all, if not given), size, shard and slot of every row."""
     spark = df.sparkSession
@@ -167,13 +182,16 @@ def shard(df: DataFrame, n: int = 16, text: str = "text", key: str = "doc_id", c
     parts = max(PARTS, -(-total["n"] // (n * PART_ROWS)), -(-(total["b"] or 0) // (n * PART_BYTES)))
     bounds = _encode_keys([k or (_LEAST,) * 3 for k in splitters(keys, n)])
 
+    edges = _encode_keys(_part_bounds(keys, min(1.0, EVERY * n * parts / max(1, total["n"])), n * parts))
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            of = np.searchsorted(bounds, _columns(b), side="right")
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(of.astype(np.int32))], [*b.schema.names, "shard"])
+            own = _columns(b)
+            of, part = np.searchsorted(bounds, own, side="right"), np.searchsorted(edges, own, side="right")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(of.astype(np.int32)), pa.array(part.astype(np.int32))], [*b.schema.names, "shard", "part"])
 
     def placed(rows: DataFrame) -> DataFrame:
-        return rows.mapInArrow(place, widened(rows, "shard int")).withColumn("part", F.pmod(F.xxhash64(*KEY), F.lit(parts)).cast("int"))
+        return rows.mapInArrow(place, widened(rows, "shard int, part int"))
 
     # rows of a shard's parts: a small table, one row for each part
     counts = stage(placed(keys).groupBy("shard", "part").agg(F.count("*").alias("rows")), "parts")

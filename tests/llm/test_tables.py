@@ -153,6 +153,9 @@ def test_shards(spark, rows):
         assert r["size"] == len((r.text or "").encode()) + 1 and r.other == 1
         by.setdefault(r.shard, []).append(r)
     assert all(sorted(r.slot for r in s) == list(range(len(s))) for s in by.values())
+    for s in by.values():  # slots follow the order of keys: equal texts lie together
+        texts = [r.text or "" for r in sorted(s, key=lambda r: r.slot)]
+        assert sum(a != b for a, b in zip(texts, texts[1:], strict=False)) == max(0, len(set(texts)) - 1)
     if len(rows) > 300:
         total, most = sum(r["size"] for r in got), max(r["size"] for r in got)
         assert all(abs(sum(r["size"] for r in by.get(k, [])) - total / 4) <= 0.01 * total / 4 + 2 * most for k in range(4))
