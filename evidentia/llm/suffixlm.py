@@ -7,7 +7,8 @@ so the tree grows with the corpus. A token is scored in the longest retained suf
 over all words is smoothed towards its suffix state's with the weight of NOVELTY counts for each different word that
 follows the state (Witten and Bell), and the root is add-one smoothed.
 
-All counts are exact sums over the training texts, so scores don't depend on how the rows are dealt out:
+Counts of words are exact, and those of grams are sums over all training texts by shortened hashes (see below), so scores don't
+depend on how the rows are dealt out:
 
 1. Texts are packed into chunks, which are staged. Words are counted; what is collected of them is the frequent ones only,
    of which there are at most 1 / FREQUENT, whatever the corpus.
@@ -19,7 +20,8 @@ All counts are exact sums over the training texts, so scores don't depend on how
 3. Every chunk takes its answers and scores its texts.
 
 A gram's words are known by 28 (the nearest, within a bucket), 16 and 20 bits of their hashes, pairs by 48, words by 64
-bits; counts of words, and so the base score, take no account of grams.
+bits. Grams that are equal in these bits share their counts, so the score is that of a tree over such classes of words, not
+over words. Counts of words, and so the base score, take no account of grams.
 
 Defined results: a null or blank text has one token, the end; without training texts the scores are those of the smoothing
 alone; repeated rows and ids, and null ids, are scored as rows of their own; whole texts are used; an empty table gives an
