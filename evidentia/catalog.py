@@ -1147,11 +1147,11 @@ _OPINION = f"""SELECT document_id, 0 AS part, 0 AS i, 0 AS j, concat('Opinion on
 
 def _opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of opinions."""
-    structure.line_records(S.pages(spark, sf_dir)).createOrReplaceTempView("records")
+    stage(structure.line_records(S.pages(spark, sf_dir)), "records").createOrReplaceTempView("records")
     S.documents(spark, sf_dir).select("document_id").createOrReplaceTempView("docs")
     spark.sql(f"SELECT document_id, explode(sequence(1, {_N_SECTIONS})) AS i FROM docs").createOrReplaceTempView("sections")
     number = F.row_number().over(W.partitionBy("document_id").orderBy("part", "i", "j"))
-    return spark.sql(_OPINION).select("document_id", number.alias("line_no"), F.lit(1).alias("page_number"), "text")
+    return stage(spark.sql(_OPINION).select("document_id", number.alias("line_no"), F.lit(1).alias("page_number"), "text"), "opinions")
 
 
 _OPINION_SECTIONS = f"""{S.RECORDS}, docs AS (SELECT CAST(doc_id AS INTEGER) AS document_id FROM documents), sections AS (SELECT document_id, CAST(unnest(range(1, {_N_SECTIONS} + 1)) AS INTEGER) AS i FROM docs),

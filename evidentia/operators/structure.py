@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidentia.functions.text import lines, squeeze
+from evidentia.staging import stage
 
 DOC = "document_id"
 # Parser types of manifests.
@@ -163,7 +164,7 @@ def _taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def parse_opinion(records: DataFrame, strict: bool = True) -> DataFrame:
     """Numbered sections of the body, in the order of the table of contents and with its titles.
 
-    strict: a document whose table of contents can't be read raises an error when the plan runs; else it is left out.
+    strict: a document whose table of contents can't be read raises an error; else it is left out.
     """
     found = contents(records)
     if strict:
@@ -171,6 +172,7 @@ def parse_opinion(records: DataFrame, strict: bool = True) -> DataFrame:
         found = found.withColumn("body_start", F.when(F.col("problem").isNotNull(), wrong.cast("int")).otherwise(F.col("body_start")))
     else:
         found = found.filter("problem is null")
+    found = stage(found, "contents")
     rows = records.join(found.select(DOC, "body_start", "entries"), DOC)
     number = F.nullif(F.regexp_extract("text", r"\A([0-9]+(?:\.[0-9]+){0,2})\s+(.+)\z", 1), F.lit(""))
     rows = rows.withColumn("number", F.when(F.col("line_no") >= F.col("body_start"), number))
