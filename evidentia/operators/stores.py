@@ -15,7 +15,7 @@ from evidentia import schemas
 from evidentia.operators import jobs, layers
 from evidentia.sources.lake import Check, Constraint, Foreign, Lake, Transaction, Unique
 
-DOCUMENTS, PAGES, CHUNKS, EMBEDDINGS = "documents", "pages", "chunks", "embeddings"
+DOCUMENTS, PAGES, CHUNKS, EMBEDDINGS, TREES = "documents", "pages", "chunks", "embeddings", "trees"
 #: Parts that embeddings are dealt to by a hash of the chunk; each is committed by itself.
 PARTS = 16
 
@@ -56,7 +56,8 @@ def constraints(dimension: int = 1024) -> dict[str, list[Constraint]]:
 
 def create(lake: Lake) -> None:
     """Make the tables that aren't there yet, empty; existing ones stay as they are."""
-    kinds = {DOCUMENTS: schemas.BRONZE_DOCUMENTS, PAGES: schemas.BRONZE_PAGES, CHUNKS: schemas.SILVER_CHUNKS, EMBEDDINGS: schemas.GOLD_EMBEDDINGS}
+    trees = schemas.columns("document_id int, input_root string, chunk_root string")
+    kinds = {DOCUMENTS: schemas.BRONZE_DOCUMENTS, PAGES: schemas.BRONZE_PAGES, CHUNKS: schemas.SILVER_CHUNKS, EMBEDDINGS: schemas.GOLD_EMBEDDINGS, TREES: trees}
 
     def work(t: Transaction) -> None:
         for name, kind in kinds.items():
@@ -97,7 +98,8 @@ def _with_ids(chunks: DataFrame, stored: DataFrame) -> DataFrame:
 
 def _silver(t: Transaction, wanted: DataFrame, rules: dict, **how) -> None:
     stored = t.table(CHUNKS)
-    built = jobs.build_silver(wanted, t.table(DOCUMENTS), t.table(PAGES), stored, **how)
+    built = jobs.build_silver(wanted, t.table(DOCUMENTS), t.table(PAGES), stored, trees=t.table(TREES), **how)
+    t.write(TREES, built.trees.select("document_id", "input_root", "chunk_root"), [Unique("document repeats", ("document_id",))])
     names = t.table(DOCUMENTS).select("document_id", F.col("document_name").alias("_name"))
     table = fitted(built.table, schemas.SILVER_CHUNKS).join(names, "document_id", "left")
     table = table.withColumns({"document_name": F.coalesce("document_name", "_name"), "created_at": F.coalesce("created_at", F.localtimestamp())})
@@ -113,7 +115,10 @@ def _embedded(rows: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> DataF
 
 
 def build_silver(lake: Lake, wanted: DataFrame, dimension: int = 1024, **how) -> int:
-    """Chunks of the wanted documents, and without embeddings of chunks that are gone, in one commit (see ``jobs.build_silver``)."""
+    """Chunks of the wanted documents, without embeddings of chunks that are gone, in one commit (see ``jobs.build_silver``).
+
+    The hash trees of each build are stored with it, so the next one parses changed documents only.
+    """
     return lake.transact(lambda t: _silver(t, wanted, constraints(dimension), **how), "build silver")
 
 
