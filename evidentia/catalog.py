@@ -849,6 +849,37 @@ def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("document_id", "enabled", F.col("exists").alias("file_exists"), *[F.array_join(c, ";").alias(c) for c in ("warnings", "failures")])
 
 
+@query(
+    f"""WITH {_AUDITED}, {_FILE_FACTS}, {_STORED}, {_RULES},
+ unknown AS (SELECT 1 FROM documents WHERE doc_id % 7 <> 2 AND doc_id % 31 = 0 LIMIT 1),
+ f AS (SELECT CASE WHEN NOT file_exists THEN 1 ELSE 0 END + CASE WHEN parser_type = 'table_layout' AND enabled THEN 1 ELSE 0 END + CASE WHEN copies > 1 THEN 1 ELSE 0 END + CASE WHEN copies = 1 AND sha256 <> file_hash THEN 1 ELSE 0 END
+  + CASE WHEN copies = 1 AND stored_pages <> page_rows THEN 1 ELSE 0 END + CASE WHEN copies = 1 AND stored_pages <> file_pages THEN 1 ELSE 0 END + CASE WHEN copies = 1 AND enabled AND chunk_count = 0 THEN 1 ELSE 0 END AS n FROM r)
+SELECT 1 AS exit_code, CAST((SELECT sum(n) FROM f) + (SELECT count(*) FROM unknown) AS BIGINT) AS failures"""
+)
+def audit_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK12, V16: the findings of the whole audit, files unknown to the manifest among them, and its exit code."""
+    S.table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
+    own, facts, stored = (spark.sql(f"WITH {x} SELECT * FROM {x.split()[0]}") for x in (_AUDITED, _FILE_FACTS, _STORED))
+    report = audit.audit(own, facts, stored.unionByName(stored.filter("document_name like '%77'")))
+    unknown = spark.sql("SELECT concat('new_', doc_id, '.pdf') AS file_name FROM documents WHERE doc_id % 7 <> 2 AND doc_id % 31 = 0")
+    found = stage(audit.findings(report, unknown), "findings")
+    return found.agg(F.lit(audit.exit_code(found)).alias("exit_code"), F.count_if(F.col("level") == "failure").alias("failures"))
+
+
+_REQUIRED = ["document_name", "source_name", "file_name", "file_type", "file_hash", "full_text"]
+_BLANKED = {c: f"CASE WHEN document_id % 17 = {k} THEN NULL WHEN document_id % 19 = {k} THEN ' ' ELSE {c} END" for k, c in enumerate(_REQUIRED)} | {"page_count": "CASE document_id % 23 WHEN 1 THEN NULL WHEN 2 THEN 0 WHEN 3 THEN -1 ELSE page_count END"}
+
+
+@query(
+    f"""WITH {S.DOCUMENTS}, d AS (SELECT document_id, {', '.join(f'{x} AS {c}' for c, x in _BLANKED.items())} FROM bronze)
+SELECT document_id FROM d WHERE {' OR '.join(f"{c} IS NULL OR trim({c}) = ''" for c in _REQUIRED)} OR page_count IS NULL OR page_count <= 0"""
+)
+def required_fields_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every required field, damaged one by one."""
+    d = S.documents(spark, sf_dir).select("document_id", *[F.expr(x).alias(c) for c, x in _BLANKED.items()])
+    return validation.missing_required(d, _REQUIRED, ["page_count"]).select("document_id")
+
+
 # -- texts and answers -------------------------------------------------------------------------------------------------
 
 _CONTEXT = """'[S' || rerank_rank || ']' || chr(10) || 'Document: ' || document_name || chr(10) || 'Section type: ' || lang || chr(10) || 'Section reference: ' || source || chr(10)
