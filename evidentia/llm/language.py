@@ -11,6 +11,7 @@ from; equal rates go to the language that sorts first; labels that are null are
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -82,6 +83,11 @@ class Model:
     code: np.ndarray  # of each byte; 0 for bytes that no automaton knows
     tables: list[np.ndarray]  # of each state and sign: the state after it, and above COST how many phrases end or stand alone
     log_size: np.ndarray  # of each language's text
+    texts: dict[str, bytes]
+
+    def __reduce__(self) -> tuple:
+        """Sent as its texts, some hundred times smaller than the automata; a worker builds these once."""
+        return _built, (tuple(sorted(self.texts.items())),)
 
     @classmethod
     def fit(cls, texts: dict[str, bytes]) -> Model:
@@ -99,7 +105,7 @@ class Model:
             cost = np.where(to >= 0, 0, (np.arange(len(to)) > 0)[:, None].astype(np.int32) + (anew < 0)[None]).astype(np.int32)
             nothing = np.arange(len(to), dtype=np.int32)[:, None]  # the sign beyond the end
             tables.append(np.ascontiguousarray(np.concatenate([step.astype(np.int32) | cost << COST, nothing], 1)))
-        return cls(languages, code, tables, np.log2([len(texts[lang]) + 1 for lang in languages]))
+        return cls(languages, code, tables, np.log2([len(texts[lang]) + 1 for lang in languages]), dict(texts))
 
     def phrases(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Longest phrases that each text is parsed into against each language; texts lie one after another in ``data``.
@@ -164,6 +170,11 @@ class Model:
         return np.concatenate(found) if found else np.zeros((0, len(self.languages)))
 
 
+@functools.lru_cache(1)
+def _built(texts: tuple[tuple[str, bytes], ...]) -> Model:
+    return Model.fit(dict(texts))
+
+
 def fit(documents: DataFrame, keep=None, sample: int = SAMPLE, label: str = "lang") -> Model:
     """Learn from the texts of at most ``sample`` documents of each language with a label that is not null, in order of a
     hash of the id, up to BYTES bytes."""
