@@ -22,7 +22,7 @@ from evidentia.sources import files, manifest
 from evidentia.sources import pages as paged
 from evidentia.sources import sinks
 from evidentia.sources.lake import Check, Foreign, Lake, Transaction, Unique, Violation
-from evidentia.staging import shared_dir, stage
+from evidentia.staging import discard, shared_dir, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -430,11 +430,13 @@ def _silver(spark: SparkSession, sf_dir: str, dry_run: bool = False) -> jobs.Bui
     """All documents as regulations, against stored chunks of which every eighth document's first is altered, or missing."""
     lines = S.marked(spark, sf_dir)
     page = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x.text), "\n")
-    pages = lines.groupBy("document_id", "page_number").agg(page.alias("page_text"))
+    pages = stage(lines.groupBy("document_id", "page_number").agg(page.alias("page_text")), "pages")
     documents = S.documents(spark, sf_dir).select("document_id", "document_name").join(pages.groupBy("document_id").agg(F.count("*").cast("int").alias("page_count")), "document_id")
     wanted = documents.select("document_name", F.lit(structure.REGULATION).alias("parser_type"))
-    stored = S.silver(spark, sf_dir).withColumn("chunk_text", F.when(F.expr("document_id % 8 = 0 and chunk_order = 1"), "other").otherwise(F.col("chunk_text")))
-    return jobs.build_silver(wanted, documents, pages, stored.filter("document_id % 8 != 4 or chunk_order > 1"), S.SIZE, S.OVERLAP, dry_run=dry_run)
+    stored = stage(S.silver(spark, sf_dir), "stored").withColumn("chunk_text", F.when(F.expr("document_id % 8 = 0 and chunk_order = 1"), "other").otherwise(F.col("chunk_text")))
+    built = jobs.build_silver(wanted, documents, pages, stored.filter("document_id % 8 != 4 or chunk_order > 1"), S.SIZE, S.OVERLAP, dry_run=dry_run)
+    discard(pages)
+    return built
 
 
 @query(f"WITH RECURSIVE {_STORED_CHUNKS} SELECT document_id, CASE WHEN differs THEN 'rebuilt' ELSE 'unchanged' END AS status FROM compared")

@@ -15,7 +15,7 @@ DOC = "document_id"
 SECTION = ["section_type", "section_reference", "section_title"]
 
 
-def _hash(*columns: Column) -> Column:
+def digest(*columns: Column) -> Column:
     """Of values and their places; a null differs from every text."""
     return F.sha2(F.to_json(F.struct(*[c.alias(f"c{k}") for k, c in enumerate(columns)]), {"ignoreNullFields": "false"}), 256)
 
@@ -23,19 +23,19 @@ def _hash(*columns: Column) -> Column:
 def inputs(pages: DataFrame, documents: DataFrame, settings: dict) -> DataFrame:
     """(document_id, input_root) of ``documents`` (document_id and what else decides on the result, as its parser)."""
     others = [c for c in documents.columns if c != DOC]
-    leaf = F.struct("page_number", _hash(F.col("page_text")).alias("hash"))
+    leaf = F.struct("page_number", digest(F.col("page_text")).alias("hash"))
     own = pages.join(documents.select(DOC), DOC, "left_semi").select(DOC, leaf.alias("p")).groupBy(DOC).agg(F.array_sort(F.collect_list("p")).alias("p"))
     text = F.lit(repr(sorted(settings.items())))
-    return documents.join(own, DOC, "left").select(DOC, _hash(text, *[F.col(c) for c in sorted(others)], F.col("p")).alias("input_root"))
+    return documents.join(own, DOC, "left").select(DOC, digest(text, *[F.col(c) for c in sorted(others)], F.col("p")).alias("input_root"))
 
 
 def tree(chunks: DataFrame, columns: list[str]) -> DataFrame:
     """(document_id, chunk_root, sections) of chunks by the ``columns`` that count; sections: their meta, first chunk and hash."""
-    leaf = F.struct("chunk_order", _hash(*[F.col(c) for c in columns]).alias("hash"))
+    leaf = F.struct("chunk_order", digest(*[F.col(c) for c in columns]).alias("hash"))
     section = chunks.select(DOC, *SECTION, leaf.alias("c")).groupBy(DOC, *SECTION).agg(F.array_sort(F.collect_list("c")).alias("c"))
-    node = F.struct(F.element_at("c", 1)["chunk_order"].alias("first"), *SECTION, _hash(*[F.col(c) for c in SECTION], F.col("c")).alias("hash"))
+    node = F.struct(F.element_at("c", 1)["chunk_order"].alias("first"), *SECTION, digest(*[F.col(c) for c in SECTION], F.col("c")).alias("hash"))
     whole = section.select(DOC, node.alias("s")).groupBy(DOC).agg(F.array_sort(F.collect_list("s")).alias("sections"))
-    return whole.select(DOC, _hash(F.transform("sections", lambda s: s["hash"])).alias("chunk_root"), "sections")
+    return whole.select(DOC, digest(F.transform("sections", lambda s: s["hash"])).alias("chunk_root"), "sections")
 
 
 def unchanged(roots: DataFrame, known: DataFrame, stored: DataFrame) -> DataFrame:

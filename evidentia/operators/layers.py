@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evidentia.operators.hashtree import digest
 
 #: Ranges that new rows are numbered in, and rows that their bounds are taken from, about.
 RANGES = 64
@@ -92,8 +93,10 @@ def update_metadata(target: DataFrame, changes: DataFrame, key: str = "document_
 
 def chunk_status(old: DataFrame, new: DataFrame, columns: list[str], doc: str = "document_id", order: str = "chunk_order", dry_run: bool = False) -> DataFrame:
     """(document_id, status) of the documents of ``new``: unchanged if all chunks equal the stored ones, else (to be) rebuilt."""
-    left = new.select(doc, order, F.struct(*columns).alias("_new"))
-    right = old.join(new.select(doc).distinct(), doc, "left_semi").select(doc, order, F.struct(*columns).alias("_old"))
+    # hashes are compared, as chunks are long and all would be exchanged
+    own = F.unhex(digest(*[F.col(c) for c in columns]))
+    left = new.select(doc, order, own.alias("_new"))
+    right = old.select(doc, order, own.alias("_old")).join(new.select(doc).distinct(), doc, "left_semi")
     both = left.join(right, [doc, order], "full_outer")
     other = F.max((~F.col("_new").eqNullSafe(F.col("_old"))).cast("int"))
     return both.groupBy(doc).agg(F.when(other == 1, "would_rebuild" if dry_run else "rebuilt").otherwise("unchanged").alias("status"))

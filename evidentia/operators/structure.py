@@ -43,7 +43,8 @@ def _meta(kind: str, reference: Column, title: Column) -> Column:
 
 
 def _in_sequence(number: str) -> Column:
-    """Line numbers at which ``number`` is the next expected one, counted from 1, over (line_no, number) of a document.
+    """Line numbers at which ``number`` is the next expected one, counted from 1, over (line_no, number) of a document; that of
+    number k is at place k.
 
     A fold, as a skipped or repeated number must not move the counter.
     """
@@ -84,9 +85,10 @@ def parse_regulation(records: DataFrame) -> DataFrame:
             "article": F.when(body, _whole(r"Article\s+([0-9]+)").try_cast("bigint")),
         }
     )
-    taken = rows.groupBy(DOC).agg(_in_sequence("recital").alias("r"), _in_sequence("article").alias("a"))
-    taken = taken.select(DOC, F.explode(F.concat(F.transform("r", lambda x: F.struct(x.alias("line_no"), F.lit("r").alias("w"))), F.transform("a", lambda x: F.struct(x.alias("line_no"), F.lit("a").alias("w"))))).alias("t")).select(DOC, "t.*")
-    rows = rows.join(taken, [DOC, "line_no"], "left")
+    # joined by document alone, as lines are dealt by it already
+    rows = rows.join(rows.groupBy(DOC).agg(_in_sequence("recital").alias("r"), _in_sequence("article").alias("a")), DOC, "left")
+    at = lambda taken, number: F.when(F.col(number).between(1, F.size(taken)), F.element_at(taken, F.col(number).cast("int")))
+    rows = rows.withColumn("w", F.when(at("a", "article") == F.col("line_no"), "a").when(at("r", "recital") == F.col("line_no"), "r")).drop("a", "r")
     none = F.lit(None).cast("string")
     marker = (
         F.when(F.col("w") == "a", _meta("article", F.concat(F.lit("Article "), F.col("article").cast("string")), F.col("title")))
