@@ -194,12 +194,12 @@ def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.pages(spark, sf_dir)
 
 
-def _page_files(spark: SparkSession, sf_dir: str) -> str:
-    """A folder with a file for each document: its pages, parted by form feeds."""
+def _page_files(spark: SparkSession, sf_dir: str, folders: int = 0) -> str:
+    """A folder with a file for each document, in subfolders if any are asked for: its pages, parted by form feeds."""
     folder = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "page_text"))), lambda x: x.page_text), "\f")
     rows = S.pages(spark, sf_dir).groupBy("document_id").agg(whole.alias("content"))
-    files.write_files(rows.select(F.concat(F.lit("doc_"), "document_id", F.lit(".pdf")).alias("file_name"), "content"), folder).agg(F.sum("length")).collect()
+    files.write_files(rows.select(F.concat(F.lit("doc_"), "document_id", F.lit(".pdf")).alias("file_name"), "content"), folder, folders=folders).agg(F.sum("length")).collect()
     return folder
 
 
@@ -216,7 +216,7 @@ SELECT file_name, CAST(octet_length(encode(content)) AS BIGINT) AS length, sha25
 )
 def hashes_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC2, SC4: the listing of a folder with hashes of the files, read in blocks by the tasks."""
-    return files.list_pdfs(spark, _page_files(spark, sf_dir), with_hash=True).select("file_name", "length", "sha256")
+    return files.list_pdfs(spark, _page_files(spark, sf_dir, 1_024), with_hash=True, levels=1).select("file_name", "length", "sha256")
 
 
 @query(f"WITH {S.PAGES} SELECT document_id, string_agg(page_text || chr(10) || chr(10), '' ORDER BY page_number) AS full_text FROM pages GROUP BY 1")

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import os
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs as afs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,15 +20,61 @@ from evidentia.sources.blobs import opened, store
 
 #: Bytes of a file that are hashed at once.
 BLOCK = 4 << 20
-
-
-def list_pdfs(spark: SparkSession, folder: str, with_hash: bool = False) -> DataFrame:
-    """(path, file_name, length[, sha256]) of the files whose name ends in .pdf, case aside; contents are read only to hash."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
+#: Rows of a listing that a task holds at once.
+LISTED = 8_192
+#: Stores whose folders tasks list; those of others are listed by Spark's reader, on the driver.
+LISTABLE = {"", "file", "s3", "s3a", "s3n", "gs"}
+
+
+def list_pdfs(spark: SparkSession, folder: str, with_hash: bool = False, levels: int = 0) -> DataFrame:
+    """(path, file_name, length[, sha256]) of the files whose name ends in .pdf, case aside; contents are read only to hash.
+
+    Tasks list the folder and stream what they find, so the driver holds no names, however many there are. One task lists a
+    folder, so very many files had better lie in subfolders: levels: how many levels of them are above the files.
+    Names that begin with a dot or underscore are left out, as Spark's readers do.
+    """
+    scheme, colon, _ = folder.partition(":")
+    if (scheme if colon and "/" not in scheme else "") in LISTABLE:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        folders = spark.createDataFrame([(folder.rstrip("/"),)], "path string")
+        for _ in range(levels):
+            folders = folders.mapInArrow(_listing(True), "path string").repartition(parts, "path")
+        rows = folders.mapInArrow(_listing(False), "path string, file_name string, length long")
+        return hashed(rows.repartition(parts, "path")) if with_hash else rows
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder + "/*" * levels)
     rows = rows.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "length")
     return hashed(rows) if with_hash else rows
 
 
+def _entries(folder: str) -> Iterator[tuple[str, bool, int]]:
+    """(name, whether it is a folder, length) of each file and folder in a folder, one by one where the store can."""
+    where, base = store(folder)
+    if isinstance(where, afs.LocalFileSystem):
+        with os.scandir(base) as found:
+            for e in found:
+                if e.is_dir() or e.is_file():
+                    yield e.name, e.is_dir(), e.stat().st_size
+    else:
+        for e in where.get_file_info(afs.FileSelector(base)):
+            yield e.base_name, e.type == afs.FileType.Directory, e.size or 0
+
+
+def _listing(folders: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The subfolders, or the PDFs, of the folders in the first column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                own = ((n, size) for n, is_folder, size in _entries(folder) if is_folder == folders and n[0] not in "._" and (folders or n.lower().endswith(".pdf")))
+                while some := list(itertools.islice(own, LISTED)):
+                    columns = {"path": pa.array([f"{folder}/{n}" for n, _ in some], pa.string())}
+                    if not folders:
+                        columns |= {"file_name": pa.array([n for n, _ in some], pa.string()), "length": pa.array([size for _, size in some], pa.int64())}
+                    yield pa.RecordBatch.from_pydict(columns)
+
+    return run
+
+
 def hashed(files: DataFrame, path: str = "path", name: str = "sha256") -> DataFrame:
     """``files`` with the SHA-256 of each file's bytes, read block by block by the task that has the row, at any size."""
 
@@ -78,20 +128,28 @@ def file_hash(spark: SparkSession, path: str) -> str:
     return hashed(spark.read.format("binaryFile").load(path).select("path")).first().sha256
 
 
-def write_files(rows: DataFrame, folder: str, name: str = "file_name", content: str = "content") -> DataFrame:
-    """Write each row's text or bytes as a file; (name, path, length). A task that runs again writes the same files again."""
+def write_files(rows: DataFrame, folder: str, name: str = "file_name", content: str = "content", folders: int = 0) -> DataFrame:
+    """Write each row's text or bytes as a file; (name, path, length). A task that runs again writes the same files again.
+
+    folders: how many subfolders they are dealt to, by a hash of the name (none: they lie in the folder itself).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, base = store(folder)
         where.create_dir(base, recursive=True)
+        made = {""}
         for b in batches:
             names, paths, sizes = b.column(0).to_pylist(), [], []
             for n, value in zip(names, b.column(1), strict=True):
                 data = value.as_py() or b""
                 data = data.encode() if isinstance(data, str) else data
-                with where.open_output_stream(f"{base}/{n}") as out:
+                under = f"/{zlib.crc32(n.encode()) % folders:05d}" if folders else ""
+                if under not in made:
+                    where.create_dir(base + under, recursive=True)
+                    made.add(under)
+                with where.open_output_stream(f"{base}{under}/{n}") as out:
                     out.write(data)
-                paths.append(f"{folder}/{n}")
+                paths.append(f"{folder}{under}/{n}")
                 sizes.append(len(data))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], [name, "path", "length"])
 

@@ -1,10 +1,12 @@
 """Jobs at size: what is exchanged, listed and kept on disk; and numbers at the edges of what they count."""
 
+import hashlib
 import re
 
 from pyspark.sql import functions as F
 
 from evidentia.operators import layers, structure
+from evidentia.sources import files
 
 
 def exchanges(df):
@@ -30,3 +32,23 @@ def test_lines_are_exchanged_by_document_alone(spark):
     own = [found[1, k] for k in range(1, len(lines) + 1)]
     assert own == ["Front matter", "Front matter", "Recital 1", "Recital 1", "Recital 2", "Enacting formula", "Enacting formula", "Article 1", "Article 1", "Article 1", "Article 2", "Article 2"]
     assert found[2, 1] == "Front matter"
+
+
+def test_tasks_list_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "LISTED", 3)
+    rows = spark.range(40).select(F.concat(F.lit("d "), "id", F.when(F.col("id") % 2 == 0, ".pdf").otherwise(".PdF")).alias("file_name"), F.repeat(F.lit("ä"), F.col("id").cast("int")).alias("content"))
+    want = {r.file_name: (len(r.content.encode()), hashlib.sha256(r.content.encode()).hexdigest()) for r in rows.collect()}
+    for levels, at in ((0, tmp_path / "flat"), (1, tmp_path / "deep")):
+        assert files.write_files(rows, str(at), folders=5 * levels).count() == 40
+        inner = next(at.iterdir()) if levels else at
+        for n in ("_x.pdf", ".x.pdf", "x.txt"):
+            (inner / n).write_text("x")
+        (inner / "folder.pdf").mkdir()
+        got = files.list_pdfs(spark, f"file://{at}", True, levels)
+        assert "binaryFile" not in got._jdf.queryExecution().executedPlan().toString()
+        found = got.collect()
+        assert len(found) == 40 and {r.file_name: (r.length, r.sha256) for r in found} == want
+        assert {r.path for r in found} == {r.path for r in files.list_pdfs(spark, f"file://{at}", levels=levels).collect()}
+    assert len(list((tmp_path / "deep").iterdir())) == 5
+    (tmp_path / "none").mkdir()
+    assert files.list_pdfs(spark, str(tmp_path / "none"), True).count() == 0
