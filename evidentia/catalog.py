@@ -675,7 +675,8 @@ def lake_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = S.documents(spark, sf_dir).drop("document_id", "page_count").join(pages.groupBy("document_name").agg(F.count("*").cast("int").alias("page_count")), "document_name")
     # exact copies are documents of their own here, so their files differ
     stores.store_documents(lake, whole.withColumn("file_hash", F.sha2(F.concat("document_name", "full_text"), 256)), pages)
-    wanted = whole.select("document_name", F.lit(structure.REGULATION).alias("parser_type"))
+    discard(pages)
+    wanted = lake.snapshot().table(stores.DOCUMENTS).select("document_name", F.lit(structure.REGULATION).alias("parser_type"))
     stores.build_silver(lake, wanted, dimension=2, size=S.SIZE, overlap=S.OVERLAP)
     asked: list[int] = []
 

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidentia.operators.hashtree import digest
+from evidentia.staging import fit, stage
 
 #: Ranges that new rows are numbered in, and rows that their bounds are taken from, about.
 RANGES = 64
@@ -31,13 +32,15 @@ def upsert_documents(target: DataFrame, source: DataFrame, key: str = "document_
     if loaded_at is not None:
         source = source.withColumn("loaded_at", loaded_at)
     columns = [c for c in target.columns if c != id]
-    known = source.join(target.select(key, id), key, "left")
-    old = known.filter(F.col(id).isNotNull())
+    # rows are wide, so keys alone are numbered
+    known = source.select(key).join(target.select(key, id), key, "left")
     most = target.agg(F.coalesce(F.max(id), F.lit(0)).alias("most"))
     new = numbered(known.filter(F.col(id).isNull()).drop(id), [key], "_n").crossJoin(F.broadcast(most))
     new = new.withColumn(id, (F.col("most") + F.col("_n")).cast(target.schema[id].dataType))
+    ids = known.filter(F.col(id).isNotNull()).unionByName(new.select(*known.columns))
+    ids = fit(stage(ids.withColumnRenamed(key, "_key"), "ids"))
     rest = target.join(source.select(key), key, "left_anti")
-    return rest.select(id, *columns).unionByName(old.select(id, *columns)).unionByName(new.select(id, *columns))
+    return rest.select(id, *columns).unionByName(source.join(ids, source[key].eqNullSafe(ids["_key"])).select(id, *columns))
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -106,6 +109,8 @@ def pending(silver: DataFrame, gold: DataFrame, model_id: str, model_version: st
     """Chunks without a current embedding of the model version: none, or one of another chunk or input hash."""
     have = gold.filter((F.col("model_id") == model_id) & (F.col("model_version") == model_version))
     own = silver.withColumn("embedding_input_hash", F.sha2("chunk_text", 256))
+    if have.isEmpty():  # a first build, whose texts need no exchange
+        return own
     return own.join(have.select("chunk_id", "chunk_hash", "embedding_input_hash"), ["chunk_id", "chunk_hash", "embedding_input_hash"], "left_anti")
 
 

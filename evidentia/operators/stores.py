@@ -8,16 +8,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidentia import schemas
 from evidentia.operators import jobs, layers
 from evidentia.sources.lake import Check, Constraint, Foreign, Lake, Transaction, Unique
+from evidentia.staging import discard, fit, stage
 
 DOCUMENTS, PAGES, CHUNKS, EMBEDDINGS, TREES = "documents", "pages", "chunks", "embeddings", "trees"
 #: Parts that embeddings are dealt to by a hash of the chunk; each is committed by itself.
 PARTS = 16
+#: Document ids of a range that is sorted in itself.
+RANGE = 4_096
 
 
 def _present(*columns: str) -> list[Constraint]:
@@ -82,18 +86,28 @@ def store_documents(lake: Lake, documents: DataFrame, pages: DataFrame) -> int:
         new = fitted(documents, schemas.BRONZE_DOCUMENTS).withColumn("loaded_at", F.coalesce("loaded_at", F.localtimestamp())).drop("document_id")
         t.write(DOCUMENTS, fitted(layers.upsert_documents(old, new), schemas.BRONZE_DOCUMENTS), rules[DOCUMENTS])
         ids = t.table(DOCUMENTS).select("document_id", "document_name")
-        own = pages.join(ids, "document_name").withColumns({"page_char_length": F.length("page_text"), "loaded_at": F.localtimestamp()})
+        own = pages.join(fit(ids), "document_name").withColumns({"page_char_length": F.length("page_text"), "loaded_at": F.localtimestamp()})
         t.write(PAGES, layers.upsert_pages(t.table(PAGES), fitted(own, schemas.BRONZE_PAGES)), rules[PAGES])
 
     return lake.transact(work, "store documents")
 
 
 def _with_ids(chunks: DataFrame, stored: DataFrame) -> DataFrame:
-    """Numbers for chunks that have none, after the largest one that is stored, in order of document and chunk."""
+    """Numbers for chunks that have none, after the largest one that is stored, in order of document and chunk.
+
+    Chunks of a document are numbered from 1, so only documents are sorted, in ranges of ids, and no chunk is exchanged.
+    """
     known, new = chunks.filter("chunk_id is not null"), chunks.filter("chunk_id is null").drop("chunk_id")
     most = stored.agg(F.coalesce(F.max("chunk_id"), F.lit(0)).alias("_most"))
-    new = layers.numbered(new, ["document_id", "chunk_order"], "_n").crossJoin(F.broadcast(most))  # one row
-    return known.unionByName(new.withColumn("chunk_id", (F.col("_most") + F.col("_n")).cast("int")).select(*chunks.columns))
+    last = new.groupBy("document_id").agg(F.max("chunk_order").cast("long").alias("_last"))
+    last = stage(last.withColumn("_range", F.floor(F.col("document_id") / RANGE)), "last")
+    before = lambda n, order: F.sum(n).over(order) - F.col(n)
+    ranges = last.groupBy("_range").agg(F.sum("_last").alias("_all"))
+    ranges = ranges.select("_range", before("_all", W.orderBy("_range")).alias("_before"))
+    starts = last.withColumn("_start", before("_last", W.partitionBy("_range").orderBy("document_id"))).join(F.broadcast(ranges), "_range")
+    starts = stage(starts.select("document_id", (F.col("_before") + F.col("_start")).alias("_start")), "starts")
+    new = new.join(fit(starts), "document_id", "left").crossJoin(F.broadcast(most))  # one row
+    return known.unionByName(new.withColumn("chunk_id", (F.col("_most") + F.col("_start") + F.col("chunk_order")).cast("int")).select(*chunks.columns))
 
 
 def _silver(t: Transaction, wanted: DataFrame, rules: dict, **how) -> None:
@@ -101,12 +115,13 @@ def _silver(t: Transaction, wanted: DataFrame, rules: dict, **how) -> None:
     built = jobs.build_silver(wanted, t.table(DOCUMENTS), t.table(PAGES), stored, trees=t.table(TREES), **how)
     t.write(TREES, built.trees.select("document_id", "input_root", "chunk_root"), [Unique("document repeats", ("document_id",))])
     names = t.table(DOCUMENTS).select("document_id", F.col("document_name").alias("_name"))
-    table = fitted(built.table, schemas.SILVER_CHUNKS).join(names, "document_id", "left")
+    table = fitted(built.table, schemas.SILVER_CHUNKS).join(fit(names), "document_id", "left")
     table = table.withColumns({"document_name": F.coalesce("document_name", "_name"), "created_at": F.coalesce("created_at", F.localtimestamp())})
     t.write(CHUNKS, _with_ids(fitted(table, schemas.SILVER_CHUNKS), stored), rules[CHUNKS])
     # a rebuilt chunk has a new id; embeddings of the old one go with it
     gone = t.table(EMBEDDINGS).join(t.table(CHUNKS).select("chunk_id"), "chunk_id", "left_semi")
     t.write(EMBEDDINGS, fitted(gone, schemas.GOLD_EMBEDDINGS), rules[EMBEDDINGS])
+    discard(built.rows)
 
 
 def _embedded(rows: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from evidentia.operators import layers, structure
+from evidentia.operators import layers, stores, structure
 from evidentia.sources import files
 
 
@@ -52,3 +52,17 @@ def test_tasks_list_folders(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "deep").iterdir())) == 5
     (tmp_path / "none").mkdir()
     assert files.list_pdfs(spark, str(tmp_path / "none"), True).count() == 0
+
+
+def test_texts_of_a_build_are_not_exchanged_to_number_them(spark, tmp_path):
+    kind = "document_id int, document_name string, file_hash string, full_text string"
+    source = spark.createDataFrame([("b", "h2", "text b"), ("a", "h1", "text a")], "document_name string, file_hash string, full_text string")
+    got = layers.upsert_documents(spark.createDataFrame([], kind), source)
+    assert "_range" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.document_id, r.document_name, r.full_text) for r in got.collect()} == {(1, "a", "text a"), (2, "b", "text b")}
+    rows = [(d, k, None, f"{d}/{k}") for d in (5_000, 3, 70_000, 3_999) for k in range(1, d % 7 + 3)] + [(9, 1, 4, "stored")]
+    chunks = spark.createDataFrame(rows, "document_id int, chunk_order int, chunk_id int, chunk_text string")
+    numbered = stores._with_ids(chunks, chunks.filter("document_id = 9"))
+    assert "chunk_text" not in str(exchanges(numbered)) and not [x for x in exchanges(numbered) if "_range" in x]
+    new = sorted((r.document_id, r.chunk_order, r.chunk_id) for r in numbered.collect() if r.document_id != 9)
+    assert [i for _, _, i in new] == list(range(5, 5 + len(new))) and len(new) == len(rows) - 1
